@@ -57,7 +57,7 @@ def difference(sizes: list[int], k: int) -> list[int]:
 def place_groups(groups: DataFrame, shards: int, bucket_items: int = 512, top_items: int = 8192) -> DataFrame:
     """(item, shard) of ``groups`` (item string, size long)."""
     spark, ways, steps = groups.sparkSession, max(1, bucket_items // 32), []
-    items = cut(groups, "items")
+    base = items = cut(groups, "items")
     while True:
         n, total = items.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
         if n <= top_items:
@@ -81,7 +81,7 @@ def place_groups(groups: DataFrame, shards: int, bucket_items: int = 512, top_it
     for step in reversed(steps):
         low = step.join(out.withColumnRenamed("item", "up"), "up").select("item", "shard")
         out = out.unionByName(low)
-    return out
+    return base.select("item").join(out, "item") if steps else out
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

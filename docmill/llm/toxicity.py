@@ -116,7 +116,8 @@ def learn_lexicon(labelled: DataFrame, min_docs: int, lexicon_terms: int) -> dic
                 own = {t for w in set(_WORD.findall((text or "").lower())) for t in terms(w)}
                 counts[int(toxic == 1)].update(own)
             names = list(counts[0].keys() | counts[1].keys())
-            yield pd.DataFrame({"term": names, "toxic": [counts[1][t] for t in names], "clean": [counts[0][t] for t in names]})
+            if names:
+                yield pd.DataFrame({"term": names, "toxic": [counts[1][t] for t in names], "clean": [counts[0][t] for t in names]})
 
     sums = labelled.select("text", "toxic").mapInPandas(run, "term string, toxic long, clean long").groupBy("term")
     sums = sums.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where((F.col("toxic") >= min_docs) & (F.col("toxic") > F.col("clean") / 2))
@@ -143,15 +144,15 @@ def score_toxicity(
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(F.col(id_col)) != 0))
     known = known.groupBy(F.col(id_col).alias("_k")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     chosen = cut(known.orderBy(F.xxhash64("_k"), "_k").limit(max_labels), "labels")
-    n = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     out = lambda score, df: df.select(
         F.col("_id").alias(id_col), (fold(F.col("_id")) == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted")
     )
-    if not n.get(0) or not n.get(1):
-        return out(F.lit(1.0 if n.get(1) else 0.0), rows)
     # at most max_labels rows of two numbers: safe to broadcast
     labelled = cut(rows.join(F.broadcast(chosen), rows["_id"] == F.col("_k")).select("_id", "text", "toxic"), "labelled")
+    n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n.get(0) or not n.get(1):
+        return out(F.lit(1.0 if n.get(1) else 0.0), rows)
     grader = Grader(learn_lexicon(labelled, min_docs, lexicon_terms))
     shape = ", ".join(f"{f} double" for f in FEATURES)
 
