@@ -180,7 +180,10 @@ def page_text(
     sizes = parsed.groupBy("host", "same").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     often = seen.where(F.col("n") >= min_pages).join(sizes, "host").where(F.col("n") >= min_share * F.col("pages"))
     template = cut(often.select("host", "hash"), "template")
-    hits = trees.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone"))
+    # only subtrees that hold a block of the text can change it; written, so that its size decides the join
+    holds = F.expr("array_distinct(filter(hashes, (h, i) -> starts[i] < ends[i]))")
+    held = parsed.select("row", "host", F.explode(holds).alias("hash"))
+    hits = cut(held.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone")), "hits")
     kept = F.expr(
         "filter(blocks, (b, i) -> gone is null or not exists(sequence(0, size(hashes) - 1), k ->"
         " starts[k] <= i and i < ends[k] and array_contains(gone, hashes[k])))"
