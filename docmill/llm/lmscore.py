@@ -79,6 +79,20 @@ def _sorted_by_bucket(keys: np.ndarray, buckets: int, *more: np.ndarray):
     return at[order], keys[order], *(x[order] for x in more)
 
 
+LOW = np.uint64((1 << 48) - 1)
+
+
+def short(keys: np.ndarray) -> bytes:
+    """The low six bytes of each key; the bucket it goes to tells the rest apart."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def long(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
 def vocabulary_size(texts: DataFrame) -> tuple[int, int]:
     """Distinct words and tokens of ``texts`` (_text)."""
 
@@ -150,7 +164,7 @@ def score_documents(
                 none = dict.fromkeys(("ids", "tokens", "hdoc", "hkeys", "hn"))
                 cold = np.flatnonzero(~hot)
                 at, k, m, d = _sorted_by_bucket(keys[cold], buckets, n[cold], doc[cold])
-                by = {int(at[i]): {"keys": raw(k[i:j], "u8"), "n": raw(m[i:j], "u4"), "doc": raw(d[i:j], "u2")} for i, j in _runs(at)}
+                by = {int(at[i]): {"keys": short(k[i:j]), "n": raw(m[i:j], "u4"), "doc": raw(d[i:j], "u2")} for i, j in _runs(at)}
                 at, k, t, c = _sorted_by_bucket(each[common], buckets, ct[common], cb[common])
                 counts = {int(at[i]): {"ckeys": raw(k[i:j], "u8"), "ct": raw(t[i:j], "f8"), "cb": raw(c[i:j], "f8")} for i, j in _runs(at)}
                 for q in sorted({*by, *counts}):
@@ -164,10 +178,10 @@ def score_documents(
         if key[0] < 0:
             return pdf.assign(x=None, y=None)[passed]
         load = lambda c, kind: [np.frombuffer(x, kind) for x in pdf[c]]
-        keys, n, doc = load("keys", "u8"), load("n", "u4"), load("doc", "u2")
+        keys, n, doc = [long(x) for x in pdf["keys"]], load("n", "u4"), load("doc", "u2")
         ckeys, ct, cb = load("ckeys", "u8"), load("ct", "f8"), load("cb", "f8")
         n_all = np.concatenate(n).astype(np.float64)
-        each, back = np.unique(np.concatenate([*keys, *ckeys]), return_inverse=True)
+        each, back = np.unique(np.concatenate([*keys, *(c & LOW for c in ckeys)]), return_inverse=True)
         total_b = np.bincount(back, np.concatenate([n_all, *cb]), len(each))
         total_t = np.bincount(back, np.concatenate([np.zeros(len(n_all)), *ct]), len(each))
         at, cat, out = 0, len(n_all), []
