@@ -657,3 +657,115 @@ def detect_header(spark, d):
 def table_catalog(spark, d):
     docs = t(spark, d, "documents")
     return tables.table_catalog(docs, extract_tables(spark, d), "doc_id")
+
+
+@query("SELECT doc_id::VARCHAR AS id, 1 AS page_no, text FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 10 <> 1")
+def read_parsed_documents(spark, d):
+    """Of ten lines one is cut short and one has no id."""
+    page = F.array(F.struct(F.lit(1).alias("number"), "text"))
+    named = F.when(F.col("doc_id") % 10 != 1, F.col("doc_id").cast("string")).alias("id")
+    line = t(spark, d, "documents").select("doc_id", F.to_json(F.struct(named, F.col("source").alias("title"), page.alias("content"))).alias("j"))
+    path = readers.scratch(spark, "parsed")
+    line.select(F.when(F.col("doc_id") % 10 == 0, F.expr("substring(j, 1, length(j) - 5)")).otherwise(F.col("j"))).write.text(path)
+    return readers.read_parsed_documents(spark, path, False).select("id", "page_no", "text")
+
+
+@query("SELECT c_custkey AS customer_key, c_name AS name, c_acctbal AS balance_2024, c_mktsegment AS name_2 FROM customer")
+def read_spreadsheet_csv(spark, d):
+    path = readers.scratch(spark, "sheet")
+    named = {"c_custkey": "Customer Key", "c_name": "name", "c_acctbal": "Balance (2024)", "c_mktsegment": "NAME!"}
+    t(spark, d, "customer").select(*[F.col(c).alias(n) for c, n in named.items()]).write.option("header", True).csv(path)
+    return readers.read_spreadsheet_csv(spark, path)
+
+
+@query()
+def file_inventory(spark, d):
+    files = readers.file_inventory(spark, d)
+    return files.groupBy("extension", "class").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"))
+
+
+@query()
+def reindex_corpus(spark, d):
+    from docmill.plans import pipelines
+
+    docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("thread_id"), F.lit(1).alias("page_no"), F.lit("Doc").alias("title"), "text")
+    return pipelines.reindex_corpus(docs, readers.scratch(spark, "index"))[1]
+
+
+@query(f"""WITH {HITS}, o AS (SELECT item_id AS id, 'src' || (item_id % 20) AS thread FROM benchmark),
+b AS (SELECT *, (row_number() OVER (PARTITION BY thread ORDER BY id) - 1) // 4 AS batch FROM o)
+SELECT id, batch::BIGINT AS batch, chunk_id, rank::INT AS rank, score FROM top JOIN b ON b.id = query_id AND b.thread = top.thread WHERE score > 0""")
+def node_sources(spark, d):
+    from docmill.plans import pipelines
+
+    nodes = t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.expr("concat('src', item_id % 20)").alias("thread_id"), F.col("text").alias("title"))
+    return pipelines.node_sources(nodes, t(spark, d, "documents").select(F.col("source").alias("thread_id"), F.col("doc_id").alias("chunk_id"), "text"), 5)
+
+
+@query("SELECT c_custkey AS sheet_id, c_mktsegment || '_' || c_name || '|Column_1|Column_2|' || c_nationkey AS names FROM customer")
+def flatten_headers(spark, d):
+    upper = F.array("c_mktsegment", F.lit(""), F.lit("nan"), F.lit(None).cast("string"))
+    lower = F.array("c_name", F.lit(" "), F.lit("Unnamed: 0_level_1"), F.col("c_nationkey").cast("string"))
+    pairs = t(spark, d, "customer").select(F.col("c_custkey").alias("sheet_id"), upper.alias("upper"), lower.alias("lower"))
+    return tables.flatten_headers(pairs).withColumn("names", F.array_join("names", "|"))
+
+
+@query("""SELECT c_mktsegment, count(*) AS n, false AS truncated FROM customer GROUP BY c_mktsegment""")
+def register_tables(spark, d):
+    """A sheet is registered under its name and asked through it; only missing documents are loaded."""
+    known = tables.register_tables(spark, {("c1", "Customer list.csv", None): t(spark, d, "customer")})
+    wanted = spark.createDataFrame([("c1",), ("s1",)], "doc_id string")
+    rest = {(r["doc_id"], "Suppliers.xlsx", "All"): t(spark, d, "supplier") for r in tables.missing_tables(known, wanted).collect()}
+    names = {r["doc_id"]: r["table_name"] for r in known.union(tables.register_tables(spark, rest)).collect()}
+    rows, _, truncated, error = tables.guarded_select(spark, f"SELECT c_mktsegment, count(*) AS n FROM {names['c1']} GROUP BY c_mktsegment")
+    if error:
+        raise ValueError(error)
+    return rows.withColumn("truncated", F.lit(truncated))
+
+
+@query("SELECT 'document' AS how, p_partkey, p_size FROM part WHERE p_size > 10")
+def resolve_sheet_source(spark, d):
+    part = t(spark, d, "part").select("p_partkey", "p_size")
+    how, rows = tables.resolve_sheet_source([("sql", part.where("p_size < 0")), ("extract", None), ("document", part)], part.columns, spark, "p_size > 10")
+    return rows.withColumn("how", F.lit(how))
+
+
+@query("SELECT conv_id, coalesce(string_agg(text, '|' ORDER BY turn) FILTER (turn % 2 = 0), '') AS texts FROM conversations GROUP BY conv_id")
+def selected_instructions(spark, d):
+    own = F.array_sort(F.collect_list(F.struct("turn", (F.col("turn") % 2 == 0).alias("selected"), "text")))
+    threads = t(spark, d, "conversations").groupBy("conv_id").agg(own.alias("instructions"))
+    return chat.selected_instructions(threads, "conv_id", "instructions").withColumn("texts", F.array_join("texts", "|"))
+
+
+@query("SELECT 'f' || o_orderkey || '.xlsx' AS file_name, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0")
+def list_exports(spark, d):
+    name, o = F.expr("concat('f', o_orderkey, '.xlsx')").alias("file_name"), t(spark, d, "orders")
+    records = o.select(name, F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") != "F", "pending").alias("_status"))
+    return chat.list_exports(records, o.where("o_orderkey % 3 = 0").select(name)).select("file_name", "created_at")
+
+
+@query()
+def status_stream(spark, d):
+    """Each job's last state after the whole stream, as emitted."""
+    events = t(spark, d, "events").select("user_id", "ts", F.when(F.col("event_type") == "click", "pending").otherwise(F.col("event_type")).alias("s"))
+    base = readers.scratch(spark, "status")
+    arriving = spark.readStream.schema(t(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    arriving = arriving.select("user_id", "ts", F.when(F.col("event_type") == "click", "pending").otherwise(F.col("event_type")).alias("s"))
+    out = status.status_stream(arriving.select(events.columns), "user_id", "ts", "s")
+    save = lambda b, epoch: b.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{base}/rows/epoch={epoch:09d}")
+    run = out.writeStream.outputMode("update").foreachBatch(lambda b, e: save(b, e)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    rows = spark.read.parquet(f"{base}/rows/*")
+    last = rows.groupBy("id").agg(F.max_by(F.struct("status", "message"), "epoch").alias("m"))
+    return last.select(F.col("id").alias("user_id"), "m.status", "m.message")
+
+
+@query("SELECT doc_id, coalesce(text, '') <> '' AS has_chunks FROM documents WHERE trim(coalesce(text, '')) <> ''")
+def ingest_stream(spark, d):
+    """The documents that the index holds after the whole stream."""
+    base = readers.scratch(spark, "ingest")
+    arriving = spark.readStream.schema(t(spark, d, "documents").schema).parquet(f"{d}/documents*.parquet").select("doc_id", "text")
+    run = status.ingest_stream(arriving, "doc_id", "text", f"{base}/index", f"{base}/state")
+    run.awaitTermination()
+    last = run.lastProgress["batchId"] if run.lastProgress else 0
+    return spark.read.parquet(f"{base}/index/v{last}").groupBy("doc_id").agg((F.count(F.lit(1)) > 0).alias("has_chunks"))

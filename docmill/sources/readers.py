@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +23,19 @@ EXTENSIONS = {
 }
 
 
-def read_parsed_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row a page of JSON documents; corrupt files and files without an id are skipped."""
-    docs = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder (``spark.checkpoint.dir``); in one of our own where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="docmill-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def read_parsed_documents(spark: SparkSession, path: str, one_a_file: bool = True) -> DataFrame:
+    """One row a page of JSON documents, one a file or one a line; corrupt ones and those without
+    an id are skipped."""
+    docs = spark.read.schema(DOCUMENT).option("multiLine", one_a_file).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     good = docs.where("_bad is null and id is not null").drop("_bad")
     pages = good.select("*", F.posexplode_outer("content").alias("pos", "page")).drop("content")
     return pages.select(*[c for c in good.columns if c != "content"], F.coalesce("page.number", F.col("pos") + 1).alias("page_no"), F.col("page.text").alias("text"))
@@ -31,7 +44,8 @@ def read_parsed_documents(spark: SparkSession, path: str) -> DataFrame:
 def read_spreadsheet_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV sheet with clean cells, safe column names and the narrowest types."""
     raw = clean_cells(spark.read.option("header", True).option("inferSchema", False).csv(path))
-    named = sanitize_names(spark.createDataFrame([("s", i, c) for i, c in enumerate(raw.columns)], "sheet_id string, pos int, name string"))
+    head = spark.read.csv(path).first()  # Spark numbers repeated names of a header; the row itself has them
+    named = sanitize_names(spark.createDataFrame([("s", i, c or "") for i, c in enumerate(head or raw.columns)], "sheet_id string, pos int, name string"))
     return infer_types(raw.toDF(*[r["clean"] for r in named.orderBy("pos").collect()]))
 
 
