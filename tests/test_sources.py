@@ -17,7 +17,7 @@ def test_parsed_documents(spark, tmp_path):
 
 
 def test_spreadsheet(spark, tmp_path):
-    (tmp_path / "s.csv").write_text("Amount,name,amount,2024 Q1,***\n1,a  b,1.5,x,\n2,c,2,y,\n")
+    (tmp_path / "s.csv").write_text("Amount,name,amount,2024 Q1,***\n1,a\u00a0\u200bb,1.5,x,\n2,c,2,y,\n")
     df = readers.read_spreadsheet_csv(spark, str(tmp_path))
     assert [(f.name, f.dataType.simpleString()) for f in df.schema] == [
         ("amount", "bigint"), ("name", "string"), ("amount_2", "double"), ("col_2024_q1", "string"), ("column", "string"),
