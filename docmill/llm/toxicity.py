@@ -41,7 +41,39 @@ FEATURES = (
 _WORD = re.compile(r"\w+")
 _MIXED = re.compile(r"\b(?=\w*[a-zA-Z])(?=\w*[0-9@$*])[\w@$*]{3,}|[a-zA-Z]+[*@$#]+[a-zA-Z]+")
 _REPEAT = re.compile(r"([a-zA-Z])\1\1|\b(?:[a-zA-Z][.\-_ ]){3,}[a-zA-Z]\b")
-_UPPER = re.compile(r"\b[A-ZÄÖÜÉÈÀÑ]{2,}\b")
+_UPPER = re.compile(r"[A-ZÄÖÜÉÈÀÑ]{2,}")
+_MARK, _RUN = re.compile(r"[0-9@$*#]"), re.compile(r"[\w@$*#]*")
+_SPELLED = re.compile(r"[.\-_ ][a-zA-Z][.\-_ ][a-zA-Z][.\-_ ]")
+
+
+def _in_word(text: str, i: int) -> bool:
+    return 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+
+
+def count_shouting(text: str) -> int:
+    """Words of two or more capitals."""
+    return sum(not _in_word(text, m.start() - 1) and not _in_word(text, m.end()) for m in _UPPER.finditer(text))
+
+
+def count_mixed(text: str) -> int:
+    """Matches of ``_MIXED``, sought only in runs of word characters and marks that hold a digit or mark."""
+    n = end = 0
+    for m in _MARK.finditer(text):
+        at = m.start()
+        if at >= end:
+            start = at
+            while start > end and (text[start - 1] in "@$*#" or _in_word(text, start - 1)):
+                start -= 1
+            end = _RUN.match(text, at).end()
+            n += len(_MIXED.findall(text[start:end]))
+    return n
+
+
+def count_repeats(text: str, letters: set[str]) -> int:
+    """Matches of ``_REPEAT``; two cheap searches tell the texts that have none."""
+    if any(3 * c in text for c in letters if c.isascii()) or _SPELLED.search(text):
+        return len(_REPEAT.findall(text))
+    return 0
 
 
 def terms(word: str) -> list[str]:
@@ -58,23 +90,26 @@ def bound(toxic: int, clean: int, z: float = 1.6) -> float:
 
 
 def features(text: str | None, grade) -> list[float]:
-    """``grade`` maps a lower-case word to its lower bound."""
+    """``grade`` maps lower-case words to their lower bounds."""
     text = text or ""
     words = _WORD.findall(text.lower())
     n, chars = max(1, len(words)), max(1, len(text))
-    graded = [grade(w) for w in words]
-    hits = [i for i, g in enumerate(graded) if g >= GRADES[2]]
+    graded = grade(words)
+    best = max(graded, default=0.0)
+    hits = [i for i, g in enumerate(graded) if g >= GRADES[2]] if best >= GRADES[2] else []
     tiers = [0, 0, 0]
     for i in hits:
         tiers[0 if graded[i] >= GRADES[0] else 1 if graded[i] >= GRADES[1] else 2] += 1
     near = sum(any(w in YOU for w in words[max(0, i - 5) : i + 6]) for i in hits)
     strong = {words[i] for i in hits if graded[i] >= GRADES[0]}
-    upper, letters = sum(map(str.isupper, text)), max(1, sum(map(str.isalpha, text)))
+    used = set(text)
+    alphabet = set(filter(str.isalpha, used))
+    upper, letters = sum(map(text.count, filter(str.isupper, used))), max(1, sum(map(text.count, alphabet)))
     marks = sum(map(text.count, ".,;:!?\"'()-"))
     return [
-        tiers[0] / n, tiers[1] / n, tiers[2] / n, max(graded, default=0.0), float(len(strong)), near / n,
-        upper / letters, len(_UPPER.findall(text)) / n, marks / chars, sum(map(text.count, "!?")) / chars,
-        len(_MIXED.findall(text)) / n, len(_REPEAT.findall(text)) / n, sum(map(text.count, "#*$%&@|<>")) / chars, math.log1p(len(words)),
+        tiers[0] / n, tiers[1] / n, tiers[2] / n, best, float(len(strong)), near / n,
+        upper / letters, count_shouting(text) / n, marks / chars, sum(map(text.count, "!?")) / chars,
+        count_mixed(text) / n, count_repeats(text, alphabet) / n, sum(map(text.count, "#*$%&@|<>")) / chars, math.log1p(len(words)),
     ]
 
 
@@ -85,13 +120,13 @@ class Grader:
         self.lexicon, self.known = lexicon, {}
         self.score = {t: bound(*c) for t, c in lexicon.items()}
 
-    def __call__(self, word: str) -> float:
-        g = self.known.get(word)
-        if g is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            g = self.known[word] = max(map(self.score.get, terms(word), (0.0,) * 4), default=0.0)
-        return g
+    def __call__(self, words: list[str]) -> list[float]:
+        if len(self.known) > 300_000:
+            self.known = {}
+        known, score = self.known, self.score
+        for w in set(words).difference(known):
+            known[w] = max(score.get(t, 0.0) for t in terms(w))
+        return list(map(known.__getitem__, words))
 
     def without(self, toxic: int):
         """Grades as they would be had one document of that label not been counted."""
@@ -103,7 +138,7 @@ class Grader:
                 known[word] = max((bound(a - toxic, b - 1 + toxic) for a, b in own), default=0.0)
             return known[word]
 
-        return grade
+        return lambda words: list(map(grade, words))
 
 
 def learn_lexicon(labelled: DataFrame, min_docs: int, lexicon_terms: int) -> dict[str, tuple[int, int]]:
