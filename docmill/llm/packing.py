@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from docmill.llm._common import cut, prefix, table
 
-CACHED_WORDS, CACHED_CHARS = 200_000, 40
+CACHED_WORDS, CACHED_CHARS, LINE_WORDS = 300_000, 40, 64
+SEPARATOR = "~"
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -34,29 +35,65 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes. The tokenizer drops white space
-    and never joins over it, so it encodes each distinct word once and texts are lookups."""
+    """Ids of a text as little-endian unsigned 32-bit bytes. A tokenizer that drops white space
+    and never joins over it encodes each distinct word once, and texts are lookups; any other
+    encodes whole texts. Words used lately are remembered, in two generations."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        one, two, mark = self._ids(["word", "other", SEPARATOR])
+        self.by_word = self._ids([" word \n\tother\r"]) == [one + two] and len(mark) == 4
+        self.mark = np.frombuffer(mark, "<u4")[0]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(c.ids, "<u4").tobytes() for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Encodes lines of words with a mark between them; where a word holds the mark's id
+        there are too many marks, and the line's words are encoded one by one."""
+        lines = [words[i : i + LINE_WORDS] for i in range(0, len(words), LINE_WORDS)]
+        gap, out = f" {SEPARATOR} ".encode(), []
+        for line, coded in zip(lines, self._ids([gap.join(x).decode() for x in lines]), strict=True):
+            marks = np.flatnonzero(np.frombuffer(coded, "<u4") == self.mark)
+            if len(marks) == len(line) - 1:
+                ends = (4 * marks).tolist()
+                out += [coded[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(coded)], strict=True)]
+            else:
+                out += self._ids([w.decode() for w in line])
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            return self._ids([(t or "").encode("utf-8", "replace").decode() for t in texts])
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
         if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        new = list({w for words in split for w in words}.difference(self.known))
-        own = dict(self.known) if any(len(w) > CACHED_CHARS for w in new) else self.known
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = set().union(*split).difference(known)
+        seen = missing.intersection(older)
+        known.update((w, older[w]) for w in seen)
+        new = list(missing - seen)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            coded = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            for w, c in zip(part, coded, strict=True):
-                own[w] = np.array(c.ids, "<u4").tobytes()
-                if own is not self.known and len(w) <= CACHED_CHARS:
-                    self.known[w] = own[w]
-        return [b"".join(map(own.__getitem__, words)) for words in split]
+            known.update(zip(part, self._words(part), strict=True))
+        made = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                del known[w]
+        return made
+
+
+ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker, which outlives its tasks."""
+    if path not in ENCODERS:
+        ENCODERS[path] = WordEncoder(path)
+    return ENCODERS[path]
 
 
 def pieces(
@@ -71,10 +108,9 @@ def pieces(
     """(id, piece, start, length, ids_crc32): each document's ids and ``end_id``, cut at ``capacity``."""
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
-    holder: dict = {}
 
     def run(batches):
-        encode = holder.setdefault("encode", WordEncoder(tokenizer or public_tokenizer()))
+        encode = encoder(tokenizer or public_tokenizer())
         for b in batches:
             ids, texts = b["_id"].tolist(), b["_text"].tolist()
             at = 0

@@ -277,3 +277,21 @@ def test_toxicity_on_held_out_rows(spark):
     auc = (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
     assert auc >= 0.97 and held.predicted[~pos].mean() <= 0.01 and held.predicted[pos].mean() >= 0.85
     assert out.score.between(0, 1).all()
+
+
+def test_word_encoder_equals_the_tokenizer(texts, monkeypatch):
+    """Separators in texts, special tokens, accents, odd white space, and words forgotten in between."""
+    from tokenizers import Tokenizer
+
+    odd = [
+        "a ~ b", "~ ~~ ~a~ x", "<|endoftext|> x <|startoftext|>don't can't", "H̱ ẖ é ́ x", "a\xa0b\x85c \x1c d",
+        "", "   ", None, "x" * 5000, "日本語 テキスト ~", "Σίσυφος ΣΑΣ ΣΑΣ.", "y" * 50 + " again",
+    ]
+    several = [*odd, *texts.values(), *odd]
+    monkeypatch.setattr(packing, "CACHED_WORDS", 500)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        plain = Tokenizer.from_file(packing.public_tokenizer(name))
+        want = [np.array(c.ids, "<u4").tobytes() for c in plain.encode_batch([t or "" for t in several], add_special_tokens=False)]
+        encode = packing.WordEncoder(packing.public_tokenizer(name))
+        assert encode.by_word == name.startswith("word")
+        assert [x for i in range(0, len(several), 40) for x in encode(several[i : i + 40])] == want
