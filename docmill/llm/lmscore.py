@@ -93,6 +93,15 @@ def long(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def steps(docs: np.ndarray) -> bytes:
+    """Ascending places of documents in a packet as differences, which compress well."""
+    return np.diff(docs, prepend=0).astype("u2").tobytes()
+
+
+def walked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, "u2"), dtype=np.int64)
+
+
 def vocabulary_size(texts: DataFrame) -> tuple[int, int]:
     """Distinct words and tokens of ``texts`` (_text)."""
 
@@ -158,13 +167,13 @@ def score_documents(
                 at_hot = np.flatnonzero(hot & ~goal)
                 head = dict.fromkeys(("keys", "n", "doc", "ckeys", "ct", "cb"))
                 head |= {"bucket": -packet - 1, "packet": packet, "ids": part["_id"].tolist()}
-                head |= {"tokens": raw(np.where(own, -1, [s for _, _, s in made]), "i8"), "hdoc": raw(doc[at_hot], "u2")}
+                head |= {"tokens": raw(np.where(own, -1, [s for _, _, s in made]), "i8"), "hdoc": steps(doc[at_hot])}
                 head |= {"hkeys": raw(keys[at_hot], "u8"), "hn": raw(n[at_hot], "u4")}
                 out = [head]
                 none = dict.fromkeys(("ids", "tokens", "hdoc", "hkeys", "hn"))
                 cold = np.flatnonzero(~hot)
                 at, k, m, d = _sorted_by_bucket(keys[cold], buckets, n[cold], doc[cold])
-                by = {int(at[i]): {"keys": short(k[i:j]), "n": raw(m[i:j], "u4"), "doc": raw(d[i:j], "u2")} for i, j in _runs(at)}
+                by = {int(at[i]): {"keys": short(k[i:j]), "n": raw(m[i:j], "u4"), "doc": steps(d[i:j])} for i, j in _runs(at)}
                 at, k, t, c = _sorted_by_bucket(each[common], buckets, ct[common], cb[common])
                 counts = {int(at[i]): {"ckeys": raw(k[i:j], "u8"), "ct": raw(t[i:j], "f8"), "cb": raw(c[i:j], "f8")} for i, j in _runs(at)}
                 for q in sorted({*by, *counts}):
@@ -178,7 +187,7 @@ def score_documents(
         if key[0] < 0:
             return pdf.assign(x=None, y=None)[passed]
         load = lambda c, kind: [np.frombuffer(x, kind) for x in pdf[c]]
-        keys, n, doc = [long(x) for x in pdf["keys"]], load("n", "u4"), load("doc", "u2")
+        keys, n, doc = [long(x) for x in pdf["keys"]], load("n", "u4"), [walked(x) for x in pdf["doc"]]
         ckeys, ct, cb = load("ckeys", "u8"), load("ct", "f8"), load("cb", "f8")
         n_all = np.concatenate(n).astype(np.float64)
         each, back = np.unique(np.concatenate([*keys, *(c & LOW for c in ckeys)]), return_inverse=True)
@@ -190,7 +199,7 @@ def score_documents(
             at, cat = at + len(k), cat + len(c)
             x, y = losses(k, m.astype(np.float64), total_t[i], total_b[i], a, v)
             own, to = np.unique(d, return_inverse=True)
-            out.append((packet, own.tobytes(), np.bincount(to, x, len(own)).tobytes(), np.bincount(to, y, len(own)).tobytes(), c.tobytes(), total_t[j].tobytes(), total_b[j].tobytes()))
+            out.append((packet, steps(own), np.bincount(to, x, len(own)).tobytes(), np.bincount(to, y, len(own)).tobytes(), c.tobytes(), total_t[j].tobytes(), total_b[j].tobytes()))
         done = pd.DataFrame(out, columns=passed[:7])
         return done.assign(ids=None, tokens=None, hdoc=None, hkeys=None, hn=None)
 
@@ -199,7 +208,7 @@ def score_documents(
         size = np.frombuffer(head["tokens"], "i8")
         total = np.zeros((2, len(size)))
         for d, x, y in zip(rest["doc"], rest["x"], rest["y"], strict=True):
-            own = np.frombuffer(d, "u2")
+            own = walked(d)
             total[0, own] += np.frombuffer(x)
             total[1, own] += np.frombuffer(y)
         hkeys = np.frombuffer(head["hkeys"], "u8")
@@ -208,7 +217,7 @@ def score_documents(
             order = np.argsort(known)
             at = order[np.searchsorted(known, hkeys, sorter=order)]
             x, y = losses(hkeys, np.frombuffer(head["hn"], "u4").astype(np.float64), ct[at], cb[at], a, v)
-            own = np.frombuffer(head["hdoc"], "u2")
+            own = walked(head["hdoc"])
             total += [np.bincount(own, x, len(size)), np.bincount(own, y, len(size))]
         real = size >= 0
         with np.errstate(all="ignore"):
