@@ -27,14 +27,15 @@ from docmill.llm._common import cut, prefix, table
 HALVINGS, AT_ONCE = 24, 4
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, n_tokens, check): tokens are runs of anything but ASCII white space."""
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(id, source, n_tokens, check, *keys): tokens are runs of anything but ASCII white space."""
     words = F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"))
     return docs.select(
         F.col(id_col),
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("source"),
         F.coalesce(words, F.lit(0)).cast("long").alias("n_tokens"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("check"),
+        *keys,
     )
 
 
@@ -102,10 +103,12 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    keys: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row a draw: id, source, check, n_tokens, epoch, block, weight, exponent, and
-    ``turn``, the hash that orders the draws of a block. ``budget`` None: as many tokens as there are."""
-    counts = cut(token_counts(docs, id_col, text_col, source_col), "counts")
+    ``turn``, the hash that orders the draws of a block, and the columns ``keys`` of the drawn
+    row. ``budget`` None: as many tokens as there are."""
+    counts = cut(token_counts(docs, id_col, text_col, source_col, keys), "counts")
     weights, _ = source_weights(counts, budget, entropy_share, max_repeats, max_exponent)
     weights = cut(weights, "weights")
     need = weights.withColumn("passes", F.ceil(F.col("quota") / F.col("tokens")).cast("int"))
@@ -121,20 +124,17 @@ def mix(
     block = F.least(F.floor(F.col("_at") * blocks / F.col("quota")), F.lit(blocks - 1)).cast("int")
     source = F.expr("CASE WHEN source = '' THEN NULL ELSE substring(source, 2) END")
     return kept.select(
-        id_col, source.alias(source_col), "check", "n_tokens", "epoch", block.alias("block"), "turn", "weight", "exponent"
+        id_col, source.alias(source_col), "check", "n_tokens", "epoch", block.alias("block"), "turn", "weight", "exponent", *keys
     )
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` as often as they are drawn. Rows alike in id and text share draws."""
-    drawn = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    times = drawn.groupBy(F.col(id_col).alias("_id"), F.col("check").alias("_check")).agg(F.count(F.lit(1)).cast("int").alias("_times"))
-    check = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    rows = docs.withColumn("_check", check)
-    copies = rows.groupBy(F.col(id_col).alias("_id"), "_check").agg(F.count(F.lit(1)).cast("int").alias("_rows"))
-    share = times.join(copies, ["_id", "_check"]).select("_id", "_check", F.expr("greatest(1, _times div _rows)").cast("int").alias("_n"))
-    hit = rows.alias("d").join(share.alias("s"), (F.col(f"d.{id_col}") == F.col("s._id")) & (F.col("d._check") == F.col("s._check")))
-    return hit.withColumn("_turn", F.explode(F.expr("sequence(1, _n)"))).select(*[F.col(f"d.{c}") for c in docs.columns])
+    """The rows of ``docs`` as often as they are drawn: each draw is of one row by a written key,
+    so rows without an id and rows alike in id and text have draws of their own."""
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    drawn = mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, keys=("_row",), **options)
+    times = drawn.groupBy("_row").agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    return rows.join(times, "_row").withColumn("_turn", F.explode(F.expr("sequence(1, _times)"))).select(*docs.columns)
 
 
 def op1_mixing(spark, sf_dir):
