@@ -81,17 +81,30 @@ def entity_mentions(df: DataFrame, id_col: str, text_col: str, head: int = 5000,
     return out.where(F.col("rank") <= most).select(id_col, "rank", "name")
 
 
-def entity_profiles(mentions: DataFrame, doc_col: str, page_col: str, name_col: str, text_col: str, max_profiles: int = 10, around: int = 60) -> DataFrame:
-    """(doc, name, n_pages, contexts): the ten entities on most pages, then those on two or more."""
+def chunk_mentions(chunks: DataFrame, text_col: str) -> DataFrame:
+    """``chunks`` with a row for each ``name`` that a chunk's whole text mentions, without regard to case once."""
+    names = F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(ENTITY), F.lit(1))
+    rows = chunks.withColumn("_names", names).withColumn("_lower", F.transform("_names", F.lower))
+    known = lambda x, i: F.array_position("_lower", F.lower(x)) == i + 1
+    rows = rows.withColumn("name", F.explode(F.filter("_names", known))).drop("_names", "_lower")
+    return rows.where((F.length("name") >= 2) & ~F.lower("name").isin(*stop_words()))
+
+
+def entity_profiles(
+    mentions: DataFrame, doc_col: str, page_col: str, name_col: str, text_col: str, max_profiles: int = 10, around: int = 60, chunk_col: str | None = None
+) -> DataFrame:
+    """(doc, name, n_pages, contexts): the ten entities on most pages, then those on two or more.
+    ``chunk_col`` orders the chunks of a page where each mention has its chunk's text."""
     key = mentions.withColumn("key", F.lower(name_col))
     at = F.expr(f"locate({name_col}, {text_col})")
     cut = F.expr(f"substring({text_col}, greatest(1, _at - {around}), length({name_col}) + {2 * around})")
     key = key.withColumn("_at", at).withColumn("_context", cut)
+    order = [page_col, *([chunk_col] if chunk_col else []), "_at"]
     spread = key.groupBy(doc_col, "key").agg(
         F.countDistinct(page_col).alias("n_pages"),
-        F.min_by(name_col, F.struct(page_col, "_at")).alias("name"),
+        F.min_by(name_col, F.struct(*order)).alias("name"),
     )
-    some = key.withColumn("r", ranked([doc_col, "key"], F.col(page_col), F.col("_at"))).where("r <= 3")
+    some = key.withColumn("r", ranked([doc_col, "key"], *map(F.col, order))).where("r <= 3")
     some = some.groupBy(doc_col, "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "_context"))), lambda x: x["_context"]).alias("contexts"))
     top = spread.withColumn("r", ranked([doc_col], F.desc("n_pages"), F.asc("key"))).where(F.col("r") <= max_profiles).where("n_pages >= 2")
     return top.join(some, [doc_col, "key"]).select(doc_col, "name", "n_pages", "contexts")

@@ -611,8 +611,9 @@ def build_chunk_index(spark, d):
 
 @query()
 def entity_profiles(spark, d):
-    m = enrich.entity_mentions(t(spark, d, "documents"), "doc_id", "text").join(t(spark, d, "documents"), "doc_id")
-    return enrich.entity_profiles(m, "source", "doc_id", "name", "text")
+    docs = t(spark, d, "documents").select(F.struct("source", "doc_id").alias("page"), "text")
+    chunk = text.chunk_hierarchical(docs, "page", "text").select("page.*", (F.col("parent_idx") * 1000 + F.col("child_idx")).alias("order"), "text")
+    return enrich.entity_profiles(enrich.chunk_mentions(chunk, "text"), "source", "doc_id", "name", "text", chunk_col="order")
 
 
 @query("""SELECT doc_id, source AS subject, 'writes' AS predicate, lang AS object FROM documents WHERE doc_id % 2 = 1""")
