@@ -33,7 +33,7 @@ def normal_line(line: bytes) -> bytes:
 
 
 def base_stats(text: str | None) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, line hashes, words of each."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, line hashes, words and number of each."""
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
@@ -49,8 +49,8 @@ def base_stats(text: str | None) -> tuple:
         for k in range(3):
             covered[k : n - 2 + k] |= twice
         repeat = int(covered.sum())
-    seen, dup, hashes, counts = set(), 0, [], []
-    for line in raw.split(b"\n"):
+    seen, dup, hashes, counts, numbers = set(), 0, [], [], []
+    for number, line in enumerate(raw.split(b"\n")):
         held = len(line.split())
         if held:
             dup += line in seen
@@ -58,8 +58,9 @@ def base_stats(text: str | None) -> tuple:
             if normal := normal_line(line):
                 hashes.append(xxhash.xxh64_intdigest(normal, 42))
                 counts.append(held)
+                numbers.append(number)
     lines = np.array(hashes, np.uint64).view(np.int64)
-    return n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup, repeat, lines, counts
+    return n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup, repeat, lines, counts, numbers
 
 
 def line_quality(
@@ -71,26 +72,31 @@ def line_quality(
     max_share: float = 0.02,
     min_left: float = 0.3,
     min_words: int = 20,
+    keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Base statistics of each document, n_removed_words, base_failed and kept."""
+    """Base statistics of each document, n_removed_words, removed_lines (numbers from 0, sorted),
+    base_failed, kept, and the columns ``keys`` of its row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            made = list(zip(*map(base_stats, b["_text"]), strict=True)) or [[]] * 7
-            names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words")
+            made = list(zip(*map(base_stats, b["_text"]), strict=True)) or [[]] * 8
+            names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words", "line_at")
             key = [xxhash.xxh3_128_hexdigest((t or "").encode("utf-8", "surrogatepass")) for t in b["_text"]]
-            yield pd.DataFrame({"_id": b["_id"], "host": b["host"], "same": key} | dict(zip(names, made, strict=True)))
+            yield pd.DataFrame({"_id": b["_id"], "host": b["host"], "same": key} | {k: b[k] for k in keys} | dict(zip(names, made, strict=True)))
 
     rows = docs.select(
         F.col(id_col).alias("_id"),
         F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host"),
         F.col(text_col).alias("_text"),
+        *keys,
     )
+    kept_keys = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     stats = rows.mapInPandas(
         run,
         f"_id {kind}, host string, same string, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
-        " n_repeat_words long, lines array<long>, line_words array<int>",
+        " n_repeat_words long, lines array<long>, line_words array<int>, line_at array<int>"
+        + kept_keys,
     )
     stats = cut(stats.withColumn("row", F.monotonically_increasing_id()), "stats")
     # one row speaks for all equal texts of a host; the minimum of a hash-free key is decided map-side first
@@ -101,20 +107,31 @@ def line_quality(
     )
     counted = voices.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > min_docs)
     frequent = cut(counted.join(limits, "host").where("docs > most").select("host", "line"), "frequent")
-    each = stats.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select(
-        "row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("held")
+    each = stats.select("row", "host", F.explode(F.arrays_zip("lines", "line_words", "line_at")).alias("l")).select(
+        "row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("held"), F.col("l.line_at").alias("at")
     )
-    removed = each.join(frequent, ["host", "line"]).groupBy("row").agg(F.sum("held").alias("n_removed_words"))
-    out = stats.drop("lines", "line_words", "same").join(removed, "row", "left")
+    removed = each.join(frequent, ["host", "line"]).groupBy("row")
+    removed = removed.agg(F.sum("held").alias("n_removed_words"), F.sort_array(F.collect_list("at")).alias("removed_lines"))
+    out = stats.drop("lines", "line_words", "line_at", "same").join(removed, "row", "left")
     gone = F.coalesce("n_removed_words", F.lit(0))
     left = F.col("n_words") - gone
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = (gone > 0) & ((left < min_left * F.col("n_words")) | (left < min_words))
     return out.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        gone.alias("n_removed_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
+        gone.alias("n_removed_words"), F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"),
+        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), *keys,
     )
 
 
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, their texts without the lines above the limits."""
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    judged = line_quality(rows, id_col, text_col, keys=("_row",), **options).where("kept").select("_row", "removed_lines")
+    left = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("removed_lines", i))
+    text = F.when(F.size("removed_lines") > 0, F.array_join(left, "\n")).otherwise(F.col(text_col))
+    return rows.join(judged, "_row").withColumn(text_col, text).select(*docs.columns)
+
+
 def op4_line_frequency(spark, sf_dir):
-    return line_quality(table(spark, sf_dir, "documents"))
+    return line_quality(table(spark, sf_dir, "documents")).drop("removed_lines")

@@ -105,7 +105,8 @@ def pieces(
     text_col: str = "text",
     batch_chars: int = 4_000_000,
 ) -> DataFrame:
-    """(id, piece, start, length, ids_crc32): each document's ids and ``end_id``, cut at ``capacity``."""
+    """(id, piece, start, length, ids_crc32, ids): each document's ids and ``end_id``, cut at
+    ``capacity``; ``ids`` are little-endian unsigned 32-bit bytes."""
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
@@ -124,14 +125,14 @@ def pieces(
                     coded += end
                     for k, s in enumerate(range(0, len(coded), 4 * capacity)):
                         part = coded[s : s + 4 * capacity]
-                        out.append((i, k, s // 4, len(part) // 4, zlib.crc32(part)))
-                frame = pd.DataFrame(out, columns=["_id", "piece", "start", "length", "ids_crc32"])
+                        out.append((i, k, s // 4, len(part) // 4, zlib.crc32(part), part))
+                frame = pd.DataFrame(out, columns=["_id", "piece", "start", "length", "ids_crc32", "ids"])
                 frame["_id"] = frame["_id"].astype(object if frame["_id"].isna().any() else b["_id"].dtype)
                 yield frame
                 at = stop
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    shape = f"_id {kind}, piece int, start long, length long, ids_crc32 long"
+    shape = f"_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary"
     return rows.mapInPandas(run, shape).withColumnRenamed("_id", id_col)
 
 
@@ -222,4 +223,4 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
 
 
 def op9_packing(spark, sf_dir):
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents")).drop("ids")
