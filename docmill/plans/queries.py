@@ -193,6 +193,11 @@ def entity_mentions(spark, d):
     return enrich.entity_mentions(docs, "doc_id", "text")
 
 
+@query()
+def whole_text_mentions(spark, d):
+    return enrich.entity_mentions(t(spark, d, "documents"), "doc_id", "text", head=2**31 - 1, most=2**31 - 1)
+
+
 @query(rf"""
 WITH w AS (SELECT DISTINCT item_id, unnest(ws) AS term FROM (SELECT item_id, {ASCII.format("text || ' Revenue and risks plan'")} AS ws FROM benchmark)),
 s(term, syn) AS (VALUES {SYNONYM_ROWS})
@@ -354,13 +359,13 @@ def query_flags(spark, d):
 
 @query()
 def tfidf_cosine(spark, d):
-    h = hits(spark, d).where("rank < 10").join(t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
+    h = hits(spark, d).join(t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
     return retrieve.tfidf_cosine(h, "text")
 
 
 @query()
 def mmr_select(spark, d):
-    h = hits(spark, d).where("rank < 10").join(t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
+    h = hits(spark, d).join(t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
     return retrieve.mmr_select(retrieve.score_pairs(h), retrieve.tfidf_cosine(h, "text"))
 
 
