@@ -26,12 +26,21 @@ from pyspark.sql import functions as F
 
 from docmill.llm._common import table
 
+# A private key: its header and all up to the matching footer, before which no other dashes stand.
+# Where that is missing, the base64 that follows: a run on the header's line, then header fields,
+# empty lines and lines of base64 alone. Line ends may be written as escapes, as in JSON.
+PEM = (
+    r"-----BEGIN ([A-Z ]{0,30})PRIVATE KEY-----"
+    r"(?:[^-]*(?:-(?!----)[^-]*)*-----END \1PRIVATE KEY-----"
+    r"|(?:[ \t]*[A-Za-z0-9+/]{40,}={0,2})?"
+    r"(?:(?:[ \t]*(?:\r?\n|(?:\\r)?\\n))+[ \t]*(?:(?:Proc-Type|DEK-Info):[^\n\\]*|[A-Za-z0-9+/]+={0,2}(?=[ \t]*(?:\r?\n|\\[rn]|[\"',]|\Z))))*)"
+)
 # Base rules (kind, pattern, group whose length is tested, least length) first.
 RULES = [
     ("assign", r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
-    ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 0),
+    ("pem", PEM, 0, 0),
     ("forge", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     ("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
