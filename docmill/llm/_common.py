@@ -16,23 +16,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder (``spark.checkpoint.dir``); one of our own where it is unset."""
+    """The cluster's shared scratch folder (``spark.checkpoint.dir``). Where it is unset a local
+    master gets a folder of its own; executors of a cluster could not share one, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="docmill-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return path.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it can be removed when the application ends."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later jobs start from
-    the files, so neither a lost executor nor a second use computes it again."""
+    the files, so neither a lost executor nor a second use computes it again. Results read these
+    files, so they stay until whoever has consumed the results removes ``scratch_dir``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
+    """``df`` written with a number for each row, and that column's name: rows can then be told
+    apart whatever their ids are."""
+    row = free_name(df, "_row")
+    return cut(df.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def prefix(
     df: DataFrame,
     groups: list[str],
@@ -107,4 +131,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         labels = labels.join(at("label"), "label", "left").select(
             "node", F.coalesce("label_to", "label").alias("label")
         )
+        if k % 3 == 0:  # keeps the plan of the labels short
+            labels = cut(labels, "labels")
     return labels

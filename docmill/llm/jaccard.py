@@ -8,8 +8,9 @@ last; the sample decides how many candidates there are, not which links are foun
 rounds each shingle's texts are verified against one of them and linked texts are contracted;
 then all pairs of texts that are not yet connected are verified, on their whole sets.
 
-SimHash fingerprints cannot serve here: at 0.8 they differ in about ten of 64 bits, and a ball
-of that radius reaches nearly every leaf of a tree over them.
+This completes ``simhash.keep_one``: links that its trees found (``seeds``) are verified first,
+and their texts are then one text to the rounds. At 0.8 fingerprints differ in about ten of 64
+bits, and a ball of that radius reaches nearly every leaf of a tree over them.
 
 Edge cases: null texts are left out, so they are never copies; texts without words are copies
 of each other; texts with equal words are one text; texts of fewer words are one shingle.
@@ -67,17 +68,26 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, threshold: float = 0.8
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle_words: int = 5,
+    threshold: float = 0.8,
+    keys: tuple[str, ...] = (),
+    seeds: DataFrame | None = None,
 ) -> DataFrame:
-    """(id, key, component_id) of each row with a text: component_id is the smallest id that links reach."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    """(id, key, label, component_id, *keys) of each row with a text. Equal labels: one class;
+    component_id is the smallest id in it. ``seeds`` (the columns ``keys``, tree) names rows that
+    may be alike."""
+    of = lambda c: docs.schema[c].dataType.simpleString()
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keys)
 
-    def keys(batches):
+    def keyed(batches):
         for b in batches:
-            yield pd.DataFrame({"_id": b["_id"], "key": np.array([line_key(word_line(t)) for t in b["_text"]], np.int64)})
+            made = np.array([line_key(word_line(t)) for t in b["_text"]], np.int64)
+            yield pd.DataFrame({"_id": b["_id"], "key": made} | {k: b[k] for k in keys})
 
-    each = cut(rows.mapInPandas(keys, f"_id {kind}, key long"), "keys")
+    each = cut(rows.mapInPandas(keyed, f"_id {of(id_col)}, key long" + "".join(f", `{k}` {of(k)}" for k in keys)), "keys")
     step = max(1, each.count() // SAMPLE)
 
     def sampled(batches):
@@ -130,7 +140,13 @@ def near_duplicates(
         return cut(with_both.select("a", "b", "x", "y").mapInPandas(verify, "a long, b long"), "links")
 
     near = (F.least("n", "size") >= threshold * F.greatest("n", "size") - 1e-9) & (F.col("label") != F.col("other"))
-    links, labels, open_ = None, None, entries.withColumn("label", F.col("key"))
+    links, open_ = None, entries.withColumn("label", F.col("key"))
+    relabelled = lambda labels: entries.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    if seeds is not None:
+        known = cut(each.join(seeds, list(keys)).select("tree", "key").distinct(), "seeds")
+        heads = known.groupBy("tree").agg(F.min("key").alias("a"), F.max("key").alias("_high")).where("a < _high").select("tree", "a")
+        links = verified(known.join(heads, "tree").where("a <> key").select("a", F.col("key").alias("b")))
+        open_ = cut(relabelled(components(links, "a", "b")), "open")
     for last in (False, False, True):
         mixed = open_.groupBy("hash").agg(
             F.min("label").alias("_low"), F.max("label").alias("_high"), F.max(F.struct("label", F.col("key").alias("a"), F.col("size").alias("n"))).alias("m")
@@ -145,19 +161,9 @@ def near_duplicates(
         made = verified(pairs.select("a", F.col("key").alias("b")))
         links = made if links is None else links.union(made)
         labels = cut(components(links, "a", "b"), "labels")
-        open_ = entries.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         if not last:
-            open_ = cut(open_, "open")
+            open_ = cut(relabelled(labels), "open")
     named = each.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     named = cut(named, "named")
     least = named.groupBy("label").agg(F.min("_id").alias("component_id"))
-    return named.join(least, "label").select(F.col("_id").alias(id_col), "key", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with one document of each class: the one with the smallest id. Rows
-    that repeat the kept id are kept as well, and so are rows without an id or a text."""
-    found = cut(near_duplicates(docs, id_col, text_col, **options).select(id_col, "component_id"), "classes")
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct().join(kept, id_col, "left_anti")
-    return docs.join(cut(gone, "copies"), id_col, "left_anti").select(*docs.columns)
+    return named.join(least, "label").select(F.col("_id").alias(id_col), "key", "label", "component_id", *keys)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm._common import cut, table
+from docmill.llm._common import cut, free_name, numbered, table
 
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 _DIGITS, _OTHER = re.compile(rb"[0-9]+"), re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -126,11 +126,12 @@ def line_quality(
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are kept, their texts without the lines above the limits."""
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    judged = line_quality(rows, id_col, text_col, keys=("_row",), **options).where("kept").select("_row", "removed_lines")
-    left = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("removed_lines", i))
-    text = F.when(F.size("removed_lines") > 0, F.array_join(left, "\n")).otherwise(F.col(text_col))
-    return rows.join(judged, "_row").withColumn(text_col, text).select(*docs.columns)
+    rows, row = numbered(docs)
+    gone = free_name(rows, "_removed")
+    judged = line_quality(rows, id_col, text_col, keys=(row,), **options).where("kept").select(row, F.col("removed_lines").alias(gone))
+    left = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(gone, i))
+    text = F.when(F.size(gone) > 0, F.array_join(left, "\n")).otherwise(F.col(text_col))
+    return rows.join(judged, row).withColumn(text_col, text).select(*docs.columns)
 
 
 def op4_line_frequency(spark, sf_dir):

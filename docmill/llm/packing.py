@@ -14,7 +14,6 @@ table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import os
-import zlib
 from bisect import bisect_right
 
 import numpy as np
@@ -105,8 +104,8 @@ def pieces(
     text_col: str = "text",
     batch_chars: int = 4_000_000,
 ) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, ids): each document's ids and ``end_id``, cut at
-    ``capacity``; ``ids`` are little-endian unsigned 32-bit bytes."""
+    """(id, piece, start, length, ids): each document's ids and ``end_id``, cut at ``capacity``;
+    ``ids`` are little-endian unsigned 32-bit bytes."""
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
@@ -125,14 +124,14 @@ def pieces(
                     coded += end
                     for k, s in enumerate(range(0, len(coded), 4 * capacity)):
                         part = coded[s : s + 4 * capacity]
-                        out.append((i, k, s // 4, len(part) // 4, zlib.crc32(part), part))
-                frame = pd.DataFrame(out, columns=["_id", "piece", "start", "length", "ids_crc32", "ids"])
+                        out.append((i, k, s // 4, len(part) // 4, part))
+                frame = pd.DataFrame(out, columns=["_id", "piece", "start", "length", "ids"])
                 frame["_id"] = frame["_id"].astype(object if frame["_id"].isna().any() else b["_id"].dtype)
                 yield frame
                 at = stop
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    shape = f"_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary"
+    shape = f"_id {kind}, piece int, start long, length long, ids binary"
     return rows.mapInPandas(run, shape).withColumnRenamed("_id", id_col)
 
 
@@ -195,7 +194,7 @@ def places(plan: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
 
 
 def pack(cut_pieces: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> DataFrame:
-    """``cut_pieces`` with sequence_id and offset; sequences hold at most ``capacity`` tokens."""
+    """``cut_pieces`` (id, piece, length, ids_crc32 and any other columns) with sequence_id and offset; sequences hold at most ``capacity`` tokens."""
     histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     place = places(plan_bins(histogram, capacity))
     ranked = prefix(cut_pieces, ["length"], [id_col, "piece", "ids_crc32"], rank="_rank", rows=sum(histogram.values()))
@@ -217,10 +216,12 @@ def pack(cut_pieces: DataFrame, capacity: int = 2048, id_col: str = "doc_id") ->
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, **names) -> DataFrame:
-    """Every document's pieces with their places in sequences of at most ``capacity`` tokens."""
-    id_col = names.get("id_col", "doc_id")
-    return pack(cut(pieces(docs, tokenizer, capacity, end_id, **names), "pieces"), capacity, id_col)
+    """Every document's pieces, their ids' crc32 and their places in sequences of at most ``capacity`` tokens."""
+    made = pieces(docs, tokenizer, capacity, end_id, **names).withColumn("ids_crc32", F.crc32("ids"))
+    return pack(cut(made, "pieces"), capacity, names.get("id_col", "doc_id"))
 
 
 def op9_packing(spark, sf_dir):
-    return pack_documents(table(spark, sf_dir, "documents")).drop("ids")
+    """The digest of each piece's ids comes from the ids themselves; only the digest is written."""
+    made = pieces(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids"))
+    return pack(cut(made.drop("ids"), "pieces"))

@@ -1,14 +1,22 @@
 """SimHash near-duplicates by vantage-point trees over fingerprints.
 
-Fingerprints within three bits agree to within one bit in at least one 32-bit half. For each
-half one vantage-point tree partitions the distinct fingerprints by Hamming distance: a node
-holds a vantage point and a radius, points within the radius go in, others out. A point's
-home is one leaf; it is also sent to every leaf that its ball of one bit reaches by the
-triangle bound (in if d - 1 <= radius, out if d + 1 > radius). Each leaf compares its homes
-with all it was sent on the full 64 bits, exactly, and returns a spanning forest, not pairs.
-
-The tree's nodes are fitted on a bounded sample (``sample_per_leaf`` times the leaves, at most
-2**20 fingerprints); every fingerprint is indexed and queried, so no link is lost.
+Fingerprints within ``max_bits`` agree on at least one of max_bits + 1 pieces. For each piece
+one vantage-point tree partitions the distinct fingerprints by Hamming distance: a node holds a
+vantage point and a radius, points within the radius go in, others out. On its piece a
+fingerprint looks for equal values only (a ball of radius zero), so it goes to one leaf a tree:
+``max_bits`` + 1 copies however deep the trees are. A leaf with over ``most_rows`` fingerprints
+is dealt again by the pieces of the bits left, so fingerprints with equal pieces are split as
+well. Inside a leaf a second tree over the whole fingerprints forms shards, and each fingerprint
+queries those that its ball of ``max_bits`` reaches by the triangle bound (in if d - max_bits <=
+radius, out if d + max_bits > radius); pairs are compared exactly there. A leaf returns a
+spanning forest, not pairs.
+
+The distributed trees' nodes are fitted on a bounded sample (``sample_per_leaf`` times the
+leaves, at most 2**20 fingerprints); every fingerprint is indexed and queried, so no link is lost.
+
+``keep_one`` judges texts by the Jaccard similarity of their shingles. Links of the trees are
+verified first; similar texts whose fingerprints differ in more bits (about ten of 64 at 0.8)
+are found by ``jaccard``.
 
 Edge cases: null or word-less text has fingerprint zero and links like any other; equal
 fingerprints share one component; repeated rows are returned as often as they come; an empty
@@ -23,9 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm._common import components, cut, table
+from docmill.llm import jaccard
+from docmill.llm._common import components, cut, numbered, table
 
-HALF_BITS, HALF_RADIUS, MAX_SAMPLE = 32, 1, 1 << 20
+MAX_SAMPLE = 1 << 20
 
 
 def fingerprint(text: str | None, shingle_words: int = 3, seed: int = 42) -> int:
@@ -47,28 +56,42 @@ def fingerprint(text: str | None, shingle_words: int = 3, seed: int = 42) -> int
     return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, fp, *keys): fp is the fingerprint as a signed long."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t, shingle_words) for t in b["_text"]], np.uint64)
-            yield pd.DataFrame({"_id": b["_id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"_id": b["_id"], "_fp": fps.view(np.int64)} | {k: b[k] for k in keys})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, f"_id {kind}, fp long").withColumnRenamed("_id", id_col)
+    of = lambda c: docs.schema[c].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keys)
+    made = rows.mapInPandas(run, f"_id {of(id_col)}, _fp long" + "".join(f", `{k}` {of(k)}" for k in keys))
+    return made.select(F.col("_id").alias(id_col), F.col("_fp").alias("fp"), *keys)
 
 
-def halves(fps: np.ndarray, tree: int) -> np.ndarray:
-    u = fps.view(np.uint64)
-    return (u >> np.uint64(32) if tree == 0 else u & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def piece_bounds(bits: int, pieces: int) -> list[tuple[int, int]]:
+    """(lowest bit, number of bits) of each piece."""
+    edges = [bits * i // pieces for i in range(pieces + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def piece(u: np.ndarray, low: int, bits: int) -> np.ndarray:
+    return (u >> np.uint64(low)) & np.uint64((1 << bits) - 1)
+
+
+def without_piece(u: np.ndarray, low: int, bits: int) -> np.ndarray:
+    """The bits outside a piece, moved together."""
+    above = u >> np.uint64(low + bits) if low + bits < 64 else np.zeros_like(u)
+    return (above << np.uint64(low)) | piece(u, 0, low)
 
 
-def build_tree(points: np.ndarray, depth: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def build_tree(points: np.ndarray, depth: int, bits: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Vantage points and radii of a full binary tree; node i has children 2i+1 (in), 2i+2 (out)."""
     rng = np.random.default_rng(seed)
-    vantage, radius = np.zeros(2**depth - 1, np.uint32), np.full(2**depth - 1, HALF_BITS // 2, np.int16)
+    vantage, radius = np.zeros(2**depth - 1, np.uint64), np.full(2**depth - 1, bits // 2, np.int16)
     held = {0: points}
     for node in range(2**depth - 1):
         own = held.pop(node, points[:0])
@@ -76,22 +99,18 @@ def build_tree(points: np.ndarray, depth: int, seed: int = 7) -> tuple[np.ndarra
             vantage[node] = own[rng.integers(len(own))]
             d = np.bitwise_count(own ^ vantage[node])
             radius[node] = np.median(d)
+            if radius[node] == d.max() and d.min() < d.max():  # ties: the outermost shell goes out
+                radius[node] -= 1
             held[2 * node + 1], held[2 * node + 2] = own[d <= radius[node]], own[d > radius[node]]
     return vantage, radius
 
 
-def route(points: np.ndarray, vantage: np.ndarray, radius: np.ndarray, depth: int):
-    """(row, leaf, home) for every leaf that the ball of HALF_RADIUS around each point reaches."""
-    row, node, home = np.arange(len(points)), np.zeros(len(points), np.int64), np.ones(len(points), bool)
+def route(points: np.ndarray, vantage: np.ndarray, radius: np.ndarray, depth: int) -> np.ndarray:
+    """The leaf of each point."""
+    node = np.zeros(len(points), np.int64)
     for _ in range(depth):
-        d = np.bitwise_count(points[row] ^ vantage[node]).astype(np.int16)
-        r = radius[node]
-        inside, outside = d - HALF_RADIUS <= r, d + HALF_RADIUS > r
-        is_in = d <= r
-        row = np.concatenate([row[inside], row[outside]])
-        home = np.concatenate([(home & is_in)[inside], (home & ~is_in)[outside]])
-        node = np.concatenate([2 * node[inside] + 1, 2 * node[outside] + 2])
-    return row, node - (2**depth - 1), home
+        node = 2 * node + 1 + (np.bitwise_count(points ^ vantage[node]) > radius[node])
+    return node - (2**depth - 1)
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray, lab: np.ndarray | None = None) -> np.ndarray:
@@ -107,73 +126,118 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, lab: np.ndarray | None = None)
             lab = lab[lab]
 
 
-def compare_leaf(fps: np.ndarray, home: np.ndarray, max_bits: int, block: int = 128):
-    """Spanning forest (fp, root fp) of the links between the leaf's homes and all it was sent."""
+def shards(u: np.ndarray, max_bits: int, shard_rows: int):
+    """(members, queries) of a vantage-point tree's shards: each query's ball reaches the shard."""
+    rng = np.random.default_rng(len(u))
+    todo = [(np.arange(len(u)), np.arange(len(u)))]
+    while todo:
+        own, asks = todo.pop()
+        if len(own) > shard_rows:
+            v = u[own[rng.integers(len(own))]]
+            d, e = (np.bitwise_count(u[x] ^ v).astype(np.int16) for x in (own, asks))
+            radius = int(np.median(d))
+            radius -= radius == d.max()
+            inside = d <= radius
+            if inside.any() and not inside.all():
+                todo += [(own[inside], asks[e - max_bits <= radius]), (own[~inside], asks[e + max_bits > radius])]
+                continue
+        yield own, asks
+
+
+def compare_leaf(fps: np.ndarray, max_bits: int, shard_rows: int = 256, block: int = 128):
+    """Spanning forest (fp, root fp) of all links within a leaf."""
     u = fps.view(np.uint64)
-    lab, homes = np.arange(len(u)), np.flatnonzero(home)
-    for k in range(0, len(homes), block):
-        h = homes[k : k + block]
-        i, j = np.nonzero(np.bitwise_count(u[h][:, None] ^ u[None, :]) <= max_bits)
-        if len(i) > len(h):
-            lab = forest(len(u), h[i], j, lab)
+    lab = np.arange(len(u))
+    for own, asks in shards(u, max_bits, shard_rows):
+        for k in range(0, len(asks), block):
+            h = asks[k : k + block]
+            i, j = np.nonzero(np.bitwise_count(u[h][:, None] ^ u[own][None, :]) <= max_bits)
+            apart = h[i] != own[j]
+            if apart.any():
+                lab = forest(len(u), h[i[apart]], own[j[apart]], lab)
     tied = np.flatnonzero(lab != np.arange(len(u)))
     return fps[tied], fps[lab[tied]]
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle_words: int = 3,
-    max_bits: int = 3,
-    leaf_rows: int = 256,
-    sample_per_leaf: int = 16,
-) -> DataFrame:
-    """(id, fp, fingerprint, component_id): classes of documents linked by fingerprints at most
-    ``max_bits`` apart; component_id is the smallest id that links reach."""
-    if max_bits > 2 * HALF_RADIUS + 1:
-        raise ValueError("halves with a ball of one bit find pairs up to three bits apart")
-    spark = docs.sparkSession
-    each = cut(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    distinct = cut(each.groupBy("fp").agg(F.min(id_col).alias("_first")), "distinct")
+def tree_links(distinct: DataFrame, max_bits: int = 3, leaf_rows: int = 1024, most_rows: int = 8192, sample_per_leaf: int = 16) -> DataFrame:
+    """(a, b): links of ``distinct`` (fp long, no two equal) that connect all fingerprints at most ``max_bits`` apart."""
     n = distinct.count()
-    depth = max(0, min(int(np.ceil(np.log2(max(n, 1) / leaf_rows))), int(np.log2(MAX_SAMPLE / sample_per_leaf))))
-    want = min(MAX_SAMPLE, sample_per_leaf * 2**depth)
-    step = max(1, n // want)
+    parts = piece_bounds(64, max_bits + 1)
+    most_depth = int(np.log2(MAX_SAMPLE / sample_per_leaf))
+    depth = max(0, min(int(np.ceil(np.log2(max(n, 1) / leaf_rows))), most_depth, min(b for _, b in parts)))
+    step = max(1, n // min(MAX_SAMPLE, sample_per_leaf * 2**depth))
     some = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(step)) == 0).select("fp").orderBy("fp").limit(MAX_SAMPLE)
-    sample = some.toPandas()["fp"].to_numpy(np.int64)
-    trees = [build_tree(halves(sample, t), depth) for t in (0, 1)]
+    sample = some.toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    trees = [build_tree(piece(sample, low, bits), depth, bits) for low, bits in parts]
 
     def visits(batches):
         for b in batches:
             fps = b["fp"].to_numpy(np.int64)
-            for t, (vantage, radius) in enumerate(trees):
-                row, leaf, home = route(halves(fps, t), vantage, radius, depth)
-                yield pd.DataFrame({"leaf": leaf + t * 2**depth, "fp": fps[row], "home": home})
+            for t, ((low, bits), (vantage, radius)) in enumerate(zip(parts, trees, strict=True)):
+                leaf = route(piece(fps.view(np.uint64), low, bits), vantage, radius, depth)
+                yield pd.DataFrame({"leaf": t * 2**depth + leaf, "sub": np.int64(-1), "fp": fps})
 
-    def leaf(pdf):
-        a, b = compare_leaf(pdf["fp"].to_numpy(np.int64), pdf["home"].to_numpy(bool), max_bits)
+    def split(batches):
+        for b in batches:
+            for t, own in b.groupby(b["leaf"] // 2**depth):
+                fps, (low, bits) = own["fp"].to_numpy(np.int64), parts[t]
+                rest = without_piece(fps.view(np.uint64), low, bits)
+                for q, (lo, n_bits) in enumerate(piece_bounds(64 - bits, max_bits + 1)):
+                    value = piece(rest, lo, n_bits).astype(np.int64)
+                    yield pd.DataFrame({"leaf": own["leaf"], "sub": (q << n_bits) | value, "fp": fps})
+
+    def compare(pdf):
+        a, b = compare_leaf(pdf["fp"].to_numpy(np.int64), max_bits)
         return pd.DataFrame({"a": a, "b": b})
 
-    sent = distinct.select("fp").mapInPandas(visits, "leaf long, fp long, home boolean")
-    links = cut(sent.groupBy("leaf").applyInPandas(leaf, "a long, b long"), "links")
-    labels = components(links, "a", "b")
+    shape = "leaf long, sub long, fp long"
+    sent = distinct.select("fp").mapInPandas(visits, shape)
+    big = cut(sent.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_rows).select("leaf"), "big_leaves")
+    if not big.isEmpty():
+        again = sent.join(big, "leaf", "left_semi").mapInPandas(split, shape)
+        sent = sent.join(big, "leaf", "left_anti").unionByName(again)
+    return cut(sent.groupBy("leaf", "sub").applyInPandas(compare, "a long, b long"), "links")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle_words: int = 3,
+    max_bits: int = 3,
+    leaf_rows: int = 1024,
+    most_rows: int = 8192,
+    keys: tuple[str, ...] = (),
+) -> DataFrame:
+    """(id, fp, fingerprint, label, component_id, *keys): classes of documents linked by
+    fingerprints at most ``max_bits`` apart. Equal labels: one class; component_id is the
+    smallest id in it (classes may share one where ids repeat)."""
+    each = cut(fingerprints(docs, id_col, text_col, shingle_words, keys), "fingerprints")
+    distinct = cut(each.groupBy("fp").agg(F.min(id_col).alias("_first")), "distinct")
+    labels = components(tree_links(distinct, max_bits, leaf_rows, most_rows), "a", "b")
     classes = distinct.join(labels, distinct.fp == labels.node, "left").select(
         "fp", "_first", F.coalesce("label", "fp").alias("label")
     )
     classes = cut(classes, "classes")
     least = classes.groupBy("label").agg(F.min("_first").alias("component_id"))
-    by_fp = cut(classes.join(least, "label").select("fp", "component_id"), "by_fp")
+    by_fp = cut(classes.join(least, "label").select("fp", "label", "component_id"), "by_fp")
     text = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return each.join(by_fp, "fp").select(id_col, "fp", text, "component_id")
+    return each.join(by_fp, "fp").select(id_col, "fp", text, "label", "component_id", *keys)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with one document of each class: the one with the smallest id.
-    Rows that repeat the kept id are kept as well; rows without an id are kept."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, threshold: float = 0.8, max_bits: int = 3
+) -> DataFrame:
+    """The rows of ``docs`` with one row of each class of texts that links of a Jaccard
+    similarity of ``threshold`` or more connect: the one with the smallest id. Rows without a
+    text are kept; a row without an id gives way to one with an id."""
+    rows, row = numbered(docs)
+    texts = rows.where(F.col(text_col).isNotNull())
+    trees = near_duplicates(texts, id_col, text_col, shingle_words, max_bits, keys=(row,)).select(row, F.col("label").alias("tree"))
+    found = cut(jaccard.near_duplicates(rows, id_col, text_col, shingle_words, threshold, keys=(row,), seeds=trees), "found")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, row))[row].alias(row))
+    gone = cut(found.select(row).join(first.select(row), row, "left_anti"), "copies")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op3_simhash(spark, sf_dir):

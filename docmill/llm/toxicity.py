@@ -11,7 +11,8 @@ every document. Rows held out (``crc32(id) mod folds = 0``) are never learned fr
 
 Edge cases: null and empty texts are scored like any other from their (zero) features; with
 no labels, or labels of one kind only, every score is that kind's share (0 without labels);
-null labels are skipped, of contradicting labels the larger counts; repeated rows are scored
+with too few for a fitting and a calibration part that hold both kinds, the trees are
+fitted on all of them and their raw score stands; null labels are skipped, of contradicting labels the larger counts; repeated rows are scored
 each; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -29,7 +30,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm._common import cut, table
+from docmill.llm._common import cut, numbered, table
 
 GRADES = (0.8, 0.55, 0.35)
 BEGINNINGS = (4, 5, 6)
@@ -172,16 +173,18 @@ def score_toxicity(
     min_docs: int = 3,
     trees: int = 20,
     depth: int = 4,
+    keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(row columns id, held_out, score, predicted) of every document."""
+    """(id, held_out, score, predicted, *keys) of every document."""
     kind = docs.schema[id_col].dataType.simpleString()
     fold = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(F.col(id_col)) != 0))
     known = known.groupBy(F.col(id_col).alias("_k")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     chosen = cut(known.orderBy(F.xxhash64("_k"), "_k").limit(max_labels), "labels")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *keys)
+    kept_keys = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     out = lambda score, df: df.select(
-        F.col("_id").alias(id_col), (fold(F.col("_id")) == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted")
+        F.col("_id").alias(id_col), (fold(F.col("_id")) == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), *keys
     )
     # at most max_labels rows of two numbers: safe to broadcast
     labelled = cut(rows.join(F.broadcast(chosen), rows["_id"] == F.col("_k")).select("_id", "text", "toxic"), "labelled")
@@ -199,22 +202,35 @@ def score_toxicity(
     def every(batches):
         for b in batches:
             made = [features(t, grader) for t in b["text"]]
-            yield pd.concat([b[["_id"]].reset_index(drop=True), pd.DataFrame(made, columns=FEATURES, dtype=float)], axis=1)
+            yield pd.concat([b[["_id", *keys]].reset_index(drop=True), pd.DataFrame(made, columns=FEATURES, dtype=float)], axis=1)
 
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     train = assemble.transform(cut(labelled.mapInPandas(own, f"_id {kind}, toxic int, {shape}"), "training")).coalesce(4)
     part = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(3))
     model = GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=5, maxBins=64)
+    kinds = {(r["fit"], r["toxic"]) for r in train.select((part != 0).alias("fit"), "toxic").distinct().collect()}
+    if len(kinds) < 4:  # too few labels for two parts with both kinds: trees on all of them, no map
+        part = F.lit(1)
     fitted = model.fit(train.where(part != 0).select("features", "toxic"))
     raw = lambda df: fitted.transform(df).withColumn("raw", vector_to_array("probability")[1])
-    calibration = raw(train.where(part == 0).select("features", "toxic")).select("raw", F.col("toxic").cast("double").alias("label"))
-    iso = IsotonicRegression(featuresCol="raw", labelCol="label").fit(calibration)
-    scored = raw(assemble.transform(rows.mapInPandas(every, f"_id {kind}, {shape}")))
-    level = iso.transform(scored.select("_id", "raw"))
+    scored = raw(assemble.transform(rows.mapInPandas(every, f"_id {kind}{kept_keys}, {shape}"))).select("_id", *keys, "raw")
+    if len(kinds) < 4:
+        level = scored.withColumn("prediction", F.col("raw"))
+    else:
+        calibration = raw(train.where(part == 0).select("features", "toxic")).select("raw", F.col("toxic").cast("double").alias("label"))
+        level = IsotonicRegression(featuresCol="raw", labelCol="label").fit(calibration).transform(scored)
     # a thousandth of the raw score keeps the order inside a level
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction") * 0.999 + F.col("raw") * 0.001))
     return out(score, level)
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose own text is not predicted toxic."""
+    rows, row = numbered(docs)
+    scored = score_toxicity(rows, labels, id_col, text_col, keys=(row,), **options)
+    rejected = cut(scored.where("predicted = 1").select(row), "toxic")
+    return rows.join(rejected, row, "left_anti").select(*docs.columns)
+
+
 def op5_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

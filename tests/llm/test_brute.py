@@ -69,28 +69,32 @@ def test_simhash(spark, docs, texts):
     out = simhash.near_duplicates(docs, leaf_rows=16).collect()
     assert {r["doc_id"]: r["fingerprint"] for r in out} == {i: f"{f:016x}" for i, f in want.items()}
     assert {r["doc_id"]: r["component_id"] for r in out} == classes(want, near)
-    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
-    assert kept == {r["component_id"] for r in out}
+    for options in ({"leaf_rows": 16, "most_rows": 24}, {"leaf_rows": 4, "most_rows": 1 << 20}, {"max_bits": 5, "leaf_rows": 16}):
+        bits = options.get("max_bits", 3)
+        near = [(a, b) for a in want for b in want if a < b and bin(want[a] ^ want[b]).count("1") <= bits]
+        assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, **options).collect()} == classes(want, near)
 
 
-def test_simhash_finds_every_planted_pair():
+def test_trees_find_every_link_and_split_equal_pieces(spark):
+    """Half of the fingerprints share three of four pieces; leaves are far smaller than that group."""
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**63, 3000, np.int64)
+    u64 = np.uint64
+    base = rng.integers(0, 2**63, 1500, np.int64).view(u64)
+    base[:700] = (base[:700] & u64(0xFFFF)) | u64(0x1234567890AB0000)
     near = base.copy()
     for i in range(len(near)):
         for b in rng.choice(64, 3, replace=False):
-            near[i] ^= np.int64(np.uint64(1) << np.uint64(b))
-    fps = np.concatenate([base, near])
-    found = set()
-    for t in (0, 1):
-        tree = simhash.build_tree(simhash.halves(fps[::3], t), 5)
-        row, leaf, home = simhash.route(simhash.halves(fps, t), *tree, 5)
-        assert np.bincount(row[home], minlength=len(fps)).tolist() == [1] * len(fps)
-        for k in range(32):
-            own = leaf == k
-            a, b = simhash.compare_leaf(fps[row[own]], home[own], 3)
-            found |= {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    assert all(frozenset(p) in found for p in zip(base.tolist(), near.tolist(), strict=True))
+            near[i] ^= u64(1) << u64(b)
+    fps = np.unique(np.concatenate([base, near]))
+    want = classes(fps.tolist(), [(int(fps[i]), int(fps[j])) for k in range(0, len(fps), 200) for i, j in zip(*np.nonzero(np.bitwise_count(fps[k : k + 200, None] ^ fps[None]) <= 3), strict=True) for i in [i + k] if i < j])
+    rows = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    for options in ({"leaf_rows": 64, "most_rows": 100}, {"leaf_rows": 256, "most_rows": 1 << 20}):
+        links = simhash.tree_links(rows, 3, **options).collect()
+        pairs = [tuple(np.array([r["a"], r["b"]], np.int64).view(u64).tolist()) for r in links]
+        assert classes(fps.tolist(), pairs) == want
+    for size in (8, 64, 5000):
+        a, b = simhash.compare_leaf(fps.view(np.int64), 3, shard_rows=size)
+        assert classes(fps.tolist(), zip(a.view(u64).tolist(), b.view(u64).tolist(), strict=True)) == want
 
 
 def test_packing(docs, texts):
@@ -193,16 +197,52 @@ def test_mixing_meets_its_targets(spark, docs):
     assert abs(-sum(r["weight"] * math.log(r["weight"]) for r in w) / math.log(3) - 0.6) < 1e-3
     w = mixing.source_weights(one, None, None, 3.0)[0].collect()
     assert max(r["weight"] * 101_010 / r["tokens"] for r in w) == pytest.approx(3.0, rel=1e-3)
-    out = mixing.mix(docs, entropy_share=0.999, blocks=8).collect()
-    weights = {r["source"][1:]: r for r in mixing.source_weights(counts, None, 0.999, 4.0)[0].collect()}
-    drawn, seen = Counter(), Counter()
-    for r in out:
-        drawn[r["source"]] += r["n_tokens"]
-        seen[r["doc_id"], r["check"], r["epoch"]] += 1
-    for s, r in weights.items():
-        assert r["quota"] <= drawn[s] < r["quota"] + 25_000
-    assert max(seen.values()) == 1 and {r["block"] for r in out} == set(range(8))
-    assert out and sorted(map(tuple, out)) == sorted(map(tuple, mixing.mix(docs, entropy_share=0.999, blocks=8).collect()))
+
+
+def test_mixing_against_plain_python(docs):
+    """Tempered weights, quotas, whole passes and blocks, all computed again from the texts."""
+    rows = docs.collect()
+    n = {(r["doc_id"], zlib.crc32((r["text"] or "").encode())): len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows}
+    of = {(r["doc_id"], zlib.crc32((r["text"] or "").encode())): r["source"] for r in rows}
+    sizes = Counter()
+    for k, v in n.items():
+        sizes[of[k]] += v
+    sizes = {s: v for s, v in sizes.items() if v}
+    total = sum(sizes.values())
+    entropy = lambda a: -sum(w * math.log(w) for v in sizes.values() for w in [v**a / sum(x**a for x in sizes.values())])
+    target = entropy(1.0) + 0.5 * (math.log(len(sizes)) - entropy(1.0))
+    low, high = 0.0, 1.0
+    for _ in range(24):
+        low, high = ((low + high) / 2, high) if entropy((low + high) / 2) > target else (low, (low + high) / 2)
+    exponent = round(high, 6)
+    assert exponent < 0.99
+    norm = sum((v / total) ** exponent for v in sizes.values())
+    for cover in (False, True):
+        out = mixing.mix(docs, blocks=8, cover=cover).collect()
+        assert all(abs(r["exponent"] - exponent) <= 2e-6 for r in out)
+        budget = max([total, *(math.ceil(v * norm / (v / total) ** exponent) for v in sizes.values())]) if cover else total
+        drawn = defaultdict(list)
+        for r in out:
+            assert r["n_tokens"] == n[r["doc_id"], r["check"]] and r["source"] == of[r["doc_id"], r["check"]]
+            drawn[r["source"]].append(r)
+        assert set(drawn) == set(sizes) and max(r["epoch"] for r in out) > 0
+        for s, own in drawn.items():
+            quota = (sizes[s] / total) ** exponent / norm * budget
+            epochs, docs_of = defaultdict(list), {k for k in n if of[k] == s and n[k]}
+            for r in own:
+                epochs[r["epoch"]].append((r["doc_id"], r["check"]))
+            last = max(epochs)
+            assert all(len(x) == len(set(x)) and set(x) <= docs_of for x in epochs.values())
+            assert all(set(epochs[e]) == docs_of for e in range(last))  # whole passes, then the cut one
+            got = sum(r["n_tokens"] for r in own)
+            assert quota - 3 <= got < quota + max(n[k] for k in docs_of) + 3
+            share = Counter()
+            for r in own:
+                share[r["block"]] += r["n_tokens"]
+            assert all(abs(x - got / 8) <= 2 * max(n[k] for k in docs_of) + 3 for x in share.values())
+        if cover:
+            assert {(r["doc_id"], r["check"]) for r in out} == {k for k, v in n.items() if v}
+        assert sorted(map(tuple, out)) == sorted(map(tuple, mixing.mix(docs, blocks=8, cover=cover).collect()))
 
 
 def test_template_removal(spark):
@@ -279,6 +319,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert out.score.between(0, 1).all()
 
 
+def test_toxicity_counts_equal_their_patterns(texts):
+    odd = ["", "A", "AB CD", "ÀÉ x", "w0rd @ss a$$ b*d 1 22 _x1_ é1x", "aaa bbb AAA f.u.c.k s p e l l", "x" * 50 + "1" * 50, "a-b-c-d a_b_c_d", "@@@ ### a#b #a# ab@"]
+    for t in [*odd, *texts.values()]:
+        assert toxicity.count_mixed(t) == len(toxicity._MIXED.findall(t))
+        assert toxicity.count_repeats(t, set(filter(str.isalpha, t))) == len(toxicity._REPEAT.findall(t))
+        assert toxicity.count_shouting(t) == len(re.findall(r"(?<!\w)[A-ZÄÖÜÉÈÀÑ]{2,}(?!\w)", t))
+
+
+@pytest.mark.parametrize("kinds", [(1, 0), (1, 1), (0,), (1, 0, 0, 1, 0), ()])
+def test_toxicity_with_few_labels(spark, kinds):
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"you are a vile wretch number {i}" if i % 2 else f"a calm walk by the river {i}") for i in range(60)]
+    labels = spark.createDataFrame([(ids[k], t) for k, t in enumerate(kinds)], "doc_id long, toxic int")
+    out = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(out) == 60 and all(0 <= r["score"] <= 1 for r in out)
+    if len(set(kinds)) < 2:
+        assert {r["score"] for r in out} == {float(max(kinds, default=0))}
+
+
 def test_word_encoder_equals_the_tokenizer(texts, monkeypatch):
     """Separators in texts, special tokens, accents, odd white space, and words forgotten in between."""
     from tokenizers import Tokenizer
