@@ -1,28 +1,28 @@
 """The corpus pipeline: each stage takes what the one before kept and returns documents; the
 last returns packed pieces.
 
-Edge cases are those of the operators; each stage keeps rows with null columns, repeated rows
-and further columns, and gives an empty table for an empty one."""
+Edge cases are those of the operators. Stages act on rows, not on ids: rows with a null id, ids
+that several texts share and repeated rows are judged each by their text, and no column of the
+documents is written over but text and n_chars. An empty table gives an empty result. Only
+rows that a stage rejects go: toxic texts, copies, and texts without a token (never drawn)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import jaccard, mixing, packing, secrets, toxicity
+from docmill.llm import mixing, packing, secrets, simhash, toxicity
 from docmill.llm._common import cut, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
-    rejected = cut(scored.where("predicted = 1").select("doc_id").distinct(), "toxic")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group linked by a Jaccard similarity of 0.8 of five-word shingles."""
-    return jaccard.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +32,12 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture draws them."""
-    return mixing.mixed_rows(docs)
+    """Documents as often as the mixture draws them, each once at least, in its order."""
+    return mixing.mixed_rows(docs, cover=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents and their places in sequences of 2048 tokens."""
     return packing.pack_documents(docs)
 
 
