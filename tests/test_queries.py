@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from docmill.plans.queries import ORACLE, QUERIES
@@ -12,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    blank = lambda x: x is None or x != x or str(x) in ("<NA>", "NaT")
+    blank = lambda x: x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x)
     text = lambda x: None if blank(x) else f"{x:.10g}" if isinstance(x, float) else str(x.tolist() if hasattr(x, "tolist") else x)
     number = lambda x: text(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) and not blank(x) else text(x)
     return sorted((tuple(number(v) for v in r) for r in frame.itertuples(index=False)), key=str)
