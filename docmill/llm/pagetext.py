@@ -1,23 +1,31 @@
 """Main text of HTML pages by site template removal.
 
-Each page is read once into blocks of text. An element outside the page's content root
-(<article>, <main>) and every container inside it gets the hash of its subtree: tag, class,
-id and text with digits masked. Spark counts, per host, in how many different pages a hash
-occurs; subtrees that recur on many pages of their host are its template and go with all
-blocks in them. Elements that are not content by their kind (scripts, menus, footers, forms,
-asides, adverts, notices, comments by tag, role, class or id) go as well, as their words may
-differ on each page. Pages whose content blocks are the same count once, so copies of an
-article do not make it a template.
+Each page is read once, in linear time, into blocks of text and element subtrees. A subtree's
+hash covers its tag, class, id and text with digits masked. Spark counts, per host, in how many
+different pages a hash occurs; subtrees that recur on many pages of their host are its template
+and go with all blocks in them. "Many" depends on what recurs: a container beside an <article> or
+<main> needs max(``min_pages``, ``beside_share`` of the host's pages), one on a page that has
+neither ``bare_share`` of them, and prose or anything inside an article, which may quote, needs
+max(``min_prose_pages``, ``prose_share`` of them).
+Pages that share their content's first and last block by hash count once, so copies and near
+copies of an article do not make it a template.
+
+Then come two plainer checks. Elements that are not content by their kind (scripts, menus,
+footers, forms, asides, and adverts, notices or comments by role, class or id) go where the
+template left them: their words may differ on each page, and a host may have a single page.
+Class names are taken as a whole: ``share-buttons`` is such a name, ``share-price`` is not.
+Last, where <article> and <main> hold most of the text that is left, the rest goes.
 
 Edge cases: null or empty html gives an empty text; a null or odd url is a host of its own;
-unclosed tags end with their parent; repeated rows are extracted each; an empty table gives
-an empty result; further columns are ignored.
+unclosed tags end with their parent, a tag that the page's end cuts off is markup; repeated rows
+are extracted each; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -36,113 +44,172 @@ INLINE = frozenset(
 DROPPED = frozenset(
     "head script style noscript template iframe object svg canvas nav footer aside form button select option textarea input dialog menu title".split()
 )
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr table tbody thead ul ol dl figcaption figure caption".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr table tbody thead dl figcaption figure caption".split())
 ROOTS = frozenset(("article", "main"))
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-NOT_CONTENT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar|footer|header|masthead|cookies?|consent|notice|gdpr|"
-    r"newsletter|subscribe|popup|modal|share|sharing|social|related|recommended|comments?|disqus|replies|respond|widget|toolbar|skip|pager|pagination)(?:$|[\s_-])",
-    re.I,
-)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_SPACE, _DIGIT = re.compile(r"\s+"), re.compile(r"\d+")
+# Words that name what is not content, and words that only say which or where.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar "
+    "footer header masthead cookie cookies consent notice gdpr newsletter subscribe popup modal share sharing social related recommended comment comments "
+    "disqus replies respond widget toolbar pager pagination".split()
+)
+PLACES = frozenset(
+    "site page main top bottom left right global primary secondary wrapper container box bar block slot list section area inner outer item items link links "
+    "button buttons icon icons form unit group panel row col content posts thread skip to side sticky fixed mobile desktop".split()
+)
+_TAG_END = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_SPACE, _DIGIT, _PART = re.compile(r"\s+"), re.compile(r"\d+"), re.compile(r"[-_\d]+|(?<=[a-z])(?=[A-Z])")
+_RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in RAW}
+
+
+def names_no_content(names: str) -> bool:
+    """Whether one of the names is made only of known words, one of which names no content."""
+    for name in names.split():
+        parts = [p.lower() for p in _PART.split(name) if p]
+        if any(p in NAMES for p in parts) and all(p in NAMES or p in PLACES for p in parts):
+            return True
+    return False
+
+
+def tags(html: str):
+    """(text before, tag, whether it closes, attributes' text) of each tag, in linear time; the
+    content of raw elements comes with a closing tag of theirs. The last tag is empty."""
+    at, start, size, quoted = 0, 0, len(html), True
+    while True:
+        i = html.find("<", at)
+        if i < 0 or i + 1 >= size:
+            break
+        mark = html[i + 1]
+        if mark == "!" or mark == "?":
+            end = html.find("-->", i + 4) if html.startswith("<!--", i) else html.find(">", i)
+            yield html[start:i], "!", False, ""
+            if end < 0:
+                return
+            at = start = end + (3 if html.startswith("<!--", i) else 1)
+            continue
+        closes = mark == "/"
+        name = _NAME.match(html, i + 1 + closes)
+        if not name:
+            if closes:  # a bogus comment
+                yield html[start:i], "!", False, ""
+                end = html.find(">", i)
+                if end < 0:
+                    return
+                at = start = end + 1
+            else:
+                at = i + 1
+            continue
+        end = _TAG_END.match(html, name.end()) if quoted else None
+        if not end:  # quotes are not balanced from here on
+            quoted = False
+            stop = html.find(">", name.end()) + 1
+        else:
+            stop = end.end()
+        if not stop:
+            yield html[start:i], "", False, ""
+            return
+        tag = name[0].lower()
+        yield html[start:i], tag, closes, html[name.end() : stop - 1]
+        at = start = stop
+        if tag in RAW and not closes:
+            end = _RAW_END[tag].search(html, at)
+            yield html[at : end.start() if end else size], tag, True, ""
+            if not end:
+                return
+            at = start = (html.find(">", end.start()) + 1) or size
+    yield html[start:], "", False, ""
+
+
+BESIDE, BARE, PROSE_LIKE = 0, 1, 2
 
 
 class _Element:
-    __slots__ = ("tag", "digest", "drop", "in_root", "hashed", "blocks_from")
+    __slots__ = ("tag", "digest", "drop", "in_root", "strict", "first")
 
     def __init__(self, tag, attrs, parent, n_blocks):
-        self.tag = tag
+        self.tag, self.first = tag, n_blocks
+        names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
         self.in_root = bool(parent and (parent.in_root or parent.tag in ROOTS))
-        named = " ".join(attrs.get(k, "") for k in ("class", "id"))
-        self.drop = bool(parent and parent.drop) or tag in DROPPED or attrs.get("role", "").lower() in ROLES
-        self.drop = self.drop or (tag not in ("html", "body", *ROOTS) and bool(NOT_CONTENT.search(named)))
-        self.drop = self.drop or (tag in ROOTS and bool(re.search(r"comment|reply", named, re.I))) or (tag == "header" and not self.in_root)
-        self.drop = self.drop or "hidden" in attrs
-        self.hashed = tag not in ("html", "body", *ROOTS) and tag not in INLINE and not (self.in_root and tag in PROSE)
-        self.digest = xxhash.xxh64(f"<{tag} {named}>")
-        self.blocks_from = n_blocks
-
-
-def page_blocks(html: str | None) -> tuple[list[str], list[int], list[int], list[int], list[int]]:
-    """Blocks' texts, and for the hashed subtrees their hash, first block, end block; and which
-    blocks lie in a content root."""
-    blocks, rooted = [], []
-    hashes: list[int] = []
-    starts: list[int] = []
-    ends: list[int] = []
+        self.strict = self.in_root or tag in PROSE or tag in ROOTS
+        self.drop = (
+            bool(parent and parent.drop)
+            or tag in DROPPED
+            or "hidden" in attrs
+            or attrs.get("role", "").lower() in ROLES
+            or (tag == "header" and not self.in_root)
+            or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+            or (tag not in ("html", "body") and names != " " and names_no_content(names))
+        )
+        self.digest = xxhash.xxh64(f"<{tag} {names}>")
+
+
+def page_blocks(html: str | None, kinds: bool = True) -> tuple[list[str | None], list[bool], list[int], list[int], list[int]]:
+    """The blocks' texts (None: no content by its kind), whether each lies in <article> or
+    <main>, and the subtrees that hold blocks: hash (its lowest two bits tell BESIDE, BARE or
+    PROSE_LIKE), first block, end block."""
+    blocks: list[str | None] = []
+    rooted: list[bool] = []
+    trees: tuple[list[int], list[int], list[int]] = ([], [], [])
     stack: list[_Element] = []
+    open_: Counter[str] = Counter()
     text: list[str] = []
-    html = html or ""
 
     def flush():
-        if text:
-            joined = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
-            text.clear()
+        joined = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
+        text.clear()
+        if joined:
             top = stack[-1] if stack else None
-            if joined and not (top and top.drop):
-                blocks.append(joined)
-                rooted.append(int(bool(top and (top.in_root or top.tag in ROOTS))))
-            if joined and top:
-                top.digest.update(_DIGIT.sub("0", joined))
+            blocks.append(None if kinds and top and top.drop else joined)
+            rooted.append(bool(top and (top.in_root or top.tag in ROOTS)))
+            if top:
+                top.digest.update(_DIGIT.sub("0", joined).encode("utf-8", "surrogatepass"))
 
     def close():
         e = stack.pop()
-        if e.hashed:
-            h = e.digest.intdigest()
-            hashes.append(h)
-            starts.append(e.blocks_from)
-            ends.append(len(blocks))
+        open_[e.tag] -= 1
+        if e.first < len(blocks) and e.tag not in ("html", "body", "main"):
+            for kept, value in zip(trees, (e.digest.intdigest() & ~3 | PROSE_LIKE * e.strict, e.first, len(blocks)), strict=True):
+                kept.append(value)
         if stack:
             stack[-1].digest.update(e.digest.digest())
 
-    at = 0
-    skip = None
-    for m in _TOKEN.finditer(html):
-        if m.start() < at:
-            continue
-        if skip is None and m.start() > at:
-            text.append(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+    for before, tag, closes, rest in tags(html or ""):
+        if before and not (closes and tag in RAW):
+            text.append(before)
+        if tag == "!":
             continue
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
             continue
-        flush()
-        if m[1]:
-            if any(e.tag == tag for e in stack):
+        if text:
+            flush()
+        if closes:
+            if open_[tag]:
                 while stack[-1].tag != tag:
                     close()
                 close()
             continue
         while stack and (stack[-1].tag in ENDS.get(tag, ()) or (stack[-1].tag == "p" and tag in CLOSES_P)):
             close()
-        if tag in VOID:
+        if tag in VOID or not tag:
             continue
-        attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m[3])} if m[3] else {}
-        if re.search(r"\shidden(?:\s|$|=)", m[3] or ""):
-            attrs["hidden"] = "1"
+        attrs: dict[str, str] = {}
+        for k, a, b, c in _ATTR.findall(rest) if rest else ():
+            attrs.setdefault(k.lower(), a or b or c)
         stack.append(_Element(tag, attrs, stack[-1] if stack else None, len(blocks)))
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            stop = end.start() if end else len(html)
-            stack[-1].digest.update(_DIGIT.sub("0", html[at:stop]))
-            close()
-            at = end.end() if end else len(html)
-    if at < len(html):
-        text.append(html[at:])
-    flush()
+        open_[tag] += 1
     while stack:
         close()
-    return blocks, rooted, hashes, starts, ends
+    if True not in rooted:
+        trees[0][:] = [h if h & PROSE_LIKE else h | BARE for h in trees[0]]
+    return blocks, rooted, *trees
 
 
 def page_text(
@@ -150,47 +217,78 @@ def page_text(
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
-    min_pages: int = 10,
-    min_share: float = 0.1,
+    min_pages: int = 3,
+    min_prose_pages: int = 10,
+    beside_share: float = 0.002,
+    bare_share: float = 0.1,
+    prose_share: float = 0.5,
+    kinds: bool = True,
+    roots: bool = True,
+    broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
-    """(id, url, text, n_chars) of every page; a subtree is template from max(``min_pages``,
-    ``min_share`` of its host's pages) different pages on."""
+    """(id, url, text, n_chars, n_template, n_kind, n_outside) of every page: the numbers of
+    blocks that the template, their kind, and their place outside <article> took out. ``kinds``
+    and ``roots`` turn the checks after the template off."""
     kind = pages.schema[id_col].dataType.simpleString()
+    digest = lambda s: int(np.uint64(xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))).view(np.int64))
 
     def run(batches):
         for b in batches:
             out = []
             for h in b["_html"]:
-                blocks, rooted, hashes, starts, ends = page_blocks(h)
-                if any(rooted):  # blocks outside the content root go; the subtrees' ranges move along
-                    shift = np.concatenate([[0], np.cumsum(rooted)])
-                    blocks = [x for x, r in zip(blocks, rooted, strict=True) if r]
-                    starts, ends = shift[starts].tolist(), shift[ends].tolist()
-                same = xxhash.xxh64_intdigest("\n".join(blocks).encode("utf-8", "surrogatepass"))
-                out.append((blocks, np.array(hashes, np.uint64).view(np.int64), starts, ends, np.uint64(same).astype(np.int64)))
-            made = pd.DataFrame(out, columns=["blocks", "hashes", "starts", "ends", "same"])
+                blocks, rooted, hashes, starts, ends = page_blocks(h, kinds)
+                kept = [t for t, r in zip(blocks, rooted, strict=True) if t is not None and (r or True not in rooted)]
+                each = [digest(t) for t in kept] or [0]
+                ints = [np.array(x, np.int32).tobytes() for x in (starts, ends)]
+                out.append((blocks, np.array(rooted, bool).tobytes(), np.array(hashes, np.uint64).view(np.int64), *ints, digest("\n".join(kept)), min(each) ^ max(each) << 1 & (1 << 63) - 1))
+            made = pd.DataFrame(out, columns=["blocks", "rooted", "hashes", "starts", "ends", "page", "like"])
+            yield pd.concat([b[["_id", "url", "host"]].reset_index(drop=True), made], axis=1)
+
+    host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.xxhash64(host).alias("host"), F.col(html_col).alias("_html"))
+    shape = f"_id {kind}, url string, host long, blocks array<string>, rooted binary, hashes array<long>, starts binary, ends binary, page long, like long"
+    parsed = cut(rows.mapInPandas(run, shape), "pages")
+    trees = parsed.select("host", "like", F.explode(F.array_distinct("hashes")).alias("hash"))
+    seen = trees.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    sizes = parsed.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    place = F.col("hash").bitwiseAND(3)
+    share = F.when(place == BESIDE, beside_share).when(place == BARE, bare_share).otherwise(prose_share)
+    most = F.greatest(F.when(place == PROSE_LIKE, min_prose_pages).otherwise(min_pages), share * F.col("pages"))
+    template = cut(seen.join(sizes, "host").where(F.col("n") >= most).select("host", "hash"), "template")
+    # the rows of a host's template are few; its pages may be a third of all, so those stay where they are
+    gone = template.groupBy("host").agg(F.collect_list("hash").alias("gone"))
+    if template.count() <= broadcast_rows:
+        gone = F.broadcast(gone)
+
+    def finish(batches):
+        none = np.zeros(0, np.int64)
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                n = len(r.blocks)
+                rooted = np.frombuffer(r.rooted, bool)
+                hit = np.isin(r.hashes, none if r.gone is None else r.gone)
+                edge = np.zeros(n + 1, np.int64)
+                np.add.at(edge, np.frombuffer(r.starts, np.int32)[hit], 1)
+                np.add.at(edge, np.frombuffer(r.ends, np.int32)[hit], -1)
+                template = np.cumsum(edge)[:n] > 0
+                unkind = np.fromiter((t is None for t in r.blocks), bool, n) & ~template
+                keep = ~template & ~unkind
+                size = np.fromiter((len(t or "") for t in r.blocks), np.int64, n)
+                outside = keep & ~rooted
+                if not roots or 2 * size[keep & rooted].sum() < max(1, size[keep].sum()):
+                    outside[:] = False
+                keep &= ~outside
+                text = "\n".join(t for t, k in zip(r.blocks, keep, strict=True) if k)
+                out.append((text, len(text), *(int(x.sum()) for x in (template, unkind, outside))))
+            made = pd.DataFrame(out, columns=["text", "n_chars", "n_template", "n_kind", "n_outside"])
             yield pd.concat([b[["_id", "url"]].reset_index(drop=True), made], axis=1)
 
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.col(html_col).alias("_html"))
-    shape = f"_id {kind}, url string, blocks array<string>, hashes array<long>, starts array<int>, ends array<int>, same long"
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    parsed = cut(rows.mapInPandas(run, shape).withColumn("host", host).withColumn("row", F.monotonically_increasing_id()), "pages")
-    trees = parsed.select("row", "host", "same", F.explode(F.array_distinct("hashes")).alias("hash"))
-    seen = trees.groupBy("host", "hash", "same").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    sizes = parsed.groupBy("host", "same").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    often = seen.where(F.col("n") >= min_pages).join(sizes, "host").where(F.col("n") >= min_share * F.col("pages"))
-    template = cut(often.select("host", "hash"), "template")
-    # only subtrees that hold a block of the text can change it; written, so that its size decides the join
-    holds = F.expr("array_distinct(filter(hashes, (h, i) -> starts[i] < ends[i]))")
-    held = parsed.select("row", "host", F.explode(holds).alias("hash"))
-    hits = cut(held.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone")), "hits")
-    kept = F.expr(
-        "filter(blocks, (b, i) -> gone is null or not exists(sequence(0, size(hashes) - 1), k ->"
-        " starts[k] <= i and i < ends[k] and array_contains(gone, hashes[k])))"
-    )
-    text = F.array_join(F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(kept), "\n")
-    out = parsed.join(hits, "row", "left").select(F.col("_id").alias(id_col), F.col("url").alias(url_col), text.alias("text"))
-    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+    own = F.array_intersect("hashes", "gone").alias("gone")
+    held = parsed.join(gone, "host", "left").select("_id", "url", "blocks", "rooted", "hashes", "starts", "ends", own)
+    shape = f"_id {kind}, url string, text string, n_chars long, n_template long, n_kind long, n_outside long"
+    out = held.mapInPandas(finish, shape)
+    return out.select(F.col("_id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars", "n_template", "n_kind", "n_outside")
 
 
 def op2_page_text(spark, sf_dir):

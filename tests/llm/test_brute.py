@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docmill.llm import linefreq, lmscore, mixing, packing, pagetext, secrets, sharding, simhash, toxicity, vectors
+from docmill.llm import linefreq, lmscore, mixing, packing, secrets, sharding, simhash, toxicity, vectors
 from docmill.llm._common import components, prefix, table
 
 SF = "/root/testdata/sf0.001"
@@ -245,30 +245,6 @@ def test_mixing_against_plain_python(docs):
         assert sorted(map(tuple, out)) == sorted(map(tuple, mixing.mix(docs, blocks=8, cover=cover).collect()))
 
 
-def test_template_removal(spark):
-    def page(i):
-        return f"<html><body><div class=x><span>Site {i}</span> motto here</div><div><p>Body {chr(97 + i)} text &lt;one&gt;.</p><p>Second&nbsp;line<br>end</p></div><nav>m{chr(97 + i)}</nav><p>All rights reserved</p></body></html>"
-
-    rows = [(i, f"http://h/{i}", page(i)) for i in range(20)]
-    out = {r["page_id"]: r["text"] for r in pagetext.page_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert out[3] == "Body d text <one>."
-    art = '<body><header>H</header><article><h1>T</h1><p>One <b>two</b></p><aside>no</aside><div class="share">no</div><p>x\n  y</p><section id="comments"><p>no</p></section></article><footer>F</footer></body>'
-    blocks, rooted, *_ = pagetext.page_blocks(art)
-    assert [b for b, r in zip(blocks, rooted, strict=True) if r] == ["T", "One two", "x y"]
-
-
-def test_pages_of_the_test_data(spark):
-    pages = table(spark, SF, "pages")
-    html = {r["page_id"]: r["html"] for r in pages.collect()}
-    import html as entities
-
-    for r in pagetext.page_text(pages).collect():
-        body = re.search(r"<article>(.*)</article>", html[r["page_id"]], re.S)[1]
-        parts = [re.sub(r"\s+", " ", entities.unescape(re.sub(r"</?(?:b|br)>", " ", p))).strip() for p in re.split(r"</?(?:p|h1)>", body)]
-        assert r["text"].replace("  ", " ") == "\n".join(p for p in parts if p)
-        assert r["n_chars"] == len(r["text"])
-
-
 def test_vectors(spark):
     vecs = table(spark, SF, "embeddings")
     rows = [(r["vec_id"], r["label"], np.array(r["embedding"], float)) for r in vecs.collect()]
