@@ -1,16 +1,21 @@
 """Cross-entropy difference scores from matched bigram models.
 
 A target model (texts of the wanted kind) and a background model (all documents) have the
-same order, smoothing and vocabulary (the V distinct words of both corpora):
-p(w | h) = (count(h w) + a) / (count(h) + a V). A document's score is the mean over its
-tokens of target loss minus background loss; lower is nearer to the target. Background counts
-leave the scored document out, so rare words are no advantage.
-
-Numerators and denominators are sums over separate keys (bigrams, histories). Tasks cut the
-documents into packets and deal each packet's keys by hash into buckets; a bucket meets all
-counts of its keys, adds each document's losses up and sends the sums back to the packet. A
-key in over ``local`` documents of a packet goes out as one count, gets the corpus counts back
-and is scored at the packet: no key, however common, brings more than ``local`` rows a packet.
+same order, smoothing and vocabulary (the V distinct words of both corpora). Bigrams fall back
+on words, and words on the uniform distribution:
+p(w | h) = (count(h w) + m p(w)) / (count(h) + m),  p(w) = (count(w) + a) / (tokens + a V).
+A document's score is the mean over its tokens of target loss minus background loss; lower is
+nearer to the target.
+
+Tasks cut the documents into packets and sum each packet's words and bigrams: a key goes out
+once a packet, however often it occurs there. Keys are dealt by hash into buckets; a bucket adds
+the packets' counts up and answers each packet with the corpus's counts of its keys, in their
+order, so answers need no keys. Packets then score their documents, whose word numbers travel
+beside the keys. What is gathered are the counts of every word and bigram of the corpus; a key
+costs each task at most one entry a packet, so no common word makes a group of its own.
+
+``leave_out`` takes a document's own counts out of the background. It is off by default: with
+it a text that occurs twice is scored from its twin and a single one is not.
 
 Edge cases: null, empty and word-less texts have no tokens and null losses; repeated rows are
 scored as rows and count as often as they come; with no target text the target model is
@@ -26,19 +31,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm._common import table
+from docmill.llm._common import cut, table
 
-START = np.uint64(0x9E3779B97F4A7C15)
+START, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 CACHED = 300_000
 
 
-class Keys:
-    """The distinct keys of a text and how often each occurs; odd keys are histories."""
+class Words:
+    """64-bit hashes of a text's words; remembers words."""
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
 
-    def words(self, text: str | None) -> np.ndarray:
+    def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if len(self.known) > CACHED:
             self.known = {}
@@ -47,25 +52,31 @@ class Keys:
             known[w] = digest(w, 42)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-        w = self.words(text)
-        if not len(w):
-            return w, w.astype(np.int64), 0
-        h = np.concatenate([[START], w[:-1]])
-        mixed = (h * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (w + (h >> np.uint64(29)))
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
-        even = (mixed >> np.uint64(8)) & ~np.uint64(1)
-        odd = (h >> np.uint64(8)) | np.uint64(1)
-        keys, n = np.unique(np.concatenate([even, odd]), return_counts=True)
-        return keys, n, len(w)
 
+class Packet:
+    """The distinct keys of some documents, from their words' numbers: ``keys`` holds the words'
+    hashes and then the bigrams', ``first`` and ``second`` the words of each bigram (a first of
+    -1: the document's beginning), ``at`` the bigram at each token."""
+
+    def __init__(self, words: np.ndarray, numbers: np.ndarray, sizes: np.ndarray):
+        self.n_words = len(words)
+        before = np.empty_like(numbers)
+        if len(numbers):
+            before[1:] = numbers[:-1]
+            before[(np.cumsum(sizes) - sizes)[sizes > 0]] = -1
+        pairs, self.at = np.unique((before + 1) * np.int64(max(1, len(words))) + numbers, return_inverse=True)
+        self.first, self.second = pairs // max(1, len(words)) - 1, pairs % max(1, len(words))
+        h = np.where(self.first < 0, START, words[np.maximum(self.first, 0)] if len(words) else START)
+        mixed = (h * MIX) ^ (words[self.second] + (h >> np.uint64(29)))
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+        self.keys = np.concatenate([words, mixed ^ (mixed >> np.uint64(32))])
 
-def losses(keys, n, c_target, c_back, a: float, v: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each entry's share of the document's target and background loss, itself left out."""
-    history = (keys & np.uint64(1)).astype(bool)
-    add = np.where(history, a * v, a)
-    sign = np.where(history, 1.0, -1.0) * n
-    return sign * np.log(c_target + add), sign * np.log(c_back - n + add)
+    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys' order by bucket and the buckets in that order."""
+        bucket = ((self.keys * START) >> np.uint64(40)).astype(np.int64) % buckets
+        bucket[self.n_words :] += buckets  # words and bigrams never meet
+        order = np.argsort(bucket, kind="stable")
+        return order, bucket[order]
 
 
 def _runs(at: np.ndarray):
@@ -73,58 +84,49 @@ def _runs(at: np.ndarray):
     return zip(edge, [*edge[1:], len(at)][: len(edge)], strict=True)
 
 
-def _sorted_by_bucket(keys: np.ndarray, buckets: int, *more: np.ndarray):
-    at = ((keys >> np.uint64(1)) * START >> np.uint64(40)).astype(np.int64) % buckets
-    order = np.argsort(at, kind="stable")
-    return at[order], keys[order], *(x[order] for x in more)
-
-
-LOW = np.uint64((1 << 48) - 1)
+def small(counts: np.ndarray) -> bytes:
+    """Counts as bytes: one each, and eight more for those of 255 and over."""
+    large = counts >= 255
+    return np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<u8").tobytes()
 
 
-def short(keys: np.ndarray) -> bytes:
-    """The low six bytes of each key; the bucket it goes to tells the rest apart."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def wide(raw: bytes, n: int) -> np.ndarray:
+    """The ``n`` counts of ``small``; no bytes: zeros."""
+    out = np.zeros(n, np.int64)
+    if raw:
+        out[:] = np.frombuffer(raw, np.uint8, n)
+        if len(raw) > n:
+            out[out == 255] = np.frombuffer(raw, "<u8", -1, n).astype(np.int64)
+    return out
 
 
-def long(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+def chunks(sizes: list[int], most_rows: int, most: int):
+    """(first, end) of runs of rows, each within both limits or a single row."""
+    lo = total = 0
+    for k, size in enumerate(sizes):
+        if k > lo and (total + size > most or k - lo == most_rows):
+            yield lo, k
+            lo, total = k, 0
+        total += size
+    yield lo, len(sizes)
 
 
-def steps(docs: np.ndarray) -> bytes:
-    """Ascending places of documents in a packet as differences, which compress well."""
-    return np.diff(docs, prepend=0).astype("u2").tobytes()
+def own_counts(doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How often each token's key occurs in the token's own document."""
+    _, back, n = np.unique(doc * (keys.max(initial=0) + 2) + keys + 1, return_inverse=True, return_counts=True)
+    return n[back]
 
 
-def walked(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, "u2"), dtype=np.int64)
-
-
-def vocabulary_size(texts: DataFrame) -> tuple[int, int]:
-    """Distinct words and tokens of ``texts`` (_text)."""
-
-    def run(batches):
-        make = Keys()
-        for b in batches:
-            words = np.concatenate([make.words(t) for t in b["_text"]] or [np.zeros(0, np.uint64)])
-            word, n = np.unique(words, return_counts=True)
-            yield pd.DataFrame({"word": word.view(np.int64), "n": n.astype(np.int64)})
-
-    each = texts.mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    v, tokens = each.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return v, tokens
+def own_word(doc, numbers, first):
+    span = max(numbers.max(initial=0), first.max(initial=0)) + 2
+    u, n = np.unique(doc * span + numbers, return_counts=True)
+    return n[np.minimum(np.searchsorted(u, doc * span + first), len(n) - 1)]
 
 
-BUCKET_ROW = (
-    "bucket long, packet long, keys binary, n binary, doc binary, ckeys binary, ct binary, cb binary,"
-    " ids array<{0}>, tokens binary, hdoc binary, hkeys binary, hn binary"
-)
-REPLY_ROW = (
-    "packet long, doc binary, x binary, y binary, ckeys binary, ct binary, cb binary,"
-    " ids array<{0}>, tokens binary, hdoc binary, hkeys binary, hn binary"
-)
+HEAD = ("ids", "sizes", "real", "words", "numbers")
+_HEAD = ", ids array<{0}>, sizes binary, real binary, words binary, numbers binary"
+SENT = "bucket long, packet long, keys binary, ct binary, cb binary" + _HEAD
+REPLY = "packet long, bucket long, n long, ct binary, cb binary, v long, tokens_t long, tokens_b long" + _HEAD
 
 
 def score_documents(
@@ -133,102 +135,99 @@ def score_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     a: float = 0.01,
-    packet_docs: int = 1000,
-    local: int = 10,
-    bucket_tokens: int = 2_000_000,
+    m: float = 4.0,
+    leave_out: bool = False,
+    packet_docs: int = 10_000,
+    packet_words: int = 1_000_000,
+    bucket_bytes: int = 8_000_000,
+    least_buckets: int = 64,
 ) -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score) of every document; ``target`` holds
-    the target texts (column ``text_col``)."""
+    the target texts (column ``text_col``). There is a bucket for every ``bucket_bytes`` of text."""
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).alias("_text")
     rows = docs.select(F.col(id_col).alias("_id"), text, F.lit(0).alias("_own")).unionByName(
         target.select(F.lit(None).cast(kind).alias("_id"), text, F.lit(1).alias("_own"))
     )
-    v, tokens = vocabulary_size(rows.select("_text"))
-    buckets = max(1, -(-tokens // bucket_tokens))
-    raw = lambda x, kind: x.astype(kind).tobytes()
+    begins = F.when(F.col("_text").rlike(r"[^\x20\x09-\x0D]"), F.col("_own"))
+    begun_t, begun_all, n_bytes = rows.agg(F.sum(begins), F.count(begins), F.sum(F.octet_length("_text"))).first()
+    begun = (begun_t or 0, begun_all - (begun_t or 0))
+    buckets = max(least_buckets, -(-(n_bytes or 0) // bucket_bytes))
+    sent, answer = ([c.split()[0] for c in shape.split(", ")] for shape in (SENT, REPLY))
 
     def packets(batches):
-        make, packet = Keys(), TaskContext.get().partitionId() << 32
+        hashes, packet = Words(), TaskContext.get().partitionId() << 32
         for b in batches:
-            for lo in range(0, len(b), packet_docs):
-                part = b.iloc[lo : lo + packet_docs]
+            made = [hashes(t) for t in b["_text"]]
+            for lo, end in chunks(list(map(len, made)), packet_docs, packet_words) if made else ():
                 packet += 1
-                own = part["_own"].to_numpy(bool)
-                made = [make(t) for t in part["_text"]]
-                keys = np.concatenate([k for k, _, _ in made])
-                n = np.concatenate([n for _, n, _ in made])
-                doc = np.repeat(np.arange(len(part)), [len(k) for k, _, _ in made])
-                each, back, docs_with = np.unique(keys, return_inverse=True, return_counts=True)
-                goal = own[doc]
-                ct, cb = np.bincount(back, n * goal, len(each)), np.bincount(back, n * ~goal, len(each))
-                common = (docs_with > local) | (ct > 0)  # target texts only count
-                hot = common[back]
-                at_hot = np.flatnonzero(hot & ~goal)
-                head = dict.fromkeys(("keys", "n", "doc", "ckeys", "ct", "cb"))
-                head |= {"bucket": -packet - 1, "packet": packet, "ids": part["_id"].tolist()}
-                head |= {"tokens": raw(np.where(own, -1, [s for _, _, s in made]), "i8"), "hdoc": steps(doc[at_hot])}
-                head |= {"hkeys": raw(keys[at_hot], "u8"), "hn": raw(n[at_hot], "u4")}
-                out = [head]
-                none = dict.fromkeys(("ids", "tokens", "hdoc", "hkeys", "hn"))
-                cold = np.flatnonzero(~hot)
-                at, k, m, d = _sorted_by_bucket(keys[cold], buckets, n[cold], doc[cold])
-                by = {int(at[i]): {"keys": short(k[i:j]), "n": raw(m[i:j], "u4"), "doc": steps(d[i:j])} for i, j in _runs(at)}
-                at, k, t, c = _sorted_by_bucket(each[common], buckets, ct[common], cb[common])
-                counts = {int(at[i]): {"ckeys": raw(k[i:j], "u8"), "ct": raw(t[i:j], "f8"), "cb": raw(c[i:j], "f8")} for i, j in _runs(at)}
-                for q in sorted({*by, *counts}):
-                    empty = dict.fromkeys(("keys", "n", "doc", "ckeys", "ct", "cb"), b"")
-                    out.append(none | {"bucket": q, "packet": packet} | empty | by.get(q, {}) | counts.get(q, {}))
-                yield pd.DataFrame(out)[[c.split()[0] for c in BUCKET_ROW.split(", ")]]
-
-    passed = [c.split()[0] for c in REPLY_ROW.split(", ")]
-
-    def bucket(key, pdf):
-        if key[0] < 0:
-            return pdf.assign(x=None, y=None)[passed]
-        load = lambda c, kind: [np.frombuffer(x, kind) for x in pdf[c]]
-        keys, n, doc = [long(x) for x in pdf["keys"]], load("n", "u4"), [walked(x) for x in pdf["doc"]]
-        ckeys, ct, cb = load("ckeys", "u8"), load("ct", "f8"), load("cb", "f8")
-        n_all = np.concatenate(n).astype(np.float64)
-        each, back = np.unique(np.concatenate([*keys, *(c & LOW for c in ckeys)]), return_inverse=True)
-        total_b = np.bincount(back, np.concatenate([n_all, *cb]), len(each))
-        total_t = np.bincount(back, np.concatenate([np.zeros(len(n_all)), *ct]), len(each))
-        at, cat, out = 0, len(n_all), []
-        for packet, k, m, d, c in zip(pdf["packet"], keys, n, doc, ckeys, strict=True):
-            i, j = back[at : at + len(k)], back[cat : cat + len(c)]
-            at, cat = at + len(k), cat + len(c)
-            x, y = losses(k, m.astype(np.float64), total_t[i], total_b[i], a, v)
-            own, to = np.unique(d, return_inverse=True)
-            out.append((packet, steps(own), np.bincount(to, x, len(own)).tobytes(), np.bincount(to, y, len(own)).tobytes(), c.tobytes(), total_t[j].tobytes(), total_b[j].tobytes()))
-        done = pd.DataFrame(out, columns=passed[:7])
-        return done.assign(ids=None, tokens=None, hdoc=None, hkeys=None, hn=None)
-
-    def gather(pdf):
-        head, rest = pdf[pdf["ids"].notna()].iloc[0], pdf[pdf["ids"].isna()]
-        size = np.frombuffer(head["tokens"], "i8")
-        total = np.zeros((2, len(size)))
-        for d, x, y in zip(rest["doc"], rest["x"], rest["y"], strict=True):
-            own = walked(d)
-            total[0, own] += np.frombuffer(x)
-            total[1, own] += np.frombuffer(y)
-        hkeys = np.frombuffer(head["hkeys"], "u8")
-        if len(hkeys):
-            known, ct, cb = (np.concatenate([np.frombuffer(x, k) for x in rest[c]]) for c, k in (("ckeys", "u8"), ("ct", "f8"), ("cb", "f8")))
-            order = np.argsort(known)
-            at = order[np.searchsorted(known, hkeys, sorter=order)]
-            x, y = losses(hkeys, np.frombuffer(head["hn"], "u4").astype(np.float64), ct[at], cb[at], a, v)
-            own = walked(head["hdoc"])
-            total += [np.bincount(own, x, len(size)), np.bincount(own, y, len(size))]
-        real = size >= 0
+                own = b["_own"].iloc[lo:end].to_numpy(bool)
+                sizes = np.fromiter(map(len, made[lo:end]), np.int64, end - lo)
+                words, numbers, times = np.unique(np.concatenate(made[lo:end]), return_inverse=True, return_counts=True)
+                place = np.argsort(-times, kind="stable")  # common words get small numbers
+                words, numbers = words[place], np.argsort(place)[numbers]
+                p, goal = Packet(words, numbers, sizes), np.repeat(own, sizes)
+                ct, cb = (
+                    np.concatenate([np.bincount(x[w], minlength=n) for x, n in ((numbers, len(words)), (p.at, len(p.first)))]) for w in (goal, ~goal)
+                )
+                head = [b["_id"].iloc[lo:end].tolist(), sizes.astype("<u4").tobytes(), (~own).tobytes(), words.astype("<u8").tobytes()]
+                halves = (numbers & 0xFFFF).astype("<u2").tobytes() + (numbers >> 16).astype("<u2").tobytes()
+                out = [[(packet * 0x9E3779B1 >> 16) % (2 * buckets), packet, None, None, None, *head, halves]]
+                order, bucket = p.dealt(buckets)
+                for i, j in _runs(bucket):
+                    at = order[i:j]
+                    goals = small(ct[at]) if ct[at].any() else b""
+                    out.append([int(bucket[i]), packet, p.keys[at].astype("<u8").tobytes(), goals, small(cb[at]), *[None] * 5])
+                yield pd.DataFrame(out, columns=sent)
+
+    def add_up(key, pdf):
+        heads, pdf = pdf.loc[pdf["keys"].isna(), ["packet", *HEAD]], pdf[pdf["keys"].notna()]
+        keys = [np.frombuffer(x, "<u8") for x in pdf["keys"]]
+        sizes = list(map(len, keys))
+        each, back = np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]), return_inverse=True)
+        ct, cb = (
+            np.bincount(back, np.concatenate([*map(wide, pdf[c], sizes), np.zeros(0)]), len(each)).astype(np.int64) for c in ("ct", "cb")
+        )
+        out, at = [], 0
+        for packet, n in zip(pdf["packet"], sizes, strict=True):
+            own = back[at : at + n]
+            # the words' sums come once, with the bucket's first answer
+            sums = (len(each), int(ct.sum()), int(cb.sum())) if key[0] < buckets and not at else (0, 0, 0)
+            out.append([packet, key[0], n, small(ct[own]) if ct[own].any() else b"", small(cb[own]), *sums, *[None] * 5])
+            at += n
+        out += [[h.packet, None, None, None, None, 0, 0, 0, *(getattr(h, c) for c in HEAD)] for h in heads.itertuples(index=False)]
+        return pd.DataFrame(out, columns=answer)
+
+    replies = cut(rows.mapInPandas(packets, SENT.format(kind)).groupBy("bucket").applyInPandas(add_up, REPLY.format(kind)), "counts")
+    v, *tokens = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "tokens_t", "tokens_b")]).first()
+
+    def score(pdf):
+        head, rest = pdf[pdf["sizes"].notna()].iloc[0], pdf[pdf["sizes"].isna()].sort_values("bucket")
+        sizes, real = np.frombuffer(head["sizes"], "<u4").astype(np.int64), np.frombuffer(head["real"], bool)
+        low, high = np.frombuffer(head["numbers"], "<u2").astype(np.int64).reshape(2, -1)
+        numbers, n = low | high << 16, len(low)
+        p, doc = Packet(np.frombuffer(head["words"], "<u8"), numbers, sizes), np.repeat(np.arange(len(sizes)), sizes)
+        order, _ = p.dealt(buckets)
+        second, first = p.second[p.at], p.first[p.at]
+        total = np.zeros((2, len(sizes)))
+        for k, c in enumerate(("ct", "cb") if n else ()):
+            counts = np.zeros(len(p.keys))
+            counts[order] = np.concatenate([wide(x, int(size)) for x, size in zip(rest[c], rest["n"], strict=True)])
+            one, two = counts[: p.n_words], counts[p.n_words :]
+            pair, word, before, every = two[p.at], one[second], np.where(first < 0, begun[k], one[first]), tokens[k]
+            if leave_out and c == "cb":
+                pair, word, every = pair - own_counts(doc, p.at), word - own_counts(doc, second), every - sizes[doc]
+                before = before - np.where(first < 0, 1, own_word(doc, numbers, first))
+            loss = np.log(before + m) - np.log(pair + m * (word + a) / (every + a * v))
+            total[k] = np.bincount(doc, loss, len(sizes))
         with np.errstate(all="ignore"):
-            mean = np.where(size > 0, total / size, np.nan)[:, real]
+            mean = np.where(sizes > 0, total / sizes, np.nan)[:, real]
         ids = pd.Series(list(head["ids"]), dtype=object)[real].reset_index(drop=True)
-        return pd.DataFrame({"_id": ids, "n_tokens": size[real], "t": mean[0], "b": mean[1]})
+        return pd.DataFrame({"_id": ids, "n_tokens": sizes[real], "t": mean[0], "b": mean[1]})
 
-    back = rows.mapInPandas(packets, BUCKET_ROW.format(kind)).groupBy("bucket").applyInPandas(bucket, REPLY_ROW.format(kind))
-    out = back.groupBy("packet").applyInPandas(gather, f"_id {kind}, n_tokens long, t double, b double")
+    scored = replies.drop("v", "tokens_t", "tokens_b").groupBy("packet").applyInPandas(score, f"_id {kind}, n_tokens long, t double, b double")
     loss = lambda c: F.when(F.col("n_tokens") > 0, F.col(c))
-    return out.select(
+    return scored.select(
         F.col("_id").alias(id_col), "n_tokens", loss("t").alias("target_loss"), loss("b").alias("background_loss"),
         (loss("t") - loss("b")).alias("score"),
     )

@@ -71,14 +71,14 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, 0
 w AS (SELECT r, own, {_WORDS.format("translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM d),
 g AS (SELECT r, own, ws[p] AS word, CASE WHEN p = 1 THEN NULL ELSE ws[p - 1] END AS h
       FROM (SELECT r, own, ws, unnest(range(1, len(ws) + 1)) AS p FROM w)),
-voc AS (SELECT count(DISTINCT word)::DOUBLE AS v FROM g),
-k AS (SELECT r, own, 'b' AS kind, h, word, count(*)::DOUBLE AS n FROM g GROUP BY r, own, h, word
-  UNION ALL SELECT r, own, 'h', h, NULL, count(*)::DOUBLE FROM g GROUP BY r, own, h),
-c AS (SELECT kind, h, word, sum(n * own) AS ct, sum(n * (1 - own)) AS cb FROM k GROUP BY kind, h, word),
-s AS (SELECT r, sum(CASE WHEN k.kind = 'h' THEN k.n * ln(ct + cast(0.01 AS DOUBLE) * v) ELSE -k.n * ln(ct + cast(0.01 AS DOUBLE)) END) AS tl,
-             sum(CASE WHEN k.kind = 'h' THEN k.n * ln(cb - k.n + cast(0.01 AS DOUBLE) * v) ELSE -k.n * ln(cb - k.n + cast(0.01 AS DOUBLE)) END) AS bl
-      FROM k JOIN c ON k.kind = c.kind AND k.h IS NOT DISTINCT FROM c.h AND k.word IS NOT DISTINCT FROM c.word, voc
-      WHERE own = 0 GROUP BY r)
+sums AS (SELECT count(DISTINCT word)::DOUBLE AS v, sum(own)::DOUBLE AS nt, sum(1 - own)::DOUBLE AS nb FROM g),
+one AS (SELECT word, sum(own)::DOUBLE AS t, sum(1 - own)::DOUBLE AS b FROM g GROUP BY word
+  UNION ALL SELECT NULL, sum(own)::DOUBLE, sum(1 - own)::DOUBLE FROM g WHERE h IS NULL),
+two AS (SELECT h, word, sum(own)::DOUBLE AS t, sum(1 - own)::DOUBLE AS b FROM g GROUP BY h, word),
+p AS (SELECT two.h, two.word, ln(f.t + cast(4 AS DOUBLE)) - ln(two.t + cast(4 AS DOUBLE) * (s.t + cast(0.01 AS DOUBLE)) / (nt + cast(0.01 AS DOUBLE) * v)) AS tl,
+             ln(f.b + cast(4 AS DOUBLE)) - ln(two.b + cast(4 AS DOUBLE) * (s.b + cast(0.01 AS DOUBLE)) / (nb + cast(0.01 AS DOUBLE) * v)) AS bl
+      FROM two JOIN one AS s ON s.word = two.word JOIN one AS f ON f.word IS NOT DISTINCT FROM two.h, sums),
+s AS (SELECT r, sum(tl) AS tl, sum(bl) AS bl FROM g JOIN p ON g.h IS NOT DISTINCT FROM p.h AND g.word = p.word WHERE own = 0 GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_tokens, round(tl / len(ws), 6) AS target_loss, round(bl / len(ws), 6) AS background_loss,
        round(tl / len(ws) - bl / len(ws), 6) AS score
 FROM d JOIN w USING (r) LEFT JOIN s USING (r) WHERE d.own = 0""",

@@ -258,7 +258,6 @@ def test_vectors(spark):
 
 def test_lm_scores(spark, docs, texts):
     target = table(spark, SF, "benchmark")
-    out = {r["doc_id"]: r for r in lmscore.score_documents(docs, target, packet_docs=30, local=2, bucket_tokens=9000).collect()}
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
     words = {i: split(t) for i, t in texts.items()}
     goal = [split(r["text"] or "") for r in target.collect()]
@@ -268,19 +267,29 @@ def test_lm_scores(spark, docs, texts):
         two, one = Counter(), Counter()
         for ws in many:
             two.update(zip([None, *ws], ws, strict=False))
-            one.update([None, *ws[:-1]] if ws else [])
-        return two, one
-
-    t2, t1 = counts(goal)
-    b2, b1 = counts(words.values())
-    for i, ws in words.items():
-        o2, o1 = counts([ws])
-        pairs = list(zip([None, *ws], ws, strict=False))
-        loss_t = sum(math.log((t1[h] + 0.01 * v) / (t2[h, w] + 0.01)) for h, w in pairs)
-        loss_b = sum(math.log((b1[h] - o1[h] + 0.01 * v) / (b2[h, w] - o2[h, w] + 0.01)) for h, w in pairs)
-        assert out[i]["n_tokens"] == len(ws)
-        if ws:
-            assert out[i]["score"] == pytest.approx((loss_t - loss_b) / len(ws), abs=1e-6)
+            one.update([None, *ws] if ws else [])
+        return two, one, sum(map(len, many))
+
+    def loss(ws, two, one, n):
+        p = lambda h, w: (two[h, w] + 4 * (one[w] + 0.01) / (n + 0.01 * v)) / (one[h] + 4)
+        return -sum(math.log(p(h, w)) for h, w in zip([None, *ws], ws, strict=False))
+
+    models = [counts(goal), counts(list(words.values()))]
+    for options in ({"packet_docs": 30, "least_buckets": 3, "bucket_bytes": 50_000}, {"packet_words": 2000, "least_buckets": 1}, {}):
+        out = {r["doc_id"]: r for r in lmscore.score_documents(docs, target, **options).collect()}
+        assert len(out) == len(words)
+        for i, ws in words.items():
+            t, b = (loss(ws, *model) for model in models)
+            assert out[i]["n_tokens"] == len(ws)
+            if ws:
+                assert out[i]["target_loss"] == pytest.approx(t / len(ws), abs=1e-9) and out[i]["background_loss"] == pytest.approx(b / len(ws), abs=1e-9)
+                assert out[i]["score"] == pytest.approx((t - b) / len(ws), abs=1e-9)
+
+
+def test_lm_counts_round_trip():
+    for counts in ([], [0, 1, 254], [255, 0, 256, 2**40, 3]):
+        assert lmscore.wide(lmscore.small(np.array(counts, np.int64)), len(counts)).tolist() == counts
+    assert list(lmscore.chunks([5, 1, 9, 9, 1, 1, 1], 3, 10)) == [(0, 2), (2, 3), (3, 5), (5, 7)]
 
 
 def test_toxicity_on_held_out_rows(spark):
