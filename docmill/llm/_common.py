@@ -6,6 +6,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,25 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class WordHashes:
+    """64-bit hashes of a text's words (runs of anything but ASCII white space, A-Z in lower
+    case); remembers words."""
+
+    CACHED = 300_000
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        if len(self.known) > self.CACHED:
+            self.known = {}
+        known, digest = self.known, xxhash.xxh64_intdigest
+        for w in set(words).difference(known):
+            known[w] = digest(w, 42)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it (Spark's names ignore case)."""
     taken = {c.lower() for c in df.columns}

@@ -26,31 +26,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm._common import cut, table
+from docmill.llm._common import WordHashes, cut, table
 
 START, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-CACHED = 300_000
-
-
-class Words:
-    """64-bit hashes of a text's words; remembers words."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if len(self.known) > CACHED:
-            self.known = {}
-        known, digest = self.known, xxhash.xxh64_intdigest
-        for w in set(words).difference(known):
-            known[w] = digest(w, 42)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 class Packet:
@@ -156,7 +138,7 @@ def score_documents(
     sent, answer = ([c.split()[0] for c in shape.split(", ")] for shape in (SENT, REPLY))
 
     def packets(batches):
-        hashes, packet = Words(), TaskContext.get().partitionId() << 32
+        hashes, packet = WordHashes(), TaskContext.get().partitionId() << 32
         for b in batches:
             made = [hashes(t) for t in b["_text"]]
             for lo, end in chunks(list(map(len, made)), packet_docs, packet_words) if made else ():
