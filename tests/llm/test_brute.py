@@ -289,6 +289,9 @@ def test_lm_scores(spark, docs, texts):
 def test_lm_counts_round_trip():
     for counts in ([], [0, 1, 254], [255, 0, 256, 2**40, 3]):
         assert lmscore.wide(lmscore.small(np.array(counts, np.int64)), len(counts)).tolist() == counts
+    rng = np.random.default_rng(3)
+    for keys in ([], [0], [2**64 - 1], [0, 2**48 - 1, 2**49, 2**63, 2**64 - 1], np.unique(rng.integers(0, 2**63, 5000)).tolist()):
+        assert lmscore.walked(lmscore.steps(np.array(keys, np.uint64)), len(keys)).tolist() == keys
     assert list(lmscore.chunks([5, 1, 9, 9, 1, 1, 1], 3, 10)) == [(0, 2), (2, 3), (3, 5), (5, 7)]
 
 
