@@ -44,6 +44,24 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables that a computation needs only until its result is written itself: ``clear``
+    empties their folder, so they take no room while later steps run."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, f"{scratch_dir(spark)}/part-{uuid.uuid4().hex}", 0
+
+    def cut(self, df: DataFrame, name: str = "cut") -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{name}-{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        if self.n:
+            self.spark.range(0).write.mode("overwrite").parquet(self.path)
+
+
 class WordHashes:
     """64-bit hashes of a text's words (runs of anything but ASCII white space, A-Z in lower
     case); remembers words."""
@@ -78,6 +96,15 @@ def numbered(df: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
     return cut(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
+def row_keys(df: DataFrame) -> tuple[DataFrame, tuple[str, str]]:
+    """``df`` with two 64-bit hashes of each whole row, and their names. Rows with equal keys are
+    equal in every column, so it does not matter which of them a step keeps."""
+    names = free_name(df, "_row"), free_name(df, "_row_too")
+    cols = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    nulls = [c.isNull() for c in cols]  # hashes pass over nulls
+    return df.withColumns({n: F.xxhash64(F.lit(k), *cols, *nulls) for k, n in enumerate(names)}), names
+
+
 def prefix(
     df: DataFrame,
     groups: list[str],
@@ -120,7 +147,7 @@ def prefix(
     return out.withColumns(made).drop("_bucket", "_n0", "_w0")
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, cut=cut) -> DataFrame:
     """(node, label) for each node of ``links``; equal labels: connected. Labels are nodes.
 
     Each round every node steps to the neighbour (or itself) that a hash puts first and the

@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm._common import WordHashes, components, cut
+from docmill.llm._common import Scratch, WordHashes, components
+from docmill.llm._common import cut as save
 
 SAMPLE, MAX_COMMON = 4000, 1 << 18
 
@@ -103,6 +104,8 @@ def near_duplicates(
     """(id, key, label, component_id, *keys) of each row with a text. Equal labels: one class;
     component_id is the smallest id in it. ``seeds`` (the columns ``keys``, tree) names rows that
     may be alike."""
+    scratch = Scratch(docs.sparkSession)
+    cut = scratch.cut
     of = lambda c: docs.schema[c].dataType.simpleString()
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keys)
 
@@ -183,7 +186,7 @@ def near_duplicates(
         known = cut(each.join(seeds, list(keys)).select("tree", "key").distinct(), "seeds")
         heads = known.groupBy("tree").agg(F.min("key").alias("a"), F.max("key").alias("_high")).where("a < _high").select("tree", "a")
         links = verified(known.join(heads, "tree").where("a <> key").select("a", F.col("key").alias("b")))
-        open_ = cut(relabelled(components(links, "a", "b")), "open")
+        open_ = cut(relabelled(components(links, "a", "b", cut)), "open")
     for last in (False, False, True):
         mixed = open_.groupBy("hash").agg(
             F.min("label").alias("_low"), F.max("label").alias("_high"), F.max(F.struct("label", F.col("key").alias("a"), F.col("size").alias("n"))).alias("m")
@@ -197,10 +200,11 @@ def near_duplicates(
             pairs = open_.join(heads, "hash").where(near)
         made = verified(pairs.select("a", F.col("key").alias("b")))
         links = made if links is None else links.union(made)
-        labels = cut(components(links, "a", "b"), "labels")
+        labels = cut(components(links, "a", "b", cut), "labels")
         if not last:
             open_ = cut(relabelled(labels), "open")
     named = each.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    named = cut(named, "named")
+    named = save(named, "named")
+    scratch.clear()
     least = named.groupBy("label").agg(F.min("_id").alias("component_id"))
     return named.join(least, "label").select(F.col("_id").alias(id_col), "key", "label", "component_id", *keys)

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm._common import cut, free_name, numbered, prefix, table
+from docmill.llm._common import cut, free_name, prefix, row_keys, table
 
 HALVINGS, AT_ONCE = 24, 4
 
@@ -147,13 +147,12 @@ def mix(
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` as often as they are drawn, in the order of the mixture (block by
-    block): each draw is of one row by a written number, so rows without an id and rows alike in
-    id and text have draws of their own."""
-    rows, row = numbered(docs)
-    drawn = mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, keys=(row,), **options)
+    block). Rows without an id have draws of their own; so has each of several equal rows."""
+    rows, keys = row_keys(docs)
+    drawn = mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, keys=keys, **options)
     block, turn = free_name(rows, "_block"), free_name(rows, "_turn")
-    drawn = drawn.select(row, F.col("block").alias(block), F.col("turn").alias(turn))
-    return rows.join(drawn, row).orderBy(block, turn).select(*docs.columns)
+    drawn = drawn.select(*keys, F.col("block").alias(block), F.col("turn").alias(turn))
+    return rows.dropDuplicates(list(keys)).join(drawn, list(keys)).orderBy(block, turn).select(*docs.columns)
 
 
 def op1_mixing(spark, sf_dir):

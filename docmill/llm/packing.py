@@ -3,8 +3,9 @@
 Only lengths matter to a bin, and there are at most ``capacity`` of them, so the driver plans
 on the histogram of lengths, whose size the capacity bounds. For each bin a bitset
 subset-sum programme over the lengths still there, led by the largest one, finds the fullest
-combination; it is removed, at once as often as its lengths last. Tasks then deal the pieces,
-ranked within their length, into the planned places.
+combination; it is removed, at once as often as its lengths last. Pieces take the planned places
+by their rank within their length: the place in the task that made them, plus the pieces of that
+length in the tasks before, so pieces and their token ids stay where they are.
 
 Edge cases: null and empty texts are one end token; texts longer than the capacity are cut
 into full pieces and a rest; repeated rows and ids are packed as often as they come; an empty
@@ -15,13 +16,15 @@ from __future__ import annotations
 
 import os
 from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm._common import cut, prefix, table
+from docmill.llm._common import cut, table
 
 CACHED_WORDS, CACHED_CHARS, LINE_WORDS = 300_000, 40, 64
 SEPARATOR = "~"
@@ -104,13 +107,15 @@ def pieces(
     text_col: str = "text",
     batch_chars: int = 4_000_000,
 ) -> DataFrame:
-    """(id, piece, start, length, ids): each document's ids and ``end_id``, cut at ``capacity``;
-    ``ids`` are little-endian unsigned 32-bit bytes."""
+    """(id, piece, start, length, ids, part, nth): each document's ids and ``end_id``, cut at
+    ``capacity``; ``ids`` are little-endian unsigned 32-bit bytes. ``part`` is the task, and
+    ``nth`` counts its pieces of a length, so the pieces must be written before they are packed."""
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         encode = encoder(tokenizer or public_tokenizer())
+        part_id, seen = TaskContext.get().partitionId(), Counter()
         for b in batches:
             ids, texts = b["_id"].tolist(), b["_text"].tolist()
             at = 0
@@ -124,14 +129,16 @@ def pieces(
                     coded += end
                     for k, s in enumerate(range(0, len(coded), 4 * capacity)):
                         part = coded[s : s + 4 * capacity]
-                        out.append((i, k, s // 4, len(part) // 4, part))
-                frame = pd.DataFrame(out, columns=["_id", "piece", "start", "length", "ids"])
+                        length = len(part) // 4
+                        out.append((i, k, s // 4, length, part, part_id, seen[length]))
+                        seen[length] += 1
+                frame = pd.DataFrame(out, columns=["_id", "piece", "start", "length", "ids", "part", "nth"])
                 frame["_id"] = frame["_id"].astype(object if frame["_id"].isna().any() else b["_id"].dtype)
                 yield frame
                 at = stop
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    shape = f"_id {kind}, piece int, start long, length long, ids binary"
+    shape = f"_id {kind}, piece int, start long, length long, ids binary, part int, nth long"
     return rows.mapInPandas(run, shape).withColumnRenamed("_id", id_col)
 
 
@@ -193,32 +200,36 @@ def places(plan: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in rows.items()}
 
 
-def pack(cut_pieces: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> DataFrame:
-    """``cut_pieces`` (id, piece, length, ids_crc32 and any other columns) with sequence_id and offset; sequences hold at most ``capacity`` tokens."""
-    histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+def pack(cut_pieces: DataFrame, capacity: int = 2048) -> DataFrame:
+    """``cut_pieces`` (written; length, part, nth and any other columns) with sequence_id and
+    offset instead of part and nth; sequences hold at most ``capacity`` tokens."""
+    counts = cut(cut_pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     place = places(plan_bins(histogram, capacity))
-    ranked = prefix(cut_pieces, ["length"], [id_col, "piece", "ids_crc32"], rank="_rank", rows=sum(histogram.values()))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema)
-
-    def run(batches):
-        for b in batches:
-            length, rank = b["length"].to_numpy(), b.pop("_rank").to_numpy()
-            sequence, offset = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-            for k in np.unique(length):
-                own = np.flatnonzero(length == k)
-                at = place[k][np.searchsorted(place[k][:, 0], rank[own], "right") - 1]
-                turn = rank[own] - at[:, 0]
-                sequence[own] = at[:, 2] + turn // at[:, 1]
-                offset[own] = at[:, 3] + turn % at[:, 1] * k
-            yield b.assign(sequence_id=sequence, offset=offset)
-
-    return ranked.mapInPandas(run, f"{shape}, sequence_id long, offset long")
+    ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(counts.select("length", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_before")), "starts")
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def placed(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        length, rank = lengths.to_numpy(), ranks.to_numpy()
+        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        for k in np.unique(length):
+            own = np.flatnonzero(length == k)
+            at = place[k][np.searchsorted(place[k][:, 0], rank[own], "right") - 1]
+            turn = rank[own] - at[:, 0]
+            sequence[own] = at[:, 2] + turn // at[:, 1]
+            offset[own] = at[:, 3] + turn % at[:, 1] * k
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+
+    out = cut_pieces.join(starts, ["length", "part"]).withColumn("_place", placed("length", F.col("_before") + F.col("nth")))
+    kept = [c for c in cut_pieces.columns if c not in ("part", "nth")]
+    return out.select(*kept, "_place.sequence_id", "_place.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, **names) -> DataFrame:
     """Every document's pieces, their ids' crc32 and their places in sequences of at most ``capacity`` tokens."""
     made = pieces(docs, tokenizer, capacity, end_id, **names).withColumn("ids_crc32", F.crc32("ids"))
-    return pack(cut(made, "pieces"), capacity, names.get("id_col", "doc_id"))
+    return pack(cut(made, "pieces"), capacity)
 
 
 def op9_packing(spark, sf_dir):

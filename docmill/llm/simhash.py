@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import jaccard
-from docmill.llm._common import components, cut, numbered, table
+from docmill.llm._common import Scratch, components, cut, row_keys, table
 
 MAX_SAMPLE = 1 << 20
 
@@ -159,7 +159,7 @@ def compare_leaf(fps: np.ndarray, max_bits: int, shard_rows: int = 256, block: i
     return fps[tied], fps[lab[tied]]
 
 
-def tree_links(distinct: DataFrame, max_bits: int = 3, leaf_rows: int = 1024, most_rows: int = 8192, sample_per_leaf: int = 16) -> DataFrame:
+def tree_links(distinct: DataFrame, max_bits: int = 3, leaf_rows: int = 1024, most_rows: int = 8192, sample_per_leaf: int = 16, cut=cut) -> DataFrame:
     """(a, b): links of ``distinct`` (fp long, no two equal) that connect all fingerprints at most ``max_bits`` apart."""
     n = distinct.count()
     parts = piece_bounds(64, max_bits + 1)
@@ -213,14 +213,16 @@ def near_duplicates(
     fingerprints at most ``max_bits`` apart. Equal labels: one class; component_id is the
     smallest id in it (classes may share one where ids repeat)."""
     each = cut(fingerprints(docs, id_col, text_col, shingle_words, keys), "fingerprints")
-    distinct = cut(each.groupBy("fp").agg(F.min(id_col).alias("_first")), "distinct")
-    labels = components(tree_links(distinct, max_bits, leaf_rows, most_rows), "a", "b")
+    scratch = Scratch(docs.sparkSession)
+    distinct = scratch.cut(each.groupBy("fp").agg(F.min(id_col).alias("_first")), "distinct")
+    labels = components(tree_links(distinct, max_bits, leaf_rows, most_rows, cut=scratch.cut), "a", "b", scratch.cut)
     classes = distinct.join(labels, distinct.fp == labels.node, "left").select(
         "fp", "_first", F.coalesce("label", "fp").alias("label")
     )
-    classes = cut(classes, "classes")
+    classes = scratch.cut(classes, "classes")
     least = classes.groupBy("label").agg(F.min("_first").alias("component_id"))
     by_fp = cut(classes.join(least, "label").select("fp", "label", "component_id"), "by_fp")
+    scratch.clear()
     text = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return each.join(by_fp, "fp").select(id_col, "fp", text, "label", "component_id", *keys)
 
@@ -231,13 +233,14 @@ def keep_one(
     """The rows of ``docs`` with one row of each class of texts that links of a Jaccard
     similarity of ``threshold`` or more connect: the one with the smallest id. Rows without a
     text are kept; a row without an id gives way to one with an id."""
-    rows, row = numbered(docs)
+    rows, keys = row_keys(docs)
     texts = rows.where(F.col(text_col).isNotNull())
-    trees = near_duplicates(texts, id_col, text_col, shingle_words, max_bits, keys=(row,)).select(row, F.col("label").alias("tree"))
-    found = cut(jaccard.near_duplicates(rows, id_col, text_col, shingle_words, threshold, keys=(row,), seeds=trees), "found")
-    first = found.groupBy("label").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, row))[row].alias(row))
-    gone = cut(found.select(row).join(first.select(row), row, "left_anti"), "copies")
-    return rows.join(gone, row, "left_anti").select(*docs.columns)
+    trees = near_duplicates(texts, id_col, text_col, shingle_words, max_bits, keys=keys).select(*keys, F.col("label").alias("tree"))
+    found = jaccard.near_duplicates(rows, id_col, text_col, shingle_words, threshold, keys=keys, seeds=trees)
+    first = found.groupBy("label").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, *keys)).alias("m"))
+    first = cut(first.select(*[F.col("m")[k].alias(k) for k in keys]), "first")
+    kept = texts.dropDuplicates(list(keys)).join(first, list(keys), "left_semi")
+    return kept.unionByName(rows.where(F.col(text_col).isNull())).select(*docs.columns)
 
 
 def op3_simhash(spark, sf_dir):

@@ -25,12 +25,12 @@ from collections import Counter
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm._common import cut, numbered, table
+from docmill.llm._common import Scratch, free_name, table
 
 GRADES = (0.8, 0.55, 0.35)
 BEGINNINGS = (4, 5, 6)
@@ -161,36 +161,33 @@ def learn_lexicon(labelled: DataFrame, min_docs: int, lexicon_terms: int) -> dic
     return {r["term"]: (r["toxic"], r["clean"]) for r in best.limit(lexicon_terms).collect()}
 
 
-def score_toxicity(
+def with_scores(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
+    score_col: str = "score",
     folds: int = 5,
     max_labels: int = 20_000,
     lexicon_terms: int = 20_000,
     min_docs: int = 3,
     trees: int = 20,
     depth: int = 4,
-    keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, held_out, score, predicted, *keys) of every document."""
+    """``docs`` and the score of each row's own text."""
     kind = docs.schema[id_col].dataType.simpleString()
-    fold = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(F.col(id_col)) != 0))
+    scratch = Scratch(docs.sparkSession)
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(F.col(id_col), folds) != 0))
     known = known.groupBy(F.col(id_col).alias("_k")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    chosen = cut(known.orderBy(F.xxhash64("_k"), "_k").limit(max_labels), "labels")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *keys)
-    kept_keys = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    out = lambda score, df: df.select(
-        F.col("_id").alias(id_col), (fold(F.col("_id")) == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), *keys
-    )
+    chosen = scratch.cut(known.orderBy(F.xxhash64("_k"), "_k").limit(max_labels), "labels")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     # at most max_labels rows of two numbers: safe to broadcast
-    labelled = cut(rows.join(F.broadcast(chosen), rows["_id"] == F.col("_k")).select("_id", "text", "toxic"), "labelled")
+    labelled = scratch.cut(rows.join(F.broadcast(chosen), rows["_id"] == F.col("_k")).select("_id", "text", "toxic"), "labelled")
     n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
-        return out(F.lit(1.0 if n.get(1) else 0.0), rows)
+        scratch.clear()
+        return docs.withColumn(score_col, F.lit(1.0 if n.get(1) else 0.0))
     grader = Grader(learn_lexicon(labelled, min_docs, lexicon_terms))
     shape = ", ".join(f"{f} double" for f in FEATURES)
 
@@ -199,37 +196,46 @@ def score_toxicity(
             made = [features(t, grader.without(int(y == 1))) for t, y in zip(b["text"], b["toxic"], strict=True)]
             yield pd.concat([b[["_id", "toxic"]].reset_index(drop=True), pd.DataFrame(made, columns=FEATURES, dtype=float)], axis=1)
 
-    def every(batches):
-        for b in batches:
-            made = [features(t, grader) for t in b["text"]]
-            yield pd.concat([b[["_id", *keys]].reset_index(drop=True), pd.DataFrame(made, columns=FEATURES, dtype=float)], axis=1)
+    @F.pandas_udf("array<double>")
+    def every(texts: pd.Series) -> pd.Series:
+        return pd.Series([features(t, grader) for t in texts])
 
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    train = assemble.transform(cut(labelled.mapInPandas(own, f"_id {kind}, toxic int, {shape}"), "training")).coalesce(4)
+    train = assemble.transform(scratch.cut(labelled.mapInPandas(own, f"_id {kind}, toxic int, {shape}"), "training")).coalesce(4)
     part = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(3))
     model = GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=5, maxBins=64)
     kinds = {(r["fit"], r["toxic"]) for r in train.select((part != 0).alias("fit"), "toxic").distinct().collect()}
-    if len(kinds) < 4:  # too few labels for two parts with both kinds: trees on all of them, no map
-        part = F.lit(1)
-    fitted = model.fit(train.where(part != 0).select("features", "toxic"))
-    raw = lambda df: fitted.transform(df).withColumn("raw", vector_to_array("probability")[1])
-    scored = raw(assemble.transform(rows.mapInPandas(every, f"_id {kind}{kept_keys}, {shape}"))).select("_id", *keys, "raw")
-    if len(kinds) < 4:
-        level = scored.withColumn("prediction", F.col("raw"))
-    else:
-        calibration = raw(train.where(part == 0).select("features", "toxic")).select("raw", F.col("toxic").cast("double").alias("label"))
-        level = IsotonicRegression(featuresCol="raw", labelCol="label").fit(calibration).transform(scored)
+    whole = len(kinds) < 4  # too few labels for two parts with both kinds: trees on all of them, no map
+    fitted = model.fit(train.where(F.lit(True) if whole else part != 0).select("features", "toxic"))
+    vector, raw, extra = (free_name(docs, f"_{c}") for c in ("features", "raw", "tree"))
+    fitted.setFeaturesCol(vector).setProbabilityCol(f"{extra}p").setRawPredictionCol(f"{extra}r").setPredictionCol(f"{extra}c")
+    scored = lambda df: fitted.transform(df).withColumn(raw, vector_to_array(f"{extra}p")[1])
+    out = scored(docs.withColumn(vector, array_to_vector(every.asNondeterministic()(F.col(text_col)))))
+    level = F.col(raw)
+    if not whole:
+        calibration = scored(train.where(part == 0).select(F.col("features").alias(vector), "toxic")).select(raw, F.col("toxic").cast("double").alias("label"))
+        iso = IsotonicRegression(featuresCol=raw, labelCol="label", predictionCol=f"{extra}i").fit(calibration)
+        out, level = iso.transform(out), F.col(f"{extra}i")
+    scratch.clear()
     # a thousandth of the raw score keeps the order inside a level
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction") * 0.999 + F.col("raw") * 0.001))
-    return out(score, level)
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), level * 0.999 + F.col(raw) * 0.001))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], score.alias(score_col))
+
+
+def fold(c, folds: int):
+    return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, **options) -> DataFrame:
+    """(id, held_out, score, predicted) of every document."""
+    scored = with_scores(docs.select(id_col, text_col), labels, id_col, text_col, score_col="score", folds=folds, **options)
+    return scored.select(id_col, (fold(F.col(id_col), folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose own text is not predicted toxic."""
-    rows, row = numbered(docs)
-    scored = score_toxicity(rows, labels, id_col, text_col, keys=(row,), **options)
-    rejected = cut(scored.where("predicted = 1").select(row), "toxic")
-    return rows.join(rejected, row, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose own text scores under a half."""
+    score = free_name(docs, "_score")
+    return with_scores(docs, labels, id_col, text_col, score_col=score, **options).where(F.col(score) < 0.5).drop(score)
 
 
 def op5_toxicity(spark, sf_dir):
