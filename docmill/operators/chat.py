@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docmill.functions.words import ranked
 
@@ -49,11 +50,22 @@ def thread_profile(docs: DataFrame, thread_col: str, name_col: str, sheets=("xls
     return docs.groupBy(thread_col).agg(F.bool_or(is_sheet).alias("has_sheets"), F.bool_and(is_sheet).alias("only_sheets"))
 
 
-def export_transcripts(chats: DataFrame, thread_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """(thread, transcript): Markdown in turn order."""
-    entry = F.concat(F.lit("### "), F.initcap(role_col), F.lit("\n\n"), F.coalesce(text_col, F.lit("")))
-    own = F.array_sort(F.collect_list(F.struct(F.col(turn_col).alias("t"), entry.alias("e"))))
-    return chats.groupBy(thread_col).agg(F.array_join(F.transform(own, lambda x: x["e"]), "\n\n---\n\n").alias("transcript"))
+def export_transcripts(
+    chats: DataFrame, thread_col: str, turn_col: str, role_col: str, text_col: str, time_col: str | None = None, sources_col: str | None = None, block: int = 1000
+) -> DataFrame:
+    """(thread, block, transcript): Markdown in turn order, with each message's time and, for answers,
+    its sources (array of struct<title, page_no>). A block holds ``block`` turns, so a thread of any
+    length is many rows; in order and put together they are the transcript."""
+    role = F.when(F.col(role_col) == "user", "User").otherwise("Assistant")
+    time = F.concat(F.lit(" ("), F.coalesce(F.date_format(time_col, "yyyy-MM-dd HH:mm:ss"), F.lit("")), F.lit(")")) if time_col else F.lit("")
+    entry = F.concat(F.lit("## "), role, time, F.lit("\n\n"), F.coalesce(text_col, F.lit("")), F.lit("\n\n"))
+    if sources_col:
+        each = lambda x: F.concat(F.lit("- **"), F.coalesce(x["title"], F.lit("Untitled")), F.lit("** (Page "), F.coalesce(x["page_no"].cast("string"), F.lit("?")), F.lit(")\n"))
+        shown = F.concat(F.lit("### Sources Used\n"), F.array_join(F.transform(sources_col, each), ""), F.lit("\n"))
+        entry = F.concat(entry, F.when((F.col(role_col) != "user") & (F.size(sources_col) > 0), shown).otherwise(""))
+    own = F.array_sort(F.collect_list(F.struct(F.col(turn_col).alias("t"), F.concat(entry, F.lit("---\n\n")).alias("e"))))
+    part = F.floor(F.col(turn_col) / block).alias("block")
+    return chats.groupBy(thread_col, part).agg(F.array_join(F.transform(own, lambda x: x["e"]), "").alias("transcript"))
 
 
 #: Action names that mean another one.
@@ -78,40 +90,70 @@ def normalize_answers(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.withColumn(out, F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
-def outermost_json(raw: str | None) -> str | None:
-    """The first balanced object of a noisy reply, control characters in strings escaped."""
+_MARK = re.compile(r'[{}"\\]')
+
+
+def json_objects(text: str):
+    """(start, end) of the outermost balanced objects, in one walk with a stack of open braces: one
+    that is never closed is passed over, and what it holds counts by itself. Quotes are tried from
+    the first brace on; an odd one there ends at the line."""
+    opened: list[int] = []
+    spans: list[tuple[int, int]] = []
+    inside, skip = False, -1
+    for m in _MARK.finditer(text):
+        c, at = m[0], m.start()
+        if at == skip:
+            continue
+        if inside and c == "\\":
+            skip = at + 1
+        elif c == '"' and opened:
+            inside = not inside
+        elif not inside and c == "{":
+            opened.append(at)
+        elif not inside and c == "}" and opened:
+            start = opened.pop()
+            while spans and spans[-1][0] > start:
+                spans.pop()
+            spans.append((start, at + 1))
+    return spans
+
+
+def _escaped(raw: str) -> str:
+    """Control characters inside strings as escapes."""
+    parts = re.split(r'((?<!\\)(?:\\\\)*")', raw)
+    inside, out = False, []
+    for p in parts:
+        out.append(p.replace("\n", "\\n").replace("\t", "\\t").replace("\r", "\\r") if inside and not p.endswith('"') else p)
+        inside ^= p.endswith('"')
+    return "".join(out)
+
+
+def outermost_json(raw: str | None, fields: tuple[str, ...] = ()) -> str | None:
+    """The first object of a noisy reply that parses, control characters in strings escaped; one
+    that has a field of ``fields`` comes before all others. Time grows with the text."""
     text = re.sub(r"(?is)<(think|thinking|reasoning)>.*?(</\1>|\Z)", "", raw or "")
     text = re.sub(r"[ ​‌‍﻿]", " ", re.sub(r"```(?:json)?", "", text))
-    for start in (m.start() for m in re.finditer(r"\{", text)):
-        depth, inside, out, i = 0, False, [], start
-        while i < len(text):
-            c = text[i]
-            if inside and c == "\\":
-                out.append(text[i : i + 2])
-                i += 2
-                continue
-            if c == '"':
-                inside = not inside
-            elif not inside and c in "{}":
-                depth += 1 if c == "{" else -1
-            out.append({"\n": "\\n", "\t": "\\t", "\r": "\\r"}.get(c, c) if inside else c)
-            i += 1
-            if not depth and not inside:
-                found = "".join(out)
-                try:
-                    json.loads(found)
-                except ValueError:
-                    break
-                return found
-    return None
+    first = None
+    for start, end in json_objects(text):
+        found = _escaped(text[start:end])
+        try:
+            held = json.loads(found)
+        except ValueError:
+            continue
+        if not fields or any(f in held for f in fields):
+            return found
+        first = first or found
+    return first
 
 
 def parse_responses(df: DataFrame, raw_col: str, schema: str, answer_field: str = "answer", longest: int = 8000) -> DataFrame:
     """``parsed`` (a struct of ``schema``) and ``error``; plain replies become the answer field."""
 
+    fields = tuple(f.name for f in StructType.fromDDL(schema))
+
     @F.pandas_udf("string")
     def scan(s: pd.Series) -> pd.Series:
-        return s.map(outermost_json)
+        return s.map(lambda raw: outermost_json(raw, fields))
 
     found = df.withColumn("_json", scan(raw_col))
     plain = F.to_json(F.struct(F.substring(F.trim(raw_col), 1, longest).alias(answer_field)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docmill.functions.scratch import scratch
 from docmill.functions.words import SYNONYMS, ascii_words, ranked, stop_words
 
 SENTENCE = r"(?<=[.!?])\s+"
@@ -12,10 +13,18 @@ ENTITY = r"\b(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)\b"
 
 
 def document_keywords(df: DataFrame, id_col: str, text_col: str, top_n: int = 8) -> DataFrame:
-    """(id, rank, word, n): the most frequent words; ties by first appearance."""
-    word = df.select(id_col, F.posexplode(ascii_words(text_col)).alias("pos", "word"))
-    n = word.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    return n.withColumn("rank", ranked([id_col], F.desc("n"), F.asc("first"))).where(F.col("rank") <= top_n).select(id_col, "rank", "word", "n")
+    """(id, rank, word, n): the most frequent words; ties by first appearance. All of it happens in
+    the row: equal words stand together once sorted with their places, and runs are counted."""
+    sorted_ = F.array_sort(F.transform(ascii_words(text_col), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    rows = df.select(id_col, sorted_.alias("s"))
+    # the first of each run of equal words, and the place of the next run's first
+    starts = F.filter(F.transform("s", lambda x, k: F.when((k == 0) | (F.get("s", k - 1)["w"] != x["w"]), k)), lambda k: k.isNotNull())
+    rows = rows.select(id_col, "s", starts.alias("at"))
+    runs = F.transform("at", lambda k, j: F.struct(
+        (k - F.coalesce(F.get("at", j + 1), F.size("s"))).alias("n"), F.get("s", k)["i"].alias("i"), F.get("s", k)["w"].alias("w")))
+    top = F.slice(F.array_sort(runs), 1, top_n)
+    out = rows.select(id_col, F.posexplode(top).alias("p", "r"))
+    return out.select(id_col, (F.col("p") + 1).alias("rank"), F.col("r.w").alias("word"), (-F.col("r.n")).cast("long").alias("n"))
 
 
 def page_heading(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -56,7 +65,7 @@ def adjacent_context(chunks: DataFrame, page_keys: list[str], order_col: str, te
     """Chunks with ``context``: last sentence before and first sentence after, within the page."""
     w = Window.partitionBy(*page_keys).orderBy(order_col)
     parts = lambda c: F.filter(F.split(c, SENTENCE), lambda s: F.trim(s) != "")
-    before, after = F.element_at(parts(F.lag(text_col).over(w)), -1), F.get(parts(F.lead(text_col).over(w)), F.lit(0))
+    before, after = F.try_element_at(parts(F.lag(text_col).over(w)), F.lit(-1)), F.get(parts(F.lead(text_col).over(w)), F.lit(0))
     return chunks.withColumn(
         "context",
         F.concat_ws(" | ", F.concat(F.lit("..."), F.substring(before, 1, chars)), F.concat(F.substring(after, 1, chars), F.lit("..."))),
@@ -71,19 +80,24 @@ def enriched_text(title, page_no, pages, section, keywords, context, text):
     return F.concat(header, F.lit("\n\n"), text)
 
 
-def entity_mentions(df: DataFrame, id_col: str, text_col: str, head: int = 5000, most: int = 15) -> DataFrame:
-    """(id, rank, name): capitalised phrases, without regard to case once, in first-seen order."""
-    names = F.regexp_extract_all(F.substring(text_col, 1, head), F.lit(ENTITY), F.lit(1))
-    each = df.select(id_col, F.posexplode(names).alias("pos", "name")).withColumn("key", F.lower("name"))
+def entity_names(text):
+    """The default entity extractor: capitalised phrases of a text column, in order. Any function of
+    a column to array<string>, a pandas UDF over a model say, can take its place."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ENTITY), F.lit(1))
+
+
+def entity_mentions(df: DataFrame, id_col: str, text_col: str, head: int = 5000, most: int = 15, extractor=entity_names) -> DataFrame:
+    """(id, rank, name): names, without regard to case once, in first-seen order."""
+    each = df.select(id_col, F.posexplode(extractor(F.substring(text_col, 1, head))).alias("pos", "name")).withColumn("key", F.lower("name"))
     each = each.where((F.length("name") >= 2) & ~F.col("key").isin(*stop_words()))
     first = each.groupBy(id_col, "key").agg(F.min(F.struct("pos", "name")).alias("m"))
     out = first.select(id_col, F.col("m.name").alias("name"), ranked([id_col], F.col("m.pos")).alias("rank"))
     return out.where(F.col("rank") <= most).select(id_col, "rank", "name")
 
 
-def chunk_mentions(chunks: DataFrame, text_col: str) -> DataFrame:
+def chunk_mentions(chunks: DataFrame, text_col: str, extractor=entity_names) -> DataFrame:
     """``chunks`` with a row for each ``name`` that a chunk's whole text mentions, without regard to case once."""
-    names = F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(ENTITY), F.lit(1))
+    names = extractor(F.col(text_col))
     rows = chunks.withColumn("_names", names).withColumn("_lower", F.transform("_names", F.lower))
     known = lambda x, i: F.array_position("_lower", F.lower(x)) == i + 1
     rows = rows.withColumn("name", F.explode(F.filter("_names", known))).drop("_names", "_lower")
@@ -158,13 +172,27 @@ def triple_context(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.concat(F.lit("Entity Relationships:\n"), F.array_join(lines, "\n")).alias("context"))
 
 
-def node_tree(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """(id, depth, path, root, n_children) of the nodes that a root reaches, by recursive SQL."""
-    edges = nodes.select("id", F.when(F.length(F.coalesce("parent_id", F.lit(""))) > 0, F.col("parent_id")).alias("parent_id"))
-    edges.createOrReplaceTempView("_tree_nodes")
-    tree = spark.sql(
-        "WITH RECURSIVE t(id, depth, path, root) AS (SELECT id, 0, id, id FROM _tree_nodes WHERE parent_id IS NULL UNION ALL"
-        " SELECT n.id, t.depth + 1, concat(t.path, '/', n.id), t.root FROM _tree_nodes n JOIN t ON n.parent_id = t.id) SELECT * FROM t"
-    )
-    children = edges.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
+def node_tree(spark: SparkSession, nodes: DataFrame, save=None) -> DataFrame:
+    """(id, depth, path, root, n_children) of the nodes that a root reaches. Pointers double: each
+    round every node jumps to what its ancestor so far points at, so a tree of depth n takes log n
+    joins. ``save`` writes the table of a round and reads it back (by default as a checkpoint)."""
+    edges = nodes.select("id", F.when(F.length(F.coalesce("parent_id", F.lit(""))) > 0, F.col("parent_id")).alias("up"))
+    known = edges.select(F.col("id").alias("up")).distinct()
+    lost = edges.where("up is not null").join(known, "up", "left_anti").select("id").withColumn("lost", F.lit(True))
+    # up: the next ancestor to ask, null at a root; path: from below up to the node itself
+    state = edges.join(lost, "id", "left").select("id", "up", F.array("id").alias("path"), F.coalesce("lost", F.lit(False)).alias("lost"))
+    save = save or (lambda df: df.checkpoint())
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(scratch(spark, "trees"))
+    state = save(state)
+    while not state.where("up is not null and not lost").isEmpty():
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("lost").alias("_lost"))
+        # a node that is its own ancestor lies on a cycle
+        gone = F.col("lost") | F.coalesce("_lost", F.lit(False)) | F.coalesce(F.array_contains("_path", F.col("id")), F.lit(False))
+        jumped = state.join(above, "up", "left").select("id", "path", "_up", "_path", gone.alias("lost"))
+        path = F.when(F.col("lost") | F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path"))
+        state = save(jumped.select("id", F.when(~F.col("lost"), F.col("_up")).alias("up"), path.alias("path"), "lost"))
+    tree = state.where("not lost")
+    children = edges.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
+    tree = tree.select("id", (F.size("path") - 1).alias("depth"), F.array_join("path", "/").alias("path"), F.col("path")[0].alias("root"))
     return tree.join(children, "id", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))

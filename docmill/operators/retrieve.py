@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.words import exact_sum, ranked, tokens
 
 
-def bm25_index(chunks: DataFrame, thread_col: str, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+def query_terms(queries: DataFrame, text_col: str) -> DataFrame:
+    """The distinct terms (term) of all queries."""
+    return queries.select(F.explode(tokens(text_col)).alias("term")).distinct()
+
+
+def bm25_index(
+    chunks: DataFrame, thread_col: str, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, terms: DataFrame | None = None
+) -> DataFrame:
     """Postings (thread, term, id, weight): each term's Okapi weight in each chunk, statistics per
-    thread; a negative idf becomes ``epsilon`` times the thread's mean idf."""
-    word = chunks.select(F.col(thread_col).alias("thread"), F.col(id_col).alias("chunk_id"), F.explode(tokens(text_col)).alias("term"))
-    tf = word.groupBy("thread", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    sizes = tf.groupBy("thread", "chunk_id").agg(F.sum("tf").alias("dl"))
-    n = chunks.groupBy(F.col(thread_col).alias("thread")).agg(F.count(F.lit(1)).alias("n_chunks"))
-    avg = sizes.groupBy("thread").agg(F.sum("dl").alias("total")).join(n, "thread").withColumn("avgdl", F.col("total") / F.col("n_chunks"))
-    df = tf.groupBy("thread", "term").agg(F.count(F.lit(1)).alias("df")).join(n, "thread")
-    df = df.withColumn("idf", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    thread; a negative idf becomes ``epsilon`` times the thread's mean idf. With ``terms`` only
+    their postings are weighed; the statistics are those of all terms either way."""
+    own = chunks.select(F.col(thread_col).alias("thread"), F.col(id_col).alias("chunk_id"), tokens(text_col).alias("words"))
+    sizes = own.groupBy("thread").agg(F.count(F.lit(1)).alias("n_chunks"), (F.sum(F.size("words")) / F.count(F.lit(1))).alias("avgdl"))
+    df = own.select("thread", F.explode(F.array_distinct("words")).alias("term")).groupBy("thread", "term").agg(F.count(F.lit(1)).alias("df"))
+    df = df.join(sizes, "thread").withColumn("idf", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.groupBy("thread").agg((F.sum(F.col("idf").cast("decimal(38,10)")).cast("double") / F.count(F.lit(1))).alias("mean"))
-    idf = df.join(mean, "thread").select("thread", "term", F.when(F.col("idf") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    asked = df if terms is None else df.join(terms, "term", "left_semi")
+    idf = asked.join(mean, "thread").select("thread", "term", "avgdl", F.when(F.col("idf") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    word = own.select("thread", "chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    if terms is not None:
+        word = word.join(terms, "term", "left_semi")
+    tf = word.groupBy("thread", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    full = tf.join(sizes, ["thread", "chunk_id"]).join(avg.select("thread", "avgdl"), "thread").join(idf, ["thread", "term"])
+    full = tf.join(idf, ["thread", "term"])
     return full.select("thread", "term", "chunk_id", (F.col("idf") * F.col("tf") * F.lit(k1 + 1.0) / norm).alias("weight"))
 
 
@@ -36,16 +49,44 @@ def bm25_topk(postings: DataFrame, queries: DataFrame, query_id: str, text_col:
     return top.where("score > 0")
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, top_k: int = 10, query_rows: int = 2048, vector_rows: int = 65_536) -> DataFrame:
     """(query_id, chunk_id, rank, score): nearest ``vectors`` (chunk_id, v) to ``queries`` (query_id, q).
 
-    The query table is compared with every vector, in blocks: queries travel as packed arrays."""
-    packed = queries.withColumn("block", F.pmod(F.hash("query_id"), F.lit(64))).groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    dot = F.expr("aggregate(zip_with(v, x.q, (a, b) -> cast(a as double) * cast(b as double)), 0D, (s, y) -> s + y)")
-    pairs = vectors.join(packed, F.lit(True)).select("chunk_id", "v", F.explode("qs").alias("x")).select(F.col("x.query_id").alias("query_id"), "chunk_id", F.round(dot, 6).alias("score"))
+    Both tables are dealt into blocks of bounded size; each pair of blocks is one product of
+    matrices in a task, which keeps the best ``top_k`` of its queries, so few rows are shuffled on."""
+    blocks = lambda df, rows: max(1, -(-df.count() // rows))
+    nq, nv = blocks(queries, query_rows), blocks(vectors, vector_rows)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.where("v is not null").withColumn("_v", F.pmod(F.xxhash64("chunk_id"), F.lit(nv)).cast("int")).withColumn("_q", each(nq))
+    right = queries.where("q is not null").withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("_v", each(nv))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "chunk_id"))]
+
+    def best(own, asked):
+        if len(own) and len(asked):
+            own = own.sort_values("chunk_id")
+            score = np.round(np.stack(asked["q"]).astype(np.float64) @ np.stack(own["v"]).astype(np.float64).T, 6)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :top_k]
+            ids = own["chunk_id"].to_numpy()
+            asks = pd.Series(asked["query_id"].to_list(), dtype=object).repeat(top.shape[1]).reset_index(drop=True)  # may be structs
+            return pd.DataFrame({"query_id": asks, "chunk_id": ids[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()})
+        return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+
+    pairs = left.select("_v", "_q", "chunk_id", "v").groupBy("_v", "_q").cogroup(right.select("_v", "_q", "query_id", "q").groupBy("_v", "_q"))
+    pairs = pairs.applyInPandas(best, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
     return pairs.withColumn("rank", ranked(["query_id"], F.desc("score"), F.asc("chunk_id"))).where(F.col("rank") <= top_k)
 
 
+def hashed_embeddings(chunks: DataFrame, id_col: str, text_col: str, dim: int = 256, fitted=None) -> tuple[DataFrame, object]:
+    """(id, v array<float>) and the fitted model: the default text embedder, hashed term
+    frequencies times inverse document frequency, of length one. Pass ``fitted`` to embed queries
+    in the space of the chunks. Other embedders take its place where they return (id, v)."""
+    words = chunks.select(id_col, tokens(text_col).alias("_words"))
+    counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(words)
+    fitted = fitted or IDF(inputCol="_tf", outputCol="_tfidf").fit(counted)
+    unit = Normalizer(inputCol="_tfidf", outputCol="_unit").transform(fitted.transform(counted))
+    return unit.select(id_col, vector_to_array("_unit", "float32").alias("v")), fitted
+
+
 def embedding_dim_check(vectors: DataFrame, owner_col: str, vector_col: str, expected: int) -> DataFrame:
     """(owner, dim, n, ok) over all stored vectors."""
     return vectors.groupBy(owner_col, F.size(vector_col).alias("dim")).agg(F.count(F.lit(1)).alias("n")).withColumn("ok", F.col("dim") == expected)
@@ -204,11 +245,17 @@ def edge_order(hits: DataFrame) -> DataFrame:
     return h.withColumn("position", F.when(F.col("_n") <= 2, r).otherwise(moved).cast("int")).drop("_r", "_n")
 
 
-def pack_batches(hits: DataFrame, budget: int, reserve: int = 3000) -> DataFrame:
+def count_tokens(text) -> Column:
+    """The default token counter: four characters a token. Any function of a column (a pandas UDF
+    over a tokenizer, say) can take its place."""
+    return F.ceil(F.length(text) / 4)
+
+
+def pack_batches(hits: DataFrame, budget: int, reserve: int = 3000, counter=count_tokens) -> DataFrame:
     """(query_id, document_id, tokens, batch): documents by best score, packed in order into batches
     of at most ``budget - reserve`` tokens; a larger document has its own."""
     room = budget - reserve
-    doc = hits.groupBy("query_id", "document_id").agg(F.max("score").alias("s"), F.sum(F.ceil(F.length("text") / 4)).alias("tokens"))
+    doc = hits.groupBy("query_id", "document_id").agg(F.max("score").alias("s"), F.sum(counter(F.col("text"))).alias("tokens"))
     ordered = doc.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("o"), "document_id", "tokens"))).alias("ds"))
     fold = (
         "aggregate(ds, named_struct('b', -1L, 'used', 0L, 'out', cast(array() as array<bigint>)), (s, d) -> CASE WHEN s.b >= 0 AND s.used + d.tokens <= {0}"
@@ -219,9 +266,9 @@ def pack_batches(hits: DataFrame, budget: int, reserve: int = 3000) -> DataFrame
     return z.select("query_id", F.col("z.ds.document_id").alias("document_id"), F.col("z.ds.tokens").alias("tokens"), F.col("z.b").alias("batch"))
 
 
-def token_budget(queries: DataFrame, text_col: str, window: int = 128_000, reply: int = 8000, margin: int = 2000) -> DataFrame:
+def token_budget(queries: DataFrame, text_col: str, window: int = 128_000, reply: int = 8000, margin: int = 2000, counter=count_tokens) -> DataFrame:
     """``budget``: what the context window leaves beside reply, margin and prompt."""
-    used = F.ceil(F.length(F.coalesce(text_col, F.lit(""))) / 4)
+    used = counter(F.coalesce(text_col, F.lit("")))
     return queries.withColumn("budget", F.greatest(F.lit(0), F.lit(window - reply - margin) - used).cast("long"))
 
 
@@ -244,6 +291,17 @@ def visual_pages(hits: DataFrame, least: float = 0.8, most: int = 5, score_col:
     return page.select("query_id", "pos", "document_id", "page_no")
 
 
+def target_page(hits: DataFrame, flags: DataFrame) -> DataFrame:
+    """(query_id, document_id, page_no): the page that a question about a page means, in the document
+    of its best hit. ``flags`` (query_id, page, is_last): the explicit page, else the last retrieved
+    page of that document, else the best hit's page."""
+    best = hits.groupBy("query_id").agg(F.min_by(F.struct("document_id", "page_no"), F.struct("rank", "chunk_id")).alias("m"))
+    best = best.select("query_id", "m.document_id", F.col("m.page_no").alias("_own"))
+    last = hits.groupBy("query_id", "document_id").agg(F.max("page_no").alias("_last"))
+    page = F.coalesce("page", F.when(F.col("is_last"), F.col("_last")), "_own").cast("int").alias("page_no")
+    return best.join(last, ["query_id", "document_id"]).join(flags, "query_id").select("query_id", "document_id", page)
+
+
 #: Words that mark a kind of question.
 NLP_WORDS = [
     "sentiment", "theme", "themes", "tone", "opinion", "opinions", "categorize", "categorise", "classify", "classification",
@@ -265,13 +323,28 @@ STYLES = {
         "trend analysis",
     ],
 }
-PAGE = r"(?i)\b(?:page|slide)\s+(\d+)\b|\b(\d+)(?:st|nd|rd|th)?\s*(?:page|slide)\b"
+EXCEL_WORDS = [
+    "excel", "spreadsheet", "xlsx", "export to file", "download file", "create a file", "pivot table", "create an excel", "make an excel",
+    "give me an excel",
+]
+PAGE = r"(?i)\b(?:page|slide)\s+(\d+)\b|\b(\d+)(?:st|nd|rd|th)?\s*(?:page|slide)\b|\b(last|final)\s+(?:page|slide)\b|\b(first)\s+(?:page|slide)\b"
+IMPLICIT = (
+    r"(?i)\b(?:flowchart|org\s*chart|organizational\s*chart|below\s+the|above\s+the|in\s+the\s+(?:image|figure|diagram|chart|table)"
+    r"|the\s+(?:diagram|flowchart|chart|figure|table)|(?:figure|fig\.?|chart|diagram|table|image|illustration)\s+\d+)\b"
+)
 
 
 def query_flags(df: DataFrame, text_col: str) -> DataFrame:
-    """is_nlp, style and the explicit page number of each question."""
-    low = F.lower(F.coalesce(text_col, F.lit("")))
+    """is_nlp, is_excel, style, and what page each question means: its number (the first page is 1),
+    the last one, or that of something shown there."""
+    text = F.coalesce(text_col, F.lit(""))
+    low = F.lower(text)
     any_of = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
     style = F.when(any_of(STYLES["brief"]), "brief").when(any_of(STYLES["compare"]), "compare").when(any_of(STYLES["analyst"]), "analyst")
-    page = F.coalesce(*[F.nullif(F.regexp_extract(F.coalesce(text_col, F.lit("")), PAGE, i), F.lit("")) for i in (1, 2)])
-    return df.withColumns({"is_nlp": any_of(NLP_WORDS), "style": style.otherwise("detailed"), "page": page.cast("int")})
+    part = lambda i: F.regexp_extract(text, PAGE, i)
+    number = F.coalesce(*[F.nullif(part(i), F.lit("")) for i in (1, 2)]).cast("int")
+    page = F.coalesce(number, F.when(part(4) != "", 1))
+    implicit = ~text.rlike(PAGE) & text.rlike(IMPLICIT)
+    return df.withColumns(
+        {"is_nlp": any_of(NLP_WORDS), "is_excel": any_of(EXCEL_WORDS), "style": style.otherwise("detailed"), "page": page, "is_last": part(3) != "", "is_implicit": implicit}
+    )

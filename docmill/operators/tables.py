@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions.words import exact_sum, ranked
+from docmill.operators.retrieve import count_tokens
 
 NUMBER = r"^\s*[-+]?[0-9][0-9,]*(\.[0-9]+)?\s*%?\s*$"
 #: Words a query may not hold.
@@ -55,10 +56,12 @@ def sanitize_names(columns: DataFrame, prefix: str = "col_") -> DataFrame:
     return z.select("sheet_id", F.col("z.cols.pos").alias("pos"), F.col("z.cols.name").alias("name"), F.col("z.clean").alias("clean"))
 
 
-def repair_table(df: DataFrame) -> DataFrame:
-    """Without all-null columns and blank rows; ``Unnamed`` columns take a short first value as name."""
+def repair_table(df: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Without all-null columns and blank rows; ``Unnamed`` columns take a short first value as name.
+    The first row is the least in ``order`` (all columns by default), whatever the partitions are."""
+    first = F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order or df.columns)])
     facts = df.agg(*[F.count(F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))).alias(f"n{i}") for i, c in enumerate(df.columns)],
-                   *[F.first(F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")), ignorenulls=True).alias(f"v{i}") for i, c in enumerate(df.columns)]).first()
+                   *[F.min_by(F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")), F.when(F.trim(F.col(f"`{c}`").cast("string")) != "", first)).alias(f"v{i}") for i, c in enumerate(df.columns)]).first()
     kept = []
     for i, c in enumerate(df.columns):
         if facts[f"n{i}"]:
@@ -71,13 +74,15 @@ def repair_table(df: DataFrame) -> DataFrame:
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """String columns cast to the narrowest type that loses no value: one aggregate over the table."""
+    """String columns cast to the narrowest type that loses no value: one aggregate over the table.
+    Digits with a leading zero or plus sign are no numbers: codes such as 007 stay text."""
     kinds = ["bigint", "double", "boolean", "timestamp"]
     text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     value = {c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in text}
     if not text:
         return df
-    facts = df.agg(*[F.count(v if k == "" else v.try_cast(k)).alias(f"{i}{k}") for i, v in enumerate(value.values()) for k in ["", *kinds]]).first()
+    code = lambda v, k: F.when(~v.rlike(r"^[-+]?0[0-9]|^[+]"), v) if k in ("bigint", "double") else v
+    facts = df.agg(*[F.count(v if k == "" else code(v, k).try_cast(k)).alias(f"{i}{k}") for i, v in enumerate(value.values()) for k in ["", *kinds]]).first()
     casts = {}
     for i, (c, v) in enumerate(value.items()):
         kind = next((k for k in kinds if facts[f"{i}"] and facts[f"{i}{k}"] == facts[f"{i}"]), "string")
@@ -140,21 +145,44 @@ def guarded_select(spark: SparkSession, query: str, max_rows: int | None = 500)
         spark.conf.set(key, before)
 
 
+def _fold_lines(lines, starts, inside):
+    """Runs of lines (arrays): a line that ``starts`` one opens it, lines ``inside`` and blank ones
+    go on with it, any other ends it. Blank lines are not part of a run."""
+    first = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("held"))
+    closed = lambda s: F.when(F.size(s["held"]) > 0, F.array_append(s["done"], s["held"])).otherwise(s["done"])
+    empty = F.array().cast("array<string>")
+
+    def step(s, x):
+        going = (F.size(s["held"]) > 0) & inside(x)
+        held = F.when(x == "", s["held"]).when(going, F.array_append(s["held"], x)).when(starts(x), F.array(x)).otherwise(empty)
+        return F.struct(F.when((x == "") | going, s["done"]).otherwise(closed(s)).alias("done"), held.alias("held"))
+
+    return F.aggregate(lines, first, step, closed)
+
+
 def extract_tables(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, table_no, row, cells) of the Markdown tables in a text: runs of lines that start and end
-    with a pipe, blank lines not breaking a run, separator lines dropped, rows fitted to the header."""
-    line = docs.select(id_col, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
-    line = line.where("line <> ''").withColumn("bar", F.col("line").rlike(r"^\|.*\|$"))
-    w = Window.partitionBy(id_col).orderBy("pos")
-    starts = F.when(F.col("bar") & ~F.coalesce(F.lag("bar").over(w), F.lit(False)), 1).otherwise(0)
-    line = line.withColumn("s", starts).withColumn("table_no", F.sum("s").over(w)).where("bar")
-    cells = F.transform(F.split(F.expr("substring(line, 2, length(line) - 2)"), r"\|"), lambda c: F.trim(c))
-    line = line.withColumn("cells", cells).withColumn("rule", F.forall("cells", lambda c: c.rlike(r"^:?-+:?$")))
-    g = Window.partitionBy(id_col, "table_no")
-    line = line.withColumn("ok", F.max(F.col("rule").cast("int")).over(g)).where("ok = 1 and not rule")
-    line = line.withColumn("row", F.row_number().over(g.orderBy("pos")) - 1).withColumn("width", F.max(F.when(F.col("row") == 0, F.size("cells"))).over(g))
-    fitted = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.get("cells", i), F.lit("")))
-    return line.select(id_col, F.col("table_no").cast("int").alias("table_no"), F.col("row").cast("int").alias("row"), fitted.alias("cells"))
+    """(id, table_no, row, cells) of the tables in a text, row 0 the header, other rows fitted to it:
+    Markdown (lines that start and end with a pipe, a rule among them), then ``[Table]`` blocks
+    with Markdown or ``a | b`` lines; where there are neither, runs of loose ``a | b`` lines. Blank
+    lines break no run; a header alone is no table. A text is one row, so nothing is shuffled."""
+    text = F.coalesce(text_col, F.lit(""))
+    block = r"(?is)\[Table\](.*?)\[/Table\]"
+    trimmed = lambda c: F.transform(F.split(c, "\n"), lambda x: F.trim(x))
+    full = lambda x: x.rlike(r"^\|.*\|$")
+    rule = lambda x: x.rlike(r"^[\s:|-]*-[\s:|-]*$")
+    loose = lambda x: F.contains(x, F.lit(" | ")) & ~x.startswith("[")
+    piped = F.filter(_fold_lines(trimmed(F.regexp_replace(text, block, "\n")), full, full), lambda run: F.exists(run, rule))
+    inside = F.transform(F.regexp_extract_all(text, F.lit(block), F.lit(1)), lambda b: F.filter(trimmed(b), lambda x: x != ""))
+    tagged = F.filter(inside, lambda run: (F.size(run) > 0) & (F.get(run, F.lit(0)).startswith("|") | F.contains(F.get(run, F.lit(0)), F.lit(" | "))))
+    strict = docs.select(id_col, text.alias("_text"), F.concat(piped, tagged).alias("_runs"))
+    spaced = _fold_lines(trimmed(F.col("_text")), lambda x: loose(x) & ~x.startswith("|"), loose)
+    runs = strict.select(id_col, F.when(F.size("_runs") > 0, F.col("_runs")).otherwise(F.filter(spaced, lambda r: F.size(r) >= 2)).alias("_runs"))
+    split = lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
+    rows = runs.select(id_col, F.transform("_runs", lambda run: F.transform(F.filter(run, lambda x: ~rule(x)), split)).alias("_tables"))
+    rows = rows.select(id_col, F.posexplode(F.filter("_tables", lambda t: F.size(t) > 1)).alias("_t", "_rows")).withColumn("_width", F.size(F.get("_rows", F.lit(0))))
+    out = rows.select(id_col, (F.col("_t") + 1).alias("table_no"), "_width", F.posexplode("_rows").alias("row", "cells"))
+    fitted = F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda i: F.coalesce(F.get("cells", i), F.lit("")))
+    return out.select(id_col, "table_no", "row", fitted.alias("cells"))
 
 
 def table_catalog(docs: DataFrame, tables: DataFrame, id_col: str, preview: int = 3) -> DataFrame:
@@ -167,21 +195,57 @@ def table_catalog(docs: DataFrame, tables: DataFrame, id_col: str, preview: int
     return out.withColumn("n_tables", F.coalesce("n_tables", F.lit(0))).withColumn("has_tables", F.col("n_tables") > 0)
 
 
-def sheet_text(df: DataFrame, name: str, order: list[str], context: str = "") -> DataFrame:
-    """One row: the sheet as text with its columns, row count and a Markdown table."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+def sheet_text(df: DataFrame, name: str, order: list[str], context: str = "", summary: str = "", block_rows: int = 1000) -> DataFrame:
+    """(sheet, block, text): the sheet as text, in blocks of about ``block_rows`` lines of a Markdown
+    table, ranges of ``order`` that Spark sorts and numbers; block 0 also holds the workbook's
+    ``summary``, ``context``, columns and row count. The blocks in order, joined by newlines, are the text."""
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-    own = df.select(F.struct(*order).alias("k"), line.alias("l")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("k", "l"))).alias("r"))
+    n = df.count()
+    blocks = max(1, -(-n // block_rows))
+    dealt = df.select(F.struct(*order).alias("k"), line.alias("l")).repartitionByRange(blocks, "k").withColumn("p", F.spark_partition_id())
+    own = dealt.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("k", "l"))).alias("r"))
+    # one row a block: the window numbers blocks, not rows
+    own = own.select((F.row_number().over(Window.orderBy("p")) - 1).alias("block"), F.array_join(F.transform("r", lambda x: x["l"]), "\n").alias("lines"))
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
-    start = f"Sheet: {name}\n" + (f"{context}\n" if context else "") + "Columns: " + ", ".join(df.columns) + "\nRows: "
-    return own.select(F.lit(name).alias("sheet"), F.concat(F.lit(start), F.col("n").cast("string"), F.lit("\n\n" + head + "\n"), F.array_join(F.transform("r", lambda x: x["l"]), "\n")).alias("text"))
-
-
-def resolve_sheet_source(candidates: list[tuple[str, DataFrame | None]], columns: list[str], spark: SparkSession, where: str | None = None) -> tuple[str, DataFrame]:
-    """The first candidate with rows, filtered where asked; else an empty table of ``columns``."""
-    for how, df in candidates:
-        if df is not None and not df.isEmpty():
-            return how, df.where(where) if where else df
+    start = (f"{summary}\n" if summary else "") + f"Sheet: {name}\n" + (f"{context}\n" if context else "") + "Columns: " + ", ".join(df.columns) + f"\nRows: {n}\n\n{head}"
+    if not n:
+        return df.sparkSession.createDataFrame([(name, 0, start)], "sheet string, block int, text string")
+    text = F.when(F.col("block") == 0, F.concat(F.lit(start + "\n"), F.col("lines"))).otherwise(F.col("lines"))
+    return own.select(F.lit(name).alias("sheet"), F.col("block").cast("int").alias("block"), text.alias("text"))
+
+
+def workbook_summary(sheets: dict[str, DataFrame], most: int = 10) -> str:
+    """One line a sheet: its name and first columns. Schemas suffice, so no row is read."""
+    named = lambda df: ", ".join(df.columns[:most]) + (", ..." if len(df.columns) > most else "")
+    return f"Workbook: {len(sheets)} sheets\n" + "\n".join(f"- {name}: {named(df)}" for name, df in sheets.items())
+
+
+def resolve_sheet_source(
+    spark: SparkSession,
+    columns: list[str],
+    sql: str | None = None,
+    where: str | None = None,
+    doc_tables: dict[str, DataFrame] | None = None,
+    sources: tuple[str, ...] = (),
+) -> tuple[str, DataFrame]:
+    """(how, rows) of a planned sheet: the rows of ``sql`` if there are any, filtered by ``where``
+    unless the query has a WHERE of its own; else the document table that an ``extract:<id>`` of
+    ``sources`` names; else the first one with rows; else an empty table of ``columns``. (The first
+    one with rows is found wherever the largest has rows, so no sizes are compared.)"""
+    if sql:
+        rows = guarded_select(spark, sql, None)[0]
+        if rows is not None and not rows.isEmpty():
+            return "sql", rows.where(where) if where and not re.search(r"(?i)where", sql) else rows
+    filled = {}
+    has_rows = lambda key: filled.setdefault(key, not doc_tables[key].isEmpty())
+    for wanted in (s.removeprefix("extract:").lower() for s in sources if s.startswith("extract:")):
+        for key in doc_tables or {}:
+            if wanted in key.lower() and has_rows(key):
+                return "extract", doc_tables[key]
+    for key in doc_tables or {}:
+        if has_rows(key):
+            return "document", doc_tables[key]
     return "empty", spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
 
 
@@ -272,8 +336,11 @@ def merge_themes(batches: DataFrame, analysed: int | None = None, most: int = 3)
     ex = b.select("k", "batch", F.posexplode("examples").alias("pos", "x")).groupBy("k", "x").agg(F.min(F.struct("batch", "pos")).alias("o"))
     ex = ex.withColumn("r", ranked(["k"], F.asc("o"), F.asc("x"))).where(F.col("r") <= most)
     ex = ex.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "x"))), lambda v: v["x"]).alias("examples"))
-    total = F.lit(analysed) if analysed is not None else F.sum("n").over(Window.partitionBy(F.lit(1)))
-    out = sums.join(ex, "k", "left").withColumn("percent", F.round(100 * F.col("n") / total, 1))
+    out = sums.join(ex, "k", "left")
+    if analysed is None:  # one row
+        out = out.crossJoin(F.broadcast(sums.agg(F.sum("n").alias("_all"))))
+    total = F.lit(analysed) if analysed is not None else F.col("_all")
+    out = out.withColumn("percent", F.round(100 * F.col("n") / total, 1))
     return out.select("theme", "n", "percent", "examples")
 
 
@@ -286,13 +353,27 @@ def batch_rows(df: DataFrame, group_col: str, order_cols: list[str], size: int =
     return d.withColumn("batch", batch.cast("int")).drop("_n", "_r", "_b")
 
 
+def batch_rows_by_tokens(
+    df: DataFrame, group_col: str, order_cols: list[str], text_col: str, budget: int, overhead: int = 2000, sample: int = 20, least: int = 10, counter=count_tokens
+) -> DataFrame:
+    """``batch``: runs of as many rows of a group as fit ``budget`` less the prompt, by the mean
+    tokens of the group's first ``sample`` rows; ``least`` rows at least."""
+    d = df.withColumn("_r", ranked([group_col], *map(F.col, order_cols)) - 1)
+    first = d.where(F.col("_r") < sample).groupBy(group_col)
+    # the sample's rows stand in lines of their own
+    mean = first.agg((counter(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(text_col).alias("t")))), lambda x: x["t"]), "\n")) / F.count(F.lit(1))).alias("_mean"))
+    size = F.greatest(F.lit(least), F.floor(F.lit(float(budget - overhead)) / F.greatest(F.lit(1.0), F.col("_mean"))))
+    return d.join(mean, group_col).withColumn("batch", F.floor(F.col("_r") / size).cast("int")).drop("_r", "_mean")
+
+
 def parse_markdown_result(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, row, cells) after the first separator line; nothing without one."""
-    line = df.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
-    rule = line.where(F.col("line").rlike(r"^\|[\s:|-]*-[\s:|-]*\|$")).groupBy(id_col).agg(F.min("pos").alias("at"))
-    body = line.join(rule, id_col).where(F.col("pos") > F.col("at")).where(F.col("line").rlike(r"^\|.*\|$"))
+    lines = F.transform(F.split(text_col, "\n"), lambda x: F.trim(x))
+    rule = F.transform(lines, lambda x: x.rlike(r"^\|[\s:|-]*-[\s:|-]*\|$"))
+    each = df.select(id_col, lines.alias("_lines"), F.array_position(rule, True).alias("_rule")).where("_rule > 0")
+    body = each.select(id_col, F.posexplode(F.expr("slice(_lines, cast(_rule as int) + 1, size(_lines))")).alias("row", "line"))
     cells = F.transform(F.split(F.expr("substring(line, 2, length(line) - 2)"), r"\|"), lambda c: F.trim(c))
-    return body.select(id_col, (F.col("pos") - F.col("at") - 1).alias("row"), cells.alias("cells"))
+    return body.where(F.col("line").rlike(r"^\|.*\|$")).select(id_col, "row", cells.alias("cells"))
 
 
 def chart_series(df: DataFrame, x: str, ys: list[str]) -> DataFrame | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,15 +65,15 @@ def extract_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def cut_repetition(df: DataFrame, id_col: str, text_col: str, pattern: str, times: int = 2) -> DataFrame:
-    """(id, n_lines, text) up to the line whose label ``times`` earlier lines already had."""
-    line = df.select(id_col, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("pos", "line"))
-    labels = F.array_distinct(F.filter(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)), lambda x: x != ""))
-    label = line.select(id_col, "pos", F.explode(labels).alias("label"))
-    earlier = F.row_number().over(Window.partitionBy(id_col, "label").orderBy("pos")) - 1
-    fail = label.withColumn("n", earlier).where(F.col("n") >= times).groupBy(id_col).agg(F.min("pos").alias("stop"))
-    kept = line.join(fail, id_col, "left").where(F.col("stop").isNull() | (F.col("pos") < F.col("stop")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return kept.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_lines"), text.alias("text"))
+    """(id, n_lines, text) up to the line whose label ``times`` earlier lines already had. All of it
+    happens in the row: sorted with their places, equal labels stand together."""
+    lines = df.select(id_col, F.split(F.coalesce(text_col, F.lit("")), "\n").alias("lines"))
+    labels = lambda line: F.array_distinct(F.filter(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda x: x != ""))
+    each = F.flatten(F.transform("lines", lambda line, i: F.transform(labels(line), lambda x: F.struct(x.alias("label"), i.alias("pos")))))
+    each = lines.select(id_col, "lines", F.array_sort(each).alias("each"))
+    again = F.transform("each", lambda x, k: F.when((k >= times) & (F.get("each", k - times)["label"] == x["label"]), x["pos"]))
+    kept = each.select(id_col, F.slice("lines", F.lit(1), F.coalesce(F.array_min(again), F.size("lines"))).alias("lines"))
+    return kept.where(F.size("lines") > 0).select(id_col, F.size("lines").cast("long").alias("n_lines"), F.array_join("lines", "\n").alias("text"))
 
 
 def thread_summaries(df: DataFrame, thread_col: str, id_col: str, title_col: str, summary_col: str) -> DataFrame:
@@ -89,9 +91,11 @@ def split_recursive(text: str, size: int, overlap: int, separators=SEPARATORS) -
     starts with up to ``overlap`` characters of the piece before."""
     sep = next((s for s in separators if not s or s in text), "")
     finer = separators[separators.index(sep) + 1 :] if sep else ()
-    raw = list(text) if not sep else [p + sep for p in text.split(sep)[:-1]] + [text.split(sep)[-1]]
+    parts = text.split(sep) if sep else ()
+    raw = [*(p + sep for p in parts[:-1]), parts[-1]] if sep else text
     out: list[str] = []
-    held: list[str] = []
+    held: deque[str] = deque()
+    total = 0
 
     def close():
         if joined := "".join(held).strip():
@@ -101,14 +105,16 @@ def split_recursive(text: str, size: int, overlap: int, separators=SEPARATORS) -
         if len(part) > size and finer:
             close()
             held.clear()
+            total = 0
             out += split_recursive(part, size, overlap, finer)
             continue
-        if held and sum(map(len, held)) + len(part) > size:
+        if held and total + len(part) > size:
             close()
-            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(part) > size):
-                held.pop(0)
+            while held and (total > overlap or total + len(part) > size):
+                total -= len(held.popleft())
         if part:
             held.append(part)
+            total += len(part)
     close()
     return out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ def t(spark, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+SENTENCES = r"list_filter(string_split(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ') <> '')"
 STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words())
 SYNONYM_ROWS = ", ".join(f"('{k}', '{s}')" for k, v in enrich.SYNONYMS.items() for s in v)
 TOKENS = r"list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')"
@@ -52,8 +55,9 @@ hits AS (SELECT query_id, thread AS document_id, chunk_id, chunk_id % 10 AS page
 
 
 def bm25(spark, d, top_k=5):
-    postings = retrieve.bm25_index(t(spark, d, "documents"), "source", "doc_id", "text")
-    return retrieve.bm25_topk(postings, t(spark, d, "benchmark"), "item_id", "text", top_k)
+    asked = t(spark, d, "benchmark")
+    postings = retrieve.bm25_index(t(spark, d, "documents"), "source", "doc_id", "text", terms=retrieve.query_terms(asked, "text"))
+    return retrieve.bm25_topk(postings, asked, "item_id", "text", top_k)
 
 
 def hits(spark, d):
@@ -178,7 +182,14 @@ def page_heading(spark, d):
     return enrich.page_heading(t(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+SUMMARY = rf"""s AS (SELECT doc_id, coalesce(text, '')[1:3000] AS st, {SENTENCES.format("coalesce(text, '')[1:3000]")} AS ss FROM documents),
+e AS (SELECT doc_id, unnest(ss) AS x, generate_subscripts(ss, 1) AS i FROM s),
+c AS (SELECT *, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM e),
+l AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS lead FROM c WHERE n <= 500 GROUP BY doc_id),
+summary AS (SELECT doc_id, -1 AS chunk_index, CASE WHEN coalesce(lead, '') = '' THEN st[1:500] ELSE lead END AS summary FROM s LEFT JOIN l USING (doc_id))"""
+
+
+@query(f"WITH {SUMMARY} SELECT * FROM summary")
 def summary_chunk(spark, d):
     return enrich.summary_chunk(t(spark, d, "documents"), "doc_id", "text")
 
@@ -351,13 +362,35 @@ def _likes(words):
 
 
 @query(rf"""WITH c AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS lo, coalesce(text, '') AS text FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, {_likes(retrieve.NLP_WORDS)} AS is_nlp, CASE {" ".join(f"WHEN {_likes(v)} THEN '{k}'" for k, v in retrieve.STYLES.items())} ELSE 'detailed' END AS style,
- coalesce(nullif(regexp_extract(text, '(?i)\b(?:page|slide)\s+(\d+)\b', 1), ''), nullif(regexp_extract(text, '(?i)\b(\d+)(?:st|nd|rd|th)?\s*(?:page|slide)\b', 1), ''))::INT AS page FROM c""")
+SELECT conv_id, turn, {_likes(retrieve.NLP_WORDS)} AS is_nlp, {_likes(retrieve.EXCEL_WORDS)} AS is_excel,
+ CASE {" ".join(f"WHEN {_likes(v)} THEN '{k}'" for k, v in retrieve.STYLES.items())} ELSE 'detailed' END AS style,
+ CASE WHEN regexp_extract(text, '{retrieve.PAGE}', 4) <> '' THEN 1 ELSE coalesce(nullif(regexp_extract(text, '{retrieve.PAGE}', 1), ''), nullif(regexp_extract(text, '{retrieve.PAGE}', 2), ''))::INT END AS page,
+ regexp_extract(text, '{retrieve.PAGE}', 3) <> '' AS is_last, NOT regexp_matches(text, '{retrieve.PAGE}') AND regexp_matches(text, '{retrieve.IMPLICIT}') AS is_implicit FROM
+ (SELECT conv_id, turn, lower(coalesce(text, '') || e) AS lo, coalesce(text, '') || e AS text FROM conversations,
+   (VALUES (0, ' see the first page'), (1, ' on slide 12'), (2, ' the final slide'), (3, ' in the chart'), (4, ' 2nd page as Excel')) AS v(k, e) WHERE role = 'user' AND k = conv_id % 5)""")
 def query_flags(spark, d):
-    return retrieve.query_flags(t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text"), "text").drop("text")
-
-
-@query()
+    ends = F.array(*[F.lit(x) for x in (" see the first page", " on slide 12", " the final slide", " in the chart", " 2nd page as Excel")])
+    asked = t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    asked = asked.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.get(ends, (F.col("conv_id") % 5).cast("int"))))
+    return retrieve.query_flags(asked, "text").drop("text")
+
+
+@query(f"""WITH {HITS}, b AS (SELECT query_id, arg_min(document_id, (rank, chunk_id)) AS document_id, arg_min(page_no, (rank, chunk_id)) AS own FROM hits GROUP BY query_id),
+l AS (SELECT query_id, document_id, max(page_no) AS last FROM hits GROUP BY ALL)
+SELECT query_id, document_id, CASE WHEN query_id % 3 = 0 THEN 7 WHEN query_id % 3 = 1 THEN last ELSE own END::INT AS page_no FROM b JOIN l USING (query_id, document_id)""")
+def target_page(spark, d):
+    flags = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, 7).alias("page"), (F.col("item_id") % 3 == 1).alias("is_last"))
+    return retrieve.target_page(hits(spark, d), flags)
+
+
+@query(f"""WITH {HITS}, w AS (SELECT query_id, chunk_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS term FROM hits JOIN documents ON doc_id = chunk_id),
+f AS (SELECT query_id, chunk_id, term, count(*) AS tf FROM w GROUP BY ALL), z AS (SELECT query_id, chunk_id, sum(tf) AS len FROM f GROUP BY ALL),
+n AS (SELECT query_id, count(*) AS n FROM hits GROUP BY query_id), df AS (SELECT query_id, term, count(*) AS df FROM f GROUP BY ALL),
+x AS (SELECT query_id, chunk_id, term, tf::DOUBLE / len * ln((n + 1)::DOUBLE / (df + 1)) AS w FROM f JOIN z USING (query_id, chunk_id) JOIN df USING (query_id, term) JOIN n USING (query_id)),
+m AS (SELECT query_id, chunk_id, sqrt(sum(cast(w * w AS DECIMAL(28,18)))::DOUBLE) AS norm FROM x WHERE w <> 0 GROUP BY ALL)
+SELECT a.query_id, a.chunk_id AS a, b.chunk_id AS b, round(sum(cast(a.w * b.w AS DECIMAL(28,18)))::DOUBLE / (any_value(p.norm) * any_value(q.norm)), 6) AS sim
+FROM x a JOIN x b ON a.query_id = b.query_id AND a.term = b.term AND a.chunk_id < b.chunk_id JOIN m p ON p.query_id = a.query_id AND p.chunk_id = a.chunk_id JOIN m q ON q.query_id = b.query_id AND q.chunk_id = b.chunk_id
+WHERE a.w <> 0 AND b.w <> 0 GROUP BY 1, 2, 3""")
 def tfidf_cosine(spark, d):
     h = hits(spark, d).join(t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
     return retrieve.tfidf_cosine(h, "text")
@@ -369,16 +402,23 @@ def mmr_select(spark, d):
     return retrieve.mmr_select(retrieve.score_pairs(h), retrieve.tfidf_cosine(h, "text"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {HITS}, t AS (SELECT query_id, document_id, max(score) AS s, sum(ceil(length(text)::DOUBLE / 4))::BIGINT AS tokens FROM hits JOIN documents ON doc_id = chunk_id GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, document_id) AS i FROM t),
+r(query_id, document_id, tokens, i, batch, used) AS (SELECT query_id, document_id, tokens, i, 0::BIGINT, tokens FROM o WHERE i = 1 UNION ALL
+ SELECT o.query_id, o.document_id, o.tokens, o.i, CASE WHEN used + o.tokens <= 5000 THEN batch ELSE batch + 1 END, CASE WHEN used + o.tokens <= 5000 THEN used + o.tokens ELSE o.tokens END
+ FROM r JOIN o ON o.query_id = r.query_id AND o.i = r.i + 1)
+SELECT query_id, document_id, tokens, batch FROM r""")
 def pack_batches(spark, d):
     h = hits(spark, d).join(t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
     return retrieve.pack_batches(h, 8000)
 
 
-@query(r"""WITH c AS (SELECT c_custkey AS pos, c_name || CASE WHEN c_custkey % 3 = 0 THEN ' (x)' ELSE '' END AS name, 's' || c_nationkey AS sheet_id FROM customer)
-SELECT sheet_id, pos, name, lower(regexp_replace(regexp_replace(regexp_replace(name, '[^a-zA-Z0-9_]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g')) AS clean FROM c""")
+@query(r"""WITH c AS (SELECT c_custkey AS pos, c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN ' (x)' ELSE '' END AS name, 's' || c_custkey // 30 AS sheet_id FROM customer),
+b AS (SELECT *, lower(regexp_replace(regexp_replace(regexp_replace(name, '[^a-zA-Z0-9_]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g')) AS base FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY sheet_id, base ORDER BY pos) AS n FROM b)
+SELECT sheet_id, pos, name, base || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS clean FROM n""")
 def sanitize_names(spark, d):
-    c = t(spark, d, "customer").select(F.expr("concat('s', c_nationkey)").alias("sheet_id"), F.col("c_custkey").alias("pos"), F.expr("concat(c_name, CASE WHEN c_custkey % 3 = 0 THEN ' (x)' ELSE '' END)").alias("name"))
+    c = t(spark, d, "customer").select(F.expr("concat('s', c_custkey div 30)").alias("sheet_id"), F.col("c_custkey").alias("pos"), F.expr("concat(c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN ' (x)' ELSE '' END)").alias("name"))
     return tables.sanitize_names(c)
 
 
@@ -388,9 +428,9 @@ def repair_table(spark, d):
     return tables.repair_table(c)
 
 
-@query("SELECT p_partkey, p_name, p_size::BIGINT AS p_size, p_retailprice, p_size > 20 AS big FROM part")
+@query("SELECT p_partkey, p_name, p_size::BIGINT AS p_size, p_retailprice, p_size > 20 AS big, '00' || p_size AS code FROM part")
 def infer_types(spark, d):
-    p = t(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice", (F.col("p_size") > 20).alias("big"))
+    p = t(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice", (F.col("p_size") > 20).alias("big"), F.expr("concat('00', p_size)").alias("code"))
     return tables.infer_types(p.select(*[F.col(c).cast("string").alias(c) for c in p.columns]))
 
 
@@ -428,12 +468,14 @@ def label_rows(spark, d):
     return tables.label_rows(t(spark, d, "conversations"), "text", tables.keyword_labeler).select("conv_id", "turn", "label")
 
 
-@query("""WITH b AS (SELECT user_id % 7 AS batch, event_type AS theme, count(*) AS c FROM events GROUP BY ALL), s AS (SELECT lower(trim(theme)) AS k, sum(c) AS n FROM b GROUP BY k)
-SELECT k AS theme, n::BIGINT AS n, round(100 * n / (SELECT count(*) FROM events), 1) AS percent FROM s""")
+@query("""WITH b AS (SELECT user_id % 7 AS batch, event_type AS theme, count(*) AS c, list_sort(list(DISTINCT user_id::VARCHAR)) AS ex FROM events GROUP BY 1, 2),
+s AS (SELECT lower(trim(theme)) AS k, sum(c) AS n FROM b GROUP BY k), x AS (SELECT lower(trim(theme)) AS k, batch, unnest(ex) AS x, generate_subscripts(ex, 1) AS pos FROM b),
+f AS (SELECT k, x, min((batch, pos)) AS o FROM x GROUP BY k, x), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o, x) AS r FROM f QUALIFY r <= 3)
+SELECT k AS theme, any_value(n)::BIGINT AS n, round(100 * any_value(n) / (SELECT count(*) FROM events), 1) AS percent, string_agg(x, '|' ORDER BY r) AS examples FROM s JOIN r USING (k) GROUP BY k""")
 def merge_themes(spark, d):
     e = t(spark, d, "events")
     b = e.groupBy((F.col("user_id") % 7).alias("batch"), F.col("event_type").alias("theme")).agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_set(F.col("user_id").cast("string"))).alias("examples"))
-    return tables.merge_themes(b, e.count()).select("theme", "n", "percent")
+    return tables.merge_themes(b).withColumn("examples", F.array_join("examples", "|"))
 
 
 @query("""WITH n AS (SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS r FROM events)
@@ -442,16 +484,24 @@ def batch_rows(spark, d):
     return tables.batch_rows(t(spark, d, "events"), "event_type", ["ts", "event_id"]).select("event_id", "event_type", "batch")
 
 
-@query("""SELECT 'nation' AS sheet, 'Sheet: nation' || chr(10) || 'Columns: n_nationkey, n_name, n_regionkey' || chr(10) || 'Rows: ' || count(*) || chr(10) || chr(10) || '| n_nationkey | n_name | n_regionkey |' || chr(10) || '| --- | --- | --- |' || chr(10) ||
- string_agg('| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |', chr(10) ORDER BY n_nationkey) AS text FROM nation""")
+@query("""SELECT 'customer' AS sheet, unnest(['Workbook: 2 sheets', '- customer: c_custkey, c_name, c_mktsegment', '- region: r_regionkey, r_name', 'Sheet: customer', 'Columns: c_custkey, c_name, c_mktsegment', 'Rows: ' || count(*), '', '| c_custkey | c_name | c_mktsegment |', '| --- | --- | --- |']) AS line FROM customer
+UNION ALL SELECT 'customer', '| ' || c_custkey || ' | ' || c_name || ' | ' || c_mktsegment || ' |' FROM customer""")
 def sheet_text(spark, d):
-    return tables.sheet_text(t(spark, d, "nation"), "nation", ["n_nationkey"])
+    return _customer_sheet(spark, d).select("sheet", F.explode(F.split("text", "\n")).alias("line"))
+
+
+def _customer_sheet(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    summary = tables.workbook_summary({"customer": c, "region": t(spark, d, "region")})
+    return tables.sheet_text(c, "customer", ["c_custkey"], summary=summary)
 
 
-@query("SELECT 'nation' AS sheet, (row_number() OVER (ORDER BY n_nationkey) - 1)::INT AS row, n_nationkey::VARCHAR AS a, n_name AS b FROM nation")
+@query("SELECT 'customer' AS sheet, c_custkey::VARCHAR AS a, c_name AS b, c_mktsegment AS c FROM customer")
 def parse_markdown_result(spark, d):
-    out = tables.parse_markdown_result(sheet_text(spark, d), "sheet", "text")
-    return out.select("sheet", F.col("row").cast("int").alias("row"), F.col("cells")[0].alias("a"), F.col("cells")[1].alias("b"))
+    head = "| a | b | c |\n| --- | --- | --- |\n"
+    block = _customer_sheet(spark, d).withColumn("text", F.when(F.col("block") > 0, F.concat(F.lit(head), "text")).otherwise(F.col("text")))
+    out = tables.parse_markdown_result(block.select(F.struct("sheet", "block").alias("at"), "text"), "at", "text")
+    return out.select("at.sheet", *[F.col("cells")[i].alias(c) for i, c in enumerate("abc")])
 
 
 @query("""WITH s AS (SELECT o_orderpriority AS x, sum(cast(o_totalprice AS DECIMAL(28,10)))::DOUBLE AS a, count(o_custkey)::DOUBLE AS b FROM orders GROUP BY 1)
@@ -460,16 +510,26 @@ def chart_series(spark, d):
     return tables.chart_series(pivot_aggregate(spark, d), "o_orderpriority", ["o_totalprice", "o_custkey"])
 
 
-@query("""SELECT 'nation' AS table_name, 'n_nationkey (int), n_name (string), n_regionkey (int)' AS columns, count(*) AS n_rows FROM nation UNION ALL
-SELECT 'region', 'r_regionkey (int), r_name (string)', count(*) FROM region""")
+@query("""WITH c AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer), n AS (SELECT * FROM nation)
+SELECT 'customer' AS table_name, 'c_custkey (bigint), c_name (string), c_nationkey (int), c_mktsegment (string)' AS columns, count(*) AS n_rows,
+ (SELECT string_agg(j, chr(10) ORDER BY c_custkey) FROM (SELECT c_custkey, json_object('c_custkey', c_custkey, 'c_name', c_name, 'c_nationkey', c_nationkey, 'c_mktsegment', c_mktsegment)::VARCHAR AS j FROM c ORDER BY c_custkey LIMIT 3)) AS sample FROM c
+UNION ALL SELECT 'nation', 'n_nationkey (int), n_name (string), n_regionkey (int)', count(*),
+ (SELECT string_agg(j, chr(10) ORDER BY n_nationkey) FROM (SELECT n_nationkey, json_object('n_nationkey', n_nationkey, 'n_name', n_name, 'n_regionkey', n_regionkey)::VARCHAR AS j FROM n ORDER BY n_nationkey LIMIT 3)) FROM n""")
 def describe_tables(spark, d):
-    return tables.describe_tables({n: t(spark, d, n) for n in ("nation", "region")}).drop("sample")
+    c = t(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return tables.describe_tables({"customer": c.withColumn("c_custkey", F.col("c_custkey").cast("bigint")), "nation": t(spark, d, "nation")})
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, lang FROM documents)
+SELECT doc_id, unnest([1, 1, 1, 2, 2]) AS table_no, unnest([0, 1, 2, 0, 1]) AS row, unnest(['doc|lang', doc_id || '|' || lang, 'more|', 'A|B', '1|' || doc_id]) AS cells FROM d WHERE doc_id % 5 <> 0
+UNION ALL SELECT doc_id, 1, unnest([0, 1, 2]), unnest(['h1|h2', 'v1|' || lang, 'v2|x']) FROM d WHERE doc_id % 5 = 0""")
 def extract_tables(spark, d):
-    body = F.expr("concat(text, '\\n\\n| doc | lang |\\n|---|---|\\n| ', doc_id, ' | ', lang, ' |\\n\\n| more |\\nend')")
-    return tables.extract_tables(t(spark, d, "documents").withColumn("text", body), "doc_id", "text")
+    """Four of five documents hold a Markdown table and a tagged one, the fifth loose lines alone."""
+    strict = "'\\n| h |\\nno table\\n\\n| doc | lang |\\n|---|---|\\n| ', doc_id, ' | ', lang, ' | x |\\n\\n| more |\\nend [Table]\\nA | B\\n1 | ', doc_id, '\\n[/Table]'"
+    spaced = "'\\n| h |\\nend\\nh1 | h2\\n--- | ---\\nv1 | ', lang, '\\n\\nv2 | x | y\\n[x | y]\\nz | z'"
+    body = F.expr(f"CASE WHEN doc_id % 5 <> 0 THEN concat(translate(text, '|[', ''), {strict}) ELSE concat(translate(text, '|[', ''), {spaced}) END")
+    out = tables.extract_tables(t(spark, d, "documents").withColumn("text", F.coalesce(body, F.lit(""))), "doc_id", "text")
+    return out.withColumn("cells", F.array_join("cells", "|"))
 
 
 @query("SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4")
@@ -490,9 +550,57 @@ def delete_chats(spark, d):
     return chat.delete_chats(c, gone, "conv_id", "turn")
 
 
-@query("""SELECT conv_id, string_agg('### ' || upper(role[1:1]) || role[2:] || chr(10) || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, 0::BIGINT AS block, string_agg('## ' || CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ' (' || strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(60 * turn), '%Y-%m-%d %H:%M:%S') || ')' || chr(10) || chr(10) ||
+ coalesce(text, '') || chr(10) || chr(10) || CASE WHEN role <> 'user' THEN '### Sources Used' || chr(10) || '- **' || role || '** (Page ' || turn || ')' || chr(10) || '- **Untitled** (Page ?)' || chr(10) || chr(10) ELSE '' END || '---' || chr(10) || chr(10), '' ORDER BY turn) AS transcript
+FROM conversations GROUP BY conv_id""")
 def export_transcripts(spark, d):
-    return chat.export_transcripts(t(spark, d, "conversations"), "conv_id", "turn", "role", "text")
+    c = t(spark, d, "conversations").withColumn("at", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(turn as int), 0)"))
+    none = F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("bigint").alias("page_no"))
+    c = c.withColumn("sources", F.array(F.struct(F.col("role").alias("title"), F.col("turn").alias("page_no")), none))
+    return chat.export_transcripts(c, "conv_id", "turn", "role", "text", "at", "sources")
+
+
+@query("""WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) SELECT conv_id, (conv_id % 9)::INT - 1 AS idx FROM n WHERE conv_id % 9 - 1 < 0 OR conv_id % 9 - 1 >= n""")
+def ignored_deletes(spark, d):
+    c = t(spark, d, "conversations")
+    return chat.ignored_deletes(c, c.select("conv_id").distinct().withColumn("idx", (F.col("conv_id") % 9).cast("int") - 1), "conv_id")
+
+
+@query(rf"""WITH c AS (SELECT conv_id, turn, text, lag(text) OVER w AS b, lead(text) OVER w AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, concat_ws(' | ', '...' || ({SENTENCES.format("b")})[-1][1:100], ({SENTENCES.format("a")})[1][1:100] || '...') AS context FROM c""")
+def adjacent_context(spark, d):
+    return enrich.adjacent_context(t(spark, d, "conversations"), ["conv_id"], "turn", "text").select("conv_id", "turn", "context")
+
+
+@query("""SELECT conv_id, turn, concat_ws(chr(10), 'Document: ' || role, 'Page: ' || turn || '/9', CASE WHEN conv_id % 2 = 0 THEN 'Section: ' || conv_id END, 'Context: ...') || chr(10) || chr(10) || text AS text FROM conversations""")
+def enriched_text(spark, d):
+    section = F.when(F.col("conv_id") % 2 == 0, F.col("conv_id").cast("string"))
+    made = enrich.enriched_text(F.col("role"), F.col("turn"), F.lit(9), section, F.lit(""), F.lit("..."), F.col("text"))
+    return t(spark, d, "conversations").select("conv_id", "turn", made.alias("text"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents),
+m AS (SELECT source, ceil(length(string_agg(coalesce(text, ''), chr(10) ORDER BY r))::DOUBLE / 4) / count(*) AS mean FROM r WHERE r < 20 GROUP BY source)
+SELECT doc_id, (r // greatest(10, floor(cast(18000 AS DOUBLE) / greatest(1, mean)))::BIGINT)::INT AS batch FROM r JOIN m USING (source)""")
+def batch_rows_by_tokens(spark, d):
+    docs = t(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return tables.batch_rows_by_tokens(docs, "source", ["doc_id"], "text", 20_000).select("doc_id", "batch")
+
+
+@query(f"""WITH documents AS (SELECT * FROM main.documents WHERE NOT (source IN ('src1', 'src2') AND doc_id % 3 = 0)), {HITS.split("qt AS")[0].strip().rstrip(",")}
+SELECT thread, term, chunk_id, round(w, 6) AS weight FROM post""")
+def delete_cascade(spark, d):
+    """Chunks and postings after deletions in two threads: the postings as an index built anew has them."""
+    docs = t(spark, d, "documents").select(F.col("source").alias("thread_id"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("chunk_id"), "text")
+    left = readers.delete_cascade({"chunks": docs, "postings": retrieve.bm25_index(docs, "thread_id", "chunk_id", "text")}, docs.where("thread_id IN ('src1', 'src2') AND document_id % 3 = 0"))
+    return left["postings"].select("thread", "term", "chunk_id", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def text_embedder(spark, d):
+    """The default embedder over all documents, by slot."""
+    v, _ = retrieve.hashed_embeddings(t(spark, d, "documents"), "doc_id", "text", 64)
+    return v.select("doc_id", F.posexplode("v").alias("slot", "value")).where("value <> 0")
 
 
 @query("SELECT source, bool_or(lang = 'en') AS has_sheets, bool_and(lang = 'en') AS only_sheets FROM documents GROUP BY source")
@@ -541,7 +649,10 @@ def copy_documents(spark, d):
     return readers.copy_documents(c, asked.union(same))
 
 
-@query()
+@query(r"""WITH c AS (SELECT page_id, coalesce(html, '') AS h, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<head\b[^>]*>.*?</head>', ' ', 'g'), '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->', ' ', 'g') AS c FROM pages),
+b AS (SELECT page_id, h, regexp_replace(regexp_replace(c, '(?i)</?(p|div|br|h[1-6]|li|ul|ol|table|tr|article|section|nav|footer|header)\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS c FROM c),
+e AS (SELECT page_id, h, replace(replace(replace(replace(replace(replace(replace(replace(c, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS c FROM b)
+SELECT page_id, regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_replace(regexp_replace(regexp_replace(c, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM e""")
 def page_text(spark, d):
     return readers.page_text(t(spark, d, "pages"), "page_id", "html")
 
@@ -598,12 +709,43 @@ def expand_parents(spark, d):
     return retrieve.expand_parents(h)
 
 
-@query()
+@query(f"""WITH {HITS.split("qt AS")[0].strip().rstrip(",")},
+u AS (SELECT item_id AS query_id, text, list_distinct(list_filter([trim(text, ' '), trim(text[1:60], ' ')], lambda x: x <> '')) AS vs FROM benchmark),
+va AS (SELECT query_id, generate_subscripts(vs, 1) - 1 AS l, unnest(vs) AS v, CASE WHEN len(vs) > 1 THEN 10 ELSE 20 END AS k FROM u),
+qt AS (SELECT query_id, l, k, term, count(*) AS times FROM (SELECT query_id, l, k, unnest({TOKENS.format("v")}) AS term FROM va) GROUP BY ALL),
+sc AS (SELECT query_id, l, k, chunk_id, round(sum(cast(w * times AS DECIMAL(28,10)))::DOUBLE, 6) AS score FROM post JOIN qt USING (term) GROUP BY ALL),
+li AS (SELECT *, row_number() OVER (PARTITION BY query_id, l ORDER BY score DESC, chunk_id) AS r FROM sc WHERE score > 0 QUALIFY r <= k),
+m AS (SELECT query_id, count(DISTINCT l) > 1 AS fused FROM li GROUP BY query_id),
+f AS (SELECT query_id, chunk_id, fused, CASE WHEN any_value(fused) THEN sum(cast(cast(1 AS DOUBLE) / (r + 60) AS DECIMAL(28,10)))::DOUBLE ELSE any_value(score) END AS score FROM li JOIN m USING (query_id) GROUP BY query_id, chunk_id, fused),
+w AS (SELECT query_id, {ASCII.format("text")} AS kws, list_filter(string_split(text, ' '), lambda x: length(x) >= 10) AS names FROM u),
+b AS (SELECT query_id, source AS document_id, chunk_id, fused, round(score * (1 + cast(0.25 AS DOUBLE) * len(list_filter(names, lambda x: contains(lower(text), lower(x)))) + least(cast(0.3 AS DOUBLE), cast(0.1 AS DOUBLE) * len(list_filter(kws, lambda x: contains(lower(text), x))))), 8) AS score
+ FROM f JOIN documents ON doc_id = chunk_id JOIN w USING (query_id))
+SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1)::INT AS rank FROM b""")
 def hybrid_retrieve(spark, d):
+    """Each question and its beginning ask BM25; words of ten letters stand for names."""
     from docmill.plans import pipelines
 
     docs = t(spark, d, "documents").select(F.col("source").alias("thread_id"), F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_id"), "text")
-    return pipelines.hybrid_retrieve(docs, t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), None, None)
+    asked = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.substring("text", 1, 60).alias("start"))
+    names = lambda c: F.filter(F.split(c, " "), lambda x: F.length(x) >= 10)
+    return pipelines.hybrid_retrieve(docs, asked, ["text", "start"], entities=names)
+
+
+@query()
+def hybrid_retrieve_vectors(spark, d):
+    """The same with the default embedder as a second leg, and capitalised phrases as names."""
+    from docmill.plans import pipelines
+
+    docs = t(spark, d, "documents").select(F.col("source").alias("thread_id"), F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_id"), "text")
+    asked = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    fitted = []
+
+    def embed(df, id_col, text_col):
+        v, model = retrieve.hashed_embeddings(df, id_col, text_col, 256, *fitted)
+        fitted[:] = [model]
+        return v
+
+    return pipelines.hybrid_retrieve(docs, asked, embedder=embed)
 
 
 @query()
@@ -648,7 +790,7 @@ def triple_context(spark, d):
     return enrich.triple_context(_triple_hits(spark, d))
 
 
-@query("SELECT 'n' || c_nationkey AS sheet_id, 1 AS header_row, 1.0::DOUBLE AS score FROM customer GROUP BY c_nationkey")
+@query("SELECT 'n' || c_nationkey AS sheet_id, 1 AS header_row, 1.0::DOUBLE AS score, 'Report' AS context FROM customer GROUP BY c_nationkey")
 def detect_header(spark, d):
     c = t(spark, d, "customer")
     sheet = F.expr("concat('n', c_nationkey)")
@@ -656,13 +798,14 @@ def detect_header(spark, d):
     grid = top.select("sheet_id", F.lit(0).alias("row"), F.array(F.lit("Report"), F.lit(""), F.lit("")).alias("cells"))
     grid = grid.union(top.select("sheet_id", F.lit(1), F.array(F.lit("key"), F.lit("name"), F.lit("segment"))))
     r = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) + 1
-    return tables.detect_header(grid.union(c.select(sheet, r, F.array(F.col("c_custkey").cast("string"), F.col("c_custkey").cast("string"), "c_mktsegment")))).drop("context")
+    return tables.detect_header(grid.union(c.select(sheet, r, F.array(F.col("c_custkey").cast("string"), F.col("c_custkey").cast("string"), "c_mktsegment"))))
 
 
 @query("SELECT doc_id, 1::BIGINT AS n_tables, 'doc | lang' AS columns, doc_id || ' | ' || lang || chr(10) || 'more | ' AS preview, true AS has_tables FROM documents")
 def table_catalog(spark, d):
     docs = t(spark, d, "documents")
-    return tables.table_catalog(docs, extract_tables(spark, d), "doc_id")
+    body = F.expr("concat(translate(text, '|[', ''), '\\n\\n| doc | lang |\\n|---|---|\\n| ', doc_id, ' | ', lang, ' |\\n\\n| more |\\nend')")
+    return tables.table_catalog(docs, tables.extract_tables(docs.withColumn("text", body), "doc_id", "text"), "doc_id")
 
 
 @query("SELECT doc_id::VARCHAR AS id, 1 AS page_no, text FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 10 <> 1")
@@ -729,11 +872,18 @@ def register_tables(spark, d):
     return rows.withColumn("truncated", F.lit(truncated))
 
 
-@query("SELECT 'document' AS how, p_partkey, p_size FROM part WHERE p_size > 10")
+@query("SELECT 'sql' AS how, p_partkey, p_size FROM part WHERE p_size > 45 UNION ALL SELECT 'sql', p_partkey, p_size FROM part WHERE p_size = 7 UNION ALL SELECT 'extract', p_partkey, p_size FROM part WHERE p_size <= 5 UNION ALL SELECT 'document', p_partkey, p_size FROM part WHERE p_size > 40")
 def resolve_sheet_source(spark, d):
     part = t(spark, d, "part").select("p_partkey", "p_size")
-    how, rows = tables.resolve_sheet_source([("sql", part.where("p_size < 0")), ("extract", None), ("document", part)], part.columns, spark, "p_size > 10")
-    return rows.withColumn("how", F.lit(how))
+    """SQL rows with the filter, SQL that filters by itself, a named table, the first with rows, none."""
+    part.createOrReplaceTempView("parts_of_a_sheet")
+    ask = lambda *a, **k: (lambda how, rows: rows.selectExpr(f"'{how}' AS how", "cast(p_partkey AS bigint) AS p_partkey", "cast(p_size AS int) AS p_size"))(*tables.resolve_sheet_source(spark, part.columns, *a, **k))
+    none, docs = part.where("p_size < 0"), {"Other": part.where("p_size < 0"), "Parts A": part.where("p_size > 40"), "Parts B": part.where("p_size <= 5")}
+    cases = [
+        ask("SELECT * FROM parts_of_a_sheet", "p_size > 45"), ask("SELECT * FROM parts_of_a_sheet WHERE p_size = 7", "p_size > 45"),
+        ask("SELECT * FROM parts_of_a_sheet WHERE p_size < 0", doc_tables=docs, sources=("x", "extract:parts b")), ask(doc_tables=docs), ask(doc_tables={"Other": none}),
+    ]
+    return reduce(DataFrame.unionByName, cases)
 
 
 @query("SELECT conv_id, coalesce(string_agg(text, '|' ORDER BY turn) FILTER (turn % 2 = 0), '') AS texts FROM conversations GROUP BY conv_id")
@@ -766,12 +916,18 @@ def status_stream(spark, d):
     return last.select(F.col("id").alias("user_id"), "m.status", "m.message")
 
 
-@query("SELECT doc_id, coalesce(text, '') <> '' AS has_chunks FROM documents WHERE trim(coalesce(text, '')) <> ''")
+@query(f"WITH {SUMMARY} SELECT doc_id::VARCHAR AS document_id, summary AS text FROM summary JOIN documents USING (doc_id) WHERE length(trim(coalesce(text, ''), ' ')) > 0")
 def ingest_stream(spark, d):
-    """The documents that the index holds after the whole stream."""
+    """The summaries in the index after all documents arrived twice, first with another text."""
+    from docmill.plans import pipelines
+
     base = readers.scratch(spark, "ingest")
-    arriving = spark.readStream.schema(t(spark, d, "documents").schema).parquet(f"{d}/documents*.parquet").select("doc_id", "text")
-    run = status.ingest_stream(arriving, "doc_id", "text", f"{base}/index", f"{base}/state")
-    run.awaitTermination()
-    last = run.lastProgress["batchId"] if run.lastProgress else 0
-    return spark.read.parquet(f"{base}/index/v{last}").groupBy("doc_id").agg((F.count(F.lit(1)) > 0).alias("has_chunks"))
+    docs = t(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("thread_id"), F.lit(1).alias("page_no"), F.concat(F.lit("Doc "), "doc_id").alias("title"), "text"
+    )
+    schema = docs.schema
+    for k, text_ in enumerate((F.concat(F.lit("Old. "), F.coalesce("text", F.lit(""))), F.col("text"))):
+        docs.withColumn("text", text_).write.parquet(f"{base}/in/{k}")
+        run = status.ingest_stream(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{base}/in"), "document_id", f"{base}/index", f"{base}/state", pipelines.build_chunk_index, 8)
+        run.awaitTermination()
+    return status.current_index(spark, f"{base}/index").where("chunk_type = 'document_summary'").select("document_id", "text")

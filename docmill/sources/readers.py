@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docmill.functions.scratch import scratch  # noqa: F401
+from docmill.operators.retrieve import bm25_index
 from docmill.operators.tables import infer_types, sanitize_names
 from docmill.operators.text import clean_cells
 
@@ -23,15 +22,6 @@ EXTENSIONS = {
 }
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder (``spark.checkpoint.dir``); in one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="docmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_parsed_documents(spark: SparkSession, path: str, one_a_file: bool = True) -> DataFrame:
     """One row a page of JSON documents, one a file or one a line; corrupt ones and those without
     an id are skipped."""
@@ -70,10 +60,14 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     return ext.join(F.broadcast(known), "extension", "left")
 
 
-def upsert_chunks(stored: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Both tables with one row a chunk id: the newer one, and of equal new rows any."""
+def upsert_chunks(stored: DataFrame, new: DataFrame, key: str = "chunk_id", owner: str | None = None) -> DataFrame:
+    """Both tables with one row a chunk id: the newer one, and of several new rows the least in all
+    columns. With ``owner`` the stored chunks of every owner in ``new`` go first, so a document
+    that was sent again leaves no stale chunks."""
+    if owner:
+        stored = stored.join(new.select(owner).distinct(), owner, "left_anti").select(*stored.columns)
     both = stored.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
-    w = Window.partitionBy(key).orderBy(F.desc("_v"))
+    w = Window.partitionBy(key).orderBy(F.desc("_v"), *[F.asc(c) for c in stored.columns if c != key])
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_v", "_r")
 
 
@@ -87,6 +81,20 @@ def delete_documents(rows: DataFrame, deletes: DataFrame, keys: list[str]) -> Da
     return rows.join(deletes.select(*keys).distinct(), keys, "left_anti")
 
 
+def delete_cascade(tables: dict[str, DataFrame], deletes: DataFrame, thread_col: str = "thread_id", doc_col: str = "document_id") -> dict[str, DataFrame]:
+    """All ``tables`` of an index (chunks, triples, tables and so on) without the deleted documents
+    (thread, document). Where there are ``postings`` and ``chunks`` (chunk_id, text), BM25 is
+    weighed anew for the threads that lost a document, and only for those."""
+    gone = deletes.select(thread_col, doc_col).distinct()
+    left = {name: delete_documents(df, gone, [thread_col, doc_col] if thread_col in df.columns else [doc_col]) for name, df in tables.items() if name != "postings"}
+    if "postings" in tables:
+        touched = gone.select(F.col(thread_col).alias("thread")).distinct()
+        rest = tables["postings"].join(touched, "thread", "left_anti")
+        again = left["chunks"].join(touched.withColumnRenamed("thread", thread_col), thread_col, "left_semi")
+        left["postings"] = rest.unionByName(bm25_index(again, thread_col, "chunk_id", "text"))
+    return left
+
+
 def copy_documents(chunks: DataFrame, copies: DataFrame) -> DataFrame:
     """``chunks`` and copies of documents (src, dst, document_id) under ids of the other thread;
     copies into the same thread, and of documents that it has, are refused."""

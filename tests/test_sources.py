@@ -48,17 +48,34 @@ def test_status(spark, tmp_path):
 
 
 def test_ingest_keeps_earlier_documents(spark, tmp_path):
-    for text in ("old", "new"):
-        spark.createDataFrame([(text, f"{text} words")], "id string, text string").write.mode("append").parquet(f"{tmp_path}/in")
+    """Documents of earlier batches stay, one sent again leaves no stale chunks, a batch writes only its parts."""
+    long_text = "\n\n".join(f"Paragraph {i} " + "word " * 200 for i in range(6))
+    for text in ([("old", long_text), ("both", long_text)], [("new", "new words"), ("both", "short now"), ("both", "short now")]):
+        spark.createDataFrame(text, "id string, text string").write.mode("append").parquet(f"{tmp_path}/in")
         s = spark.readStream.schema("id string, text string").parquet(f"{tmp_path}/in")
-        run = status.ingest_stream(s, "id", "text", f"{tmp_path}/index", f"{tmp_path}/state")
+        status.ingest_stream(s, "id", f"{tmp_path}/index", f"{tmp_path}/state", parts=64).awaitTermination()
+    rows = status.current_index(spark, f"{tmp_path}/index").collect()
+    assert {r["id"] for r in rows} == {"old", "new", "both"}
+    assert [r["text"] for r in rows if r["id"] == "both"] == ["short now"] and len([r for r in rows if r["id"] == "old"]) > 5
+    parts = spark.read.option("basePath", f"{tmp_path}/index").parquet(f"{tmp_path}/index/version=*").where("version = 1").select("part").distinct().count()
+    assert parts <= 2
+
+
+def test_finished_jobs_leave_the_state(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 1, 12, 0) + dt.timedelta(minutes=m)
+    rows = []
+    for k, made in enumerate(([(1, at(0), "done"), (1, at(1), "done")], [(2, at(300), "done")], [(3, at(301), "done")])):
+        spark.createDataFrame(made, "id long, ts timestamp, s string").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        s = spark.readStream.schema("id long, ts timestamp, s string").option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        out = status.status_stream(s, "id", "ts", "s", keep_s=60)
+        run = out.writeStream.outputMode("update").foreachBatch(lambda b, e: rows.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
         run.awaitTermination()
-        last = run.lastProgress["batchId"]
-    assert {r["id"] for r in spark.read.parquet(f"{tmp_path}/index/v{last}").collect()} == {"old", "new"}
+    assert sorted((r["id"], r["status"]) for r in rows) == [(1, "done"), (2, "done"), (3, "done")]
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
 
 
 def test_source_and_exports(spark):
-    how, df = tables.resolve_sheet_source([("sql", None)], ["a"], spark)
+    how, df = tables.resolve_sheet_source(spark, ["a"])
     assert (how, df.columns, df.count()) == ("empty", ["a"], 0)
     threads = spark.createDataFrame([(1, [("x", False)])], "t int, a array<struct<text string, selected boolean>>")
     assert chat.selected_instructions(threads, "t", "a").first()["texts"] == []
