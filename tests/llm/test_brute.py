@@ -250,12 +250,32 @@ def test_vectors(spark):
     rows = [(r["vec_id"], r["label"], np.array(r["embedding"], float)) for r in vecs.collect()]
     links = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] @ b[2] / np.linalg.norm(a[2]) / np.linalg.norm(b[2]) >= 0.93]
     n = Counter(x for p in links for x in p)
-    for size in (16, 256):
-        out = vectors.link_vectors(vecs, block_rows=size).collect()
+    for options in ({}, {"cell_rows": 8}, {"cell_rows": 8, "most_rows": 6}):
+        out = vectors.link_vectors(vecs, **options).collect()
         assert {r["vec_id"]: r["n_links"] for r in out} == {r[0]: n[r[0]] for r in rows}
         assert {r["vec_id"]: r["component_id"] for r in out} == classes([r[0] for r in rows], links)
 
 
+def test_vectors_recall_in_many_cells(spark):
+    """Pairs just above the threshold, copies that weigh, and one label of many cells."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((1500, 24))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = rng.standard_normal(base.shape)
+    side -= (side * base).sum(1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    near = 0.932 * base[:600] + np.sqrt(1 - 0.932**2) * side[:600]
+    v = np.concatenate([base, near, base[:1].repeat(40, 0)])
+    cosine = (v @ v.T) / np.linalg.norm(v, axis=1)[:, None] / np.linalg.norm(v, axis=1)[None]
+    want = (cosine >= 0.93).sum(1) - 1
+    rows = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    out = {r["vec_id"]: r["n_links"] for r in vectors.link_vectors(rows, cell_rows=64).collect()}
+    got = np.array([out[i] for i in range(len(v))])
+    assert (got <= want).all() and got.sum() >= 0.999 * want.sum()
+    bits, tables = vectors.plan_cells(len(v), 0.93, 0.99999, 64)
+    assert bits >= 5 and tables > 10
+
+
 def test_lm_scores(spark, docs, texts):
     target = table(spark, SF, "benchmark")
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
