@@ -143,16 +143,21 @@ def link_vectors(
     def links(ua, ub, rows: int, t: int, same: bool):
         """Positions of linked pairs that share no cell of an earlier table."""
         to = lines(ua.shape[1], projections)
-        i, j = np.nonzero(collisions(ua @ to, ub @ to, window) >= least)
-        if same:
-            i, j = i[i < j], j[i < j]
-        near = np.flatnonzero(np.einsum("nd,nd->n", ua[i], ub[j]) >= min_cosine)
-        i, j = i[near], j[near]
-        if t and len(i):
-            plan = plan_cells(rows, min_cosine, recall, cell_rows)
-            new = ~(cell_codes(ua, *plan)[i, :t] == cell_codes(ub, *plan)[j, :t]).any(axis=1)
-            i, j = i[new], j[new]
-        return i, j
+        pa, pb = ua @ to, ub @ to
+        plan = plan_cells(rows, min_cosine, recall, cell_rows)
+        ca, cb = (cell_codes(u, *plan)[:, :t] for u in (ua, ub))
+        out = []
+        for k in range(0, len(ua), 128):  # where a block holds copies alone, all its pairs pass
+            some = collisions(pa[k : k + 128], pb, window) >= least
+            if some.any():
+                i, j = np.nonzero(some & (ua[k : k + 128] @ ub.T >= min_cosine))
+                i += k
+                keep = (i < j) if same else np.ones(len(i), bool)
+                for c in range(t):
+                    keep &= ca[i, c] != cb[j, c]
+                out.append((i[keep], j[keep]))
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate([none, *x]) for x in (zip(*out, strict=True) if out else ((), ())))
 
     def found(rows, weight, i, j):
         """Links (as weights) and a forest of the rows at i and j."""
