@@ -383,20 +383,30 @@ def target_page(spark, d):
     return retrieve.target_page(hits(spark, d), flags)
 
 
-@query(f"""WITH {HITS}, w AS (SELECT query_id, chunk_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS term FROM hits JOIN documents ON doc_id = chunk_id),
+SIMS = f"""w AS (SELECT query_id, chunk_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS term FROM hits JOIN documents ON doc_id = chunk_id),
 f AS (SELECT query_id, chunk_id, term, count(*) AS tf FROM w GROUP BY ALL), z AS (SELECT query_id, chunk_id, sum(tf) AS len FROM f GROUP BY ALL),
 n AS (SELECT query_id, count(*) AS n FROM hits GROUP BY query_id), df AS (SELECT query_id, term, count(*) AS df FROM f GROUP BY ALL),
 x AS (SELECT query_id, chunk_id, term, tf::DOUBLE / len * ln((n + 1)::DOUBLE / (df + 1)) AS w FROM f JOIN z USING (query_id, chunk_id) JOIN df USING (query_id, term) JOIN n USING (query_id)),
-m AS (SELECT query_id, chunk_id, sqrt(sum(cast(w * w AS DECIMAL(28,18)))::DOUBLE) AS norm FROM x WHERE w <> 0 GROUP BY ALL)
-SELECT a.query_id, a.chunk_id AS a, b.chunk_id AS b, round(sum(cast(a.w * b.w AS DECIMAL(28,18)))::DOUBLE / (any_value(p.norm) * any_value(q.norm)), 6) AS sim
+m AS (SELECT query_id, chunk_id, sqrt(sum(cast(w * w AS DECIMAL(28,18)))::DOUBLE) AS norm FROM x WHERE w <> 0 GROUP BY ALL),
+sims AS (SELECT a.query_id, a.chunk_id AS a, b.chunk_id AS b, round(sum(cast(a.w * b.w AS DECIMAL(28,18)))::DOUBLE / (any_value(p.norm) * any_value(q.norm)), 6) AS sim
 FROM x a JOIN x b ON a.query_id = b.query_id AND a.term = b.term AND a.chunk_id < b.chunk_id JOIN m p ON p.query_id = a.query_id AND p.chunk_id = a.chunk_id JOIN m q ON q.query_id = b.query_id AND q.chunk_id = b.chunk_id
-WHERE a.w <> 0 AND b.w <> 0 GROUP BY 1, 2, 3""")
+WHERE a.w <> 0 AND b.w <> 0 GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {HITS}, {SIMS} SELECT * FROM sims")
 def tfidf_cosine(spark, d):
     h = hits(spark, d).join(t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
     return retrieve.tfidf_cosine(h, "text")
 
 
-@query()
+@query(f"""WITH RECURSIVE {HITS}, {SIMS}, c AS (SELECT query_id, chunk_id, round(1 - rank::DOUBLE / count(*) OVER (PARTITION BY query_id), 6) AS s FROM hits),
+y AS (SELECT query_id, a, b, sim FROM sims UNION ALL SELECT query_id, b, a, sim FROM sims),
+r(query_id, k, chosen) AS (SELECT DISTINCT query_id, 0, []::BIGINT[] FROM c UNION ALL
+ SELECT query_id, k + 1, list_append(any_value(chosen), arg_max(chunk_id, (v, s, -chunk_id))) FROM (
+  SELECT r.query_id, r.k, r.chosen, c.chunk_id, c.s, cast(0.5 AS DOUBLE) * c.s - cast(0.5 AS DOUBLE) * greatest(0, coalesce(max(y.sim), 0)) AS v
+  FROM r JOIN c USING (query_id) LEFT JOIN y ON y.query_id = c.query_id AND y.a = c.chunk_id AND list_contains(r.chosen, y.b) WHERE k < 10 AND NOT list_contains(chosen, c.chunk_id) GROUP BY 1, 2, 3, 4, 5) GROUP BY query_id, k),
+l AS (SELECT query_id, arg_max(chosen, k) AS chosen FROM r GROUP BY query_id)
+SELECT query_id, unnest(chosen) AS chunk_id, (generate_subscripts(chosen, 1) - 1)::INT AS mmr_rank FROM l""")
 def mmr_select(spark, d):
     h = hits(spark, d).join(t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
     return retrieve.mmr_select(retrieve.score_pairs(h), retrieve.tfidf_cosine(h, "text"))
@@ -657,7 +667,10 @@ def page_text(spark, d):
     return readers.page_text(t(spark, d, "pages"), "page_id", "html")
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: trim(s, ' ') <> '') AS ps FROM documents WHERE length(text) > 5000)),
+r(doc_id, i, page, used, x) AS (SELECT doc_id, i, 1, length(x), x FROM p WHERE i = 1 UNION ALL
+ SELECT p.doc_id, p.i, CASE WHEN used + length(p.x) + 1 <= 3000 THEN page ELSE page + 1 END, CASE WHEN used + length(p.x) + 1 <= 3000 THEN used + length(p.x) + 1 ELSE length(p.x) END, p.x FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1)
+SELECT doc_id, page AS page_no, string_agg(x, chr(10) ORDER BY i) AS text FROM r GROUP BY doc_id, page UNION ALL SELECT doc_id, 1, coalesce(text, '') FROM documents WHERE length(coalesce(text, '')) <= 5000""")
 def paginate_text(spark, d):
     return text.paginate_text(t(spark, d, "documents"), "doc_id", "text", 5000, 3000, "\n")
 
@@ -667,7 +680,10 @@ def chunk_hierarchical(spark, d):
     return text.chunk_hierarchical(t(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+@query("""WITH RECURSIVE s(source, doc_id, len, k) AS (SELECT source, doc_id, length(coalesce(text, '')), 0 FROM documents UNION ALL
+ SELECT source, doc_id, CASE WHEN len > 10 THEN greatest(0, len - greatest(10, ceil((total - 19000)::DOUBLE * 4 / n)::BIGINT)) ELSE len END, k + 1
+ FROM (SELECT *, sum(ceil(len::DOUBLE / 4)::BIGINT) OVER w AS total, count(*) OVER w AS n, bool_or(len > 10) OVER w AS more FROM s WINDOW w AS (PARTITION BY source)) WHERE total > 19000 AND more)
+SELECT source, doc_id, coalesce(text, '')[1:len] AS text FROM (SELECT doc_id, arg_max(len, k) AS len FROM s GROUP BY doc_id) JOIN documents USING (doc_id)""")
 def fit_token_budget(spark, d):
     return text.fit_token_budget(t(spark, d, "documents"), "source", "doc_id", "text", 20_000)
 
