@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,9 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+LAST_EDGES = 100_000
+
+
 class Scratch:
     """Written tables that a computation needs only until its result is written itself: ``clear``
     empties their folder, so they take no room while later steps run."""
@@ -152,7 +156,8 @@ def components(links: DataFrame, a: str, b: str, cut=cut) -> DataFrame:
 
     Each round every node steps to the neighbour (or itself) that a hash puts first and the
     edges are contracted, so a chain shrinks by a constant factor as a star does. Rounds join
-    written tables, whose skewed sides Spark can split; nothing is collected.
+    written tables, whose skewed sides Spark can split; nothing is collected. What contraction
+    has left at ``LAST_EDGES`` edges one task finishes.
     """
     e = cut(
         links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges"
@@ -160,7 +165,7 @@ def components(links: DataFrame, a: str, b: str, cut=cut) -> DataFrame:
     labels = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct()
     labels = labels.withColumn("label", F.col("node"))
     k = 0
-    while not e.isEmpty():
+    while (n := e.count()) > LAST_EDGES:
         k += 1
         turn = F.lit(k)
         both = e.union(e.select("v", "u")).toDF("u", "v")
@@ -181,4 +186,22 @@ def components(links: DataFrame, a: str, b: str, cut=cut) -> DataFrame:
         )
         if k % 3 == 0:  # keeps the plan of the labels short
             labels = cut(labels, "labels")
+    if n:
+        last = cut(e.coalesce(1).mapInPandas(_finish, "label long, label_to long"), "last")
+        labels = labels.join(last, "label", "left").select("node", F.coalesce("label_to", "label").alias("label"))
     return labels
+
+
+def _finish(batches):
+    """(label, label_to) of the nodes of at most ``LAST_EDGES`` edges (u, v)."""
+    parts = [b[["u", "v"]].to_numpy(np.int64) for b in batches]
+    if parts:
+        nodes, back = np.unique(np.concatenate(parts), return_inverse=True)
+        u, v = back.reshape(-1, 2).T
+        root = np.arange(len(nodes))
+        while (apart := root[u] != root[v]).any():
+            a, b = root[u][apart], root[v][apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
+        yield pd.DataFrame({"label": nodes, "label_to": nodes[root]})

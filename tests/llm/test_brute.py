@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docmill.llm import linefreq, lmscore, mixing, packing, secrets, sharding, simhash, toxicity, vectors
+from docmill.llm import _common, linefreq, lmscore, mixing, packing, secrets, sharding, simhash, toxicity, vectors
 from docmill.llm._common import components, prefix, table
 
 SF = "/root/testdata/sf0.001"
@@ -41,7 +41,9 @@ def classes(n, links):
     return {i: find(i) for i in n}
 
 
-def test_components_and_prefix(spark):
+@pytest.mark.parametrize("last", [0, 25, 100_000])
+def test_components_and_prefix(spark, monkeypatch, last):
+    monkeypatch.setattr(_common, "LAST_EDGES", last)
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)]
     out = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
