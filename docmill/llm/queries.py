@@ -7,6 +7,7 @@ from docmill.llm.linefreq import op4_line_frequency
 from docmill.llm.mixing import op1_mixing
 from docmill.llm.packing import op9_packing
 from docmill.llm.pagetext import op2_page_text
+from docmill.llm.phrases import op11_decontamination
 from docmill.llm.secrets import op8_secrets
 from docmill.llm.sharding import op6_sharding
 from docmill.llm.simhash import op3_simhash
@@ -18,9 +19,12 @@ QUERIES = {
     for f in (
         op1_mixing, op2_page_text, op3_simhash, op4_line_frequency, op5_toxicity,
         op6_sharding, op7_vectors, op8_secrets, op9_packing, op10_lm_score,
+        op11_decontamination,
     )
 }
 
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda w: w <> '')"
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 ORACLE = {
@@ -82,4 +86,17 @@ s AS (SELECT r, sum(tl) AS tl, sum(bl) AS bl FROM g JOIN p ON g.h IS NOT DISTINC
 SELECT doc_id, len(ws)::BIGINT AS n_tokens, round(tl / len(ws), 6) AS target_loss, round(bl / len(ws), 6) AS background_loss,
        round(tl / len(ws) - bl / len(ws), 6) AS score
 FROM d JOIN w USING (r) LEFT JOIN s USING (r) WHERE d.own = 0""",
+    "op11_decontamination": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("text")} AS ws FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_TERMS.format("text")} AS ws FROM benchmark),
+win AS (SELECT DISTINCT item, ws[s:s + least(10, len(ws)) - 1] AS terms
+        FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS s FROM i WHERE len(ws) > 0)),
+dw AS (SELECT r, s, n, ws[s:s + n - 1] AS terms
+       FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d, (SELECT DISTINCT len(terms) AS n FROM win))),
+m AS (SELECT r, s, n, item FROM dw JOIN win USING (terms)),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM m) GROUP BY r),
+o AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN o USING (r)""",
 }
