@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from docmill.llm.lmscore import op10_lm_score
 from docmill.llm.linefreq import op4_line_frequency
+from docmill.llm.merkle import op12_merkle
 from docmill.llm.mixing import op1_mixing
 from docmill.llm.packing import op9_packing
 from docmill.llm.pagetext import op2_page_text
 from docmill.llm.phrases import op11_decontamination
+from docmill.llm.ranked import op13_ranked_search
 from docmill.llm.secrets import op8_secrets
 from docmill.llm.sharding import op6_sharding
 from docmill.llm.simhash import op3_simhash
@@ -19,12 +21,14 @@ QUERIES = {
     for f in (
         op1_mixing, op2_page_text, op3_simhash, op4_line_frequency, op5_toxicity,
         op6_sharding, op7_vectors, op8_secrets, op9_packing, op10_lm_score,
-        op11_decontamination,
+        op11_decontamination, op12_merkle, op13_ranked_search,
     )
 }
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERMS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda w: w <> '')"
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 ORACLE = {
@@ -99,4 +103,37 @@ o AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS item
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN o USING (r)""",
+    "op12_merkle": f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, lang, {_LEAF} AS leaf, {_LEAF.replace("n_chars", "(n_chars + 1)")} AS other,
+        xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+            lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS code FROM documents, crc),
+k AS (SELECT r, doc_id, leaf, CASE WHEN code % 7 = 0 THEN other ELSE leaf END AS claim,
+        dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS idx FROM d),
+level AS (SELECT tree, 0 AS lvl, list(leaf ORDER BY idx) AS l FROM k GROUP BY tree
+  UNION ALL SELECT tree, lvl + 1, list_transform(range(1, len(l) + 1, 2), lambda i: sha256(l[i] || coalesce(l[i + 1], ''))) FROM level WHERE len(l) > 1),
+sub AS (SELECT tree, l[1] AS subroot FROM level WHERE len(l) = 1),
+top AS (SELECT 0 AS lvl, list(subroot ORDER BY tree) AS l FROM sub
+  UNION ALL SELECT lvl + 1, list_transform(range(1, len(l) + 1, 2), lambda i: sha256(l[i] || coalesce(l[i + 1], ''))) FROM top WHERE len(l) > 1),
+way AS (SELECT r, tree, idx, 0 AS lvl, claim AS now, '' AS beside FROM k
+  UNION ALL SELECT r, way.tree, idx // 2, lvl + 1, sha256(CASE WHEN idx % 2 = 0 THEN now || coalesce(l[idx + 2], '') ELSE l[idx] || now END),
+    beside || coalesce(l[xor(idx, 1) + 1], '') FROM way JOIN level USING (tree, lvl) WHERE len(l) > 1),
+up AS (SELECT way.r, way.tree AS idx, 0 AS lvl, now, beside FROM way JOIN level USING (tree, lvl) WHERE len(l) = 1
+  UNION ALL SELECT r, idx // 2, lvl + 1, sha256(CASE WHEN idx % 2 = 0 THEN now || coalesce(l[idx + 2], '') ELSE l[idx] || now END),
+    beside || coalesce(l[xor(idx, 1) + 1], '') FROM up JOIN top USING (lvl) WHERE len(l) > 1)
+SELECT doc_id, leaf, subroot, l[1] AS root, sha256(beside) AS proof_sha256, now AS folded_root, now = l[1] AS verified
+FROM k JOIN sub USING (tree) JOIN up USING (r) JOIN top USING (lvl) WHERE len(l) = 1""",
+    "op13_ranked_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("text")} AS ws FROM documents),
+g AS (SELECT sum(CASE WHEN len(ws) > 0 THEN 1 ELSE 0 END)::BIGINT AS n_docs, sum(len(ws))::BIGINT AS total FROM d),
+q AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS item, item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), g),
+m AS (SELECT r, doc_id, 75 + (25 * len(ws) * n_docs) // total AS m FROM d, g WHERE len(ws) > 0),
+s AS (SELECT item, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, r) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 20""",
 }
