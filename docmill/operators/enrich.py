@@ -9,7 +9,12 @@ from docmill.functions.scratch import scratch
 from docmill.functions.words import SYNONYMS, ascii_words, ranked, stop_words
 
 SENTENCE = r"(?<=[.!?])\s+"
-ENTITY = r"\b(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)\b"
+#: A word of a text, and a word that can be part of a name. One class each, nothing repeated but
+#: characters: patterns with a repeated group overflow the stack on long runs of capitals.
+WORD = r"[\p{L}\p{N}_]+"
+CAPITAL = r"^\p{Lu}\p{Ll}+$"
+#: Characters that stand for the start and the end of a name in a marked text.
+START, END = "\x01", "\x02"
 
 
 def document_keywords(df: DataFrame, id_col: str, text_col: str, top_n: int = 8) -> DataFrame:
@@ -27,25 +32,30 @@ def document_keywords(df: DataFrame, id_col: str, text_col: str, top_n: int = 8)
     return out.select(id_col, (F.col("p") + 1).alias("rank"), F.col("r.w").alias("word"), (-F.col("r.n")).cast("long").alias("n"))
 
 
+def heading_of(text):
+    """The first eligible line of a text's first five decides; empty if it is no heading, null if there is none."""
+    lines = F.transform(F.slice(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")), "\n"), 1, 5), lambda x: F.trim(x))
+
+    def judged(line):
+        capital = (F.upper(line) == line) & (F.lower(line) != line) & (F.length(line) > 3) & (F.length(line) < 80)
+        return (
+            F.when(line.rlike(r"(?i)^(\d+[.\)]\s|chapter\s+\d+|section\s+\d+)"), F.substring(line, 1, 100))
+            .when(capital, line)
+            .when((F.length(line) < 80) & ~line.rlike(r"[.,;:!?)\"']$"), line)
+            .otherwise("")
+        )
+
+    eligible = F.filter(lines, lambda x: (F.length(x) >= 3) & (F.length(x) <= 120))
+    return F.get(F.transform(F.slice(eligible, 1, 1), judged), F.lit(0))
+
+
 def page_heading(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, heading): the first eligible line of the first five decides; empty if it is none."""
-    lines = F.transform(F.slice(F.split(F.trim(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"^\s+|\s+$", "")), "\n"), 1, 5), lambda x: F.trim(x))
-    first = F.get(F.filter(lines, lambda x: (F.length(x) >= 3) & (F.length(x) <= 120)), F.lit(0))
-    df = df.select(id_col, first.alias("line"))
-    line = F.col("line")
-    capital = (F.upper(line) == line) & (F.lower(line) != line) & (F.length(line) > 3) & (F.length(line) < 80)
-    heading = (
-        F.when(line.rlike(r"(?i)^(\d+[.\)]\s|chapter\s+\d+|section\s+\d+)"), F.substring(line, 1, 100))
-        .when(capital, line)
-        .when((F.length(line) < 80) & ~line.rlike(r"[.,;:!?)\"']$"), line)
-        .otherwise("")
-    )
-    return df.select(id_col, heading.alias("heading"))
+    return df.select(id_col, F.coalesce(heading_of(F.col(text_col)), F.lit("")).alias("heading"))
 
 
-def summary_chunk(df: DataFrame, id_col: str, text_col: str, summary_col: str | None = None, max_chars: int = 500, head: int = 3000) -> DataFrame:
-    """(id, chunk_index, summary): the stored summary, else lead sentences within ``max_chars``."""
-    start = F.substring(F.coalesce(text_col, F.lit("")), 1, head)
+def lead_sentences(start, max_chars: int = 500):
+    """The first sentences of a text that fit ``max_chars`` together, or its beginning."""
     sentences = F.filter(F.split(start, SENTENCE), lambda s: F.trim(s) != "")
     init = F.struct(F.lit("").alias("text"), F.lit(True).alias("open"))
 
@@ -55,21 +65,28 @@ def summary_chunk(df: DataFrame, id_col: str, text_col: str, summary_col: str |
         return F.struct(F.when(fits, grown).otherwise(s["text"]).alias("text"), fits.alias("open"))
 
     lead = F.aggregate(sentences, init, step, lambda s: s["text"])
-    lead = F.when(lead == "", F.substring(start, 1, max_chars)).otherwise(lead)
+    return F.when(lead == "", F.substring(start, 1, max_chars)).otherwise(lead)
+
+
+def summary_chunk(df: DataFrame, id_col: str, text_col: str, summary_col: str | None = None, max_chars: int = 500, head: int = 3000) -> DataFrame:
+    """(id, chunk_index, summary): the stored summary, else lead sentences within ``max_chars``."""
+    lead = lead_sentences(F.substring(F.coalesce(text_col, F.lit("")), 1, head), max_chars)
     stored = F.col(summary_col) if summary_col else F.lit(None).cast("string")
     out = F.when(F.length(F.trim(F.coalesce(stored, F.lit("")))) > 0, stored).otherwise(lead)
     return df.select(id_col, F.lit(-1).alias("chunk_index"), out.alias("summary"))
 
 
+def context_of(before, after, chars: int = 100):
+    """The last sentence of the text ``before`` and the first one of ``after``, cut to ``chars``."""
+    parts = lambda c: F.filter(F.split(c, SENTENCE), lambda s: F.trim(s) != "")
+    last, first = F.try_element_at(parts(before), F.lit(-1)), F.get(parts(after), F.lit(0))
+    return F.concat_ws(" | ", F.concat(F.lit("..."), F.substring(last, 1, chars)), F.concat(F.substring(first, 1, chars), F.lit("...")))
+
+
 def adjacent_context(chunks: DataFrame, page_keys: list[str], order_col: str, text_col: str, chars: int = 100) -> DataFrame:
     """Chunks with ``context``: last sentence before and first sentence after, within the page."""
     w = Window.partitionBy(*page_keys).orderBy(order_col)
-    parts = lambda c: F.filter(F.split(c, SENTENCE), lambda s: F.trim(s) != "")
-    before, after = F.try_element_at(parts(F.lag(text_col).over(w)), F.lit(-1)), F.get(parts(F.lead(text_col).over(w)), F.lit(0))
-    return chunks.withColumn(
-        "context",
-        F.concat_ws(" | ", F.concat(F.lit("..."), F.substring(before, 1, chars)), F.concat(F.substring(after, 1, chars), F.lit("..."))),
-    )
+    return chunks.withColumn("context", context_of(F.lag(text_col).over(w), F.lead(text_col).over(w), chars))
 
 
 def enriched_text(title, page_no, pages, section, keywords, context, text):
@@ -80,10 +97,33 @@ def enriched_text(title, page_no, pages, section, keywords, context, text):
     return F.concat(header, F.lit("\n\n"), text)
 
 
+def marked(text):
+    """A text with START before and END after each name: a run of capitalised words with one space
+    between them. The text is taken apart into its words and what lies between; a word begins a
+    name, goes on with one or is none, so the work is in proportion to the text."""
+    c = F.translate(F.coalesce(text, F.lit("")), START + END, "  ")
+    words = F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+    gaps = F.split(c, WORD, -1)
+    row = F.struct(words.alias("w"), F.transform(words, lambda w: w.rlike(CAPITAL)).alias("cap"), gaps.alias("gap"))
+
+    def pieces(r):
+        def piece(w, i):
+            cap, before, gap = F.get(r["cap"], i), F.coalesce(F.get(r["cap"], i - 1), F.lit(False)), F.get(r["gap"], i)
+            on = cap & before & (gap == " ")
+            return F.concat(F.when(before & ~on, END).otherwise(""), gap, F.when(cap & ~on, START).otherwise(""), w)
+
+        end = F.when(F.coalesce(F.try_element_at(r["cap"], F.lit(-1)), F.lit(False)), END).otherwise("")
+        return F.concat(F.array_join(F.transform(r["w"], piece), ""), end, F.coalesce(F.try_element_at(r["gap"], F.lit(-1)), F.lit("")))
+
+    # the arrays are made once, in an array of one, and not once for each use
+    return F.get(F.transform(F.array(row), pieces), F.lit(0))
+
+
 def entity_names(text):
     """The default entity extractor: capitalised phrases of a text column, in order. Any function of
     a column to array<string>, a pandas UDF over a model say, can take its place."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ENTITY), F.lit(1))
+    parts = F.split(marked(text), START)
+    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.substring_index(x, END, 1))
 
 
 def entity_mentions(df: DataFrame, id_col: str, text_col: str, head: int = 5000, most: int = 15, extractor=entity_names) -> DataFrame:
@@ -95,33 +135,41 @@ def entity_mentions(df: DataFrame, id_col: str, text_col: str, head: int = 5000,
     return out.where(F.col("rank") <= most).select(id_col, "rank", "name")
 
 
+def clean_names(names):
+    """Names of two or more characters that are no stop words, without regard to case once, in order."""
+    def kept(row):
+        good = lambda x, i: (F.length(x) >= 2) & ~F.get(row["low"], i).isin(*stop_words()) & (F.array_position(row["low"], F.get(row["low"], i)) == i + 1)
+        return F.filter(row["names"], good)
+
+    return F.get(F.transform(F.array(F.struct(names.alias("names"), F.transform(names, F.lower).alias("low"))), kept), F.lit(0))
+
+
 def chunk_mentions(chunks: DataFrame, text_col: str, extractor=entity_names) -> DataFrame:
     """``chunks`` with a row for each ``name`` that a chunk's whole text mentions, without regard to case once."""
-    names = extractor(F.col(text_col))
-    rows = chunks.withColumn("_names", names).withColumn("_lower", F.transform("_names", F.lower))
-    known = lambda x, i: F.array_position("_lower", F.lower(x)) == i + 1
-    rows = rows.withColumn("name", F.explode(F.filter("_names", known))).drop("_names", "_lower")
-    return rows.where((F.length("name") >= 2) & ~F.lower("name").isin(*stop_words()))
+    return chunks.withColumn("_names", extractor(F.col(text_col))).select(*chunks.columns, F.explode(clean_names(F.col("_names"))).alias("name"))
 
 
 def entity_profiles(
-    mentions: DataFrame, doc_col: str, page_col: str, name_col: str, text_col: str, max_profiles: int = 10, around: int = 60, chunk_col: str | None = None
+    mentions: DataFrame, doc_col: str | list[str], page_col: str, name_col: str, text_col: str, max_profiles: int = 10, around: int = 60, chunk_col: str | None = None
 ) -> DataFrame:
-    """(doc, name, n_pages, contexts): the ten entities on most pages, then those on two or more.
-    ``chunk_col`` orders the chunks of a page where each mention has its chunk's text."""
-    key = mentions.withColumn("key", F.lower(name_col))
-    at = F.expr(f"locate({name_col}, {text_col})")
-    cut = F.expr(f"substring({text_col}, greatest(1, _at - {around}), length({name_col}) + {2 * around})")
-    key = key.withColumn("_at", at).withColumn("_context", cut)
+    """(doc, name, n_pages, pages, contexts): the ten entities on most pages, then those on two or
+    more; ties by first appearance. A context is what stands around a name where it first occurs in
+    a chunk, whatever its case. ``chunk_col`` orders the chunks of a page where each mention has its
+    chunk's text; ``doc_col`` may be several columns."""
+    docs = [doc_col] if isinstance(doc_col, str) else doc_col
+    key = mentions.withColumn("_key", F.lower(name_col)).withColumn("_at", F.expr(f"locate(lower({name_col}), lower({text_col}))"))
+    cut = F.expr(f"trim(substring({text_col}, greatest(1, _at - {around}), length({name_col}) + {around} + least({around}, _at - 1)))")
+    key = key.withColumn("_context", cut)
     order = [page_col, *([chunk_col] if chunk_col else []), "_at"]
-    spread = key.groupBy(doc_col, "key").agg(
-        F.countDistinct(page_col).alias("n_pages"),
-        F.min_by(name_col, F.struct(*order)).alias("name"),
-    )
-    some = key.withColumn("r", ranked([doc_col, "key"], *map(F.col, order))).where("r <= 3")
-    some = some.groupBy(doc_col, "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "_context"))), lambda x: x["_context"]).alias("contexts"))
-    top = spread.withColumn("r", ranked([doc_col], F.desc("n_pages"), F.asc("key"))).where(F.col("r") <= max_profiles).where("n_pages >= 2")
-    return top.join(some, [doc_col, "key"]).select(doc_col, "name", "n_pages", "contexts")
+    # one row a page first, so a name on every page of a long document is gathered by its pages
+    page = key.groupBy(*docs, "_key", page_col).agg(F.min(F.struct(*[c for c in order if c != page_col], F.col(name_col).alias("_name"))).alias("_m"))
+    spread = page.groupBy(*docs, "_key").agg(F.count(F.lit(1)).alias("n_pages"), F.min(F.struct(page_col, "_m")).alias("_first"))
+    top = spread.withColumn("_r", ranked(docs, F.desc("n_pages"), F.asc("_first"), F.asc("_key"))).where(F.col("_r") <= max_profiles).where("n_pages >= 2")
+    top = top.select(*docs, "_key", "n_pages", F.col("_first._m._name").alias("name"))
+    on = page.join(top.select(*docs, "_key"), [*docs, "_key"], "left_semi").groupBy(*docs, "_key").agg(F.array_sort(F.collect_set(page_col)).alias("pages"))
+    some = key.join(top.select(*docs, "_key"), [*docs, "_key"], "left_semi").withColumn("_r", ranked([*docs, "_key"], *map(F.col, order))).where("_r <= 3")
+    some = some.groupBy(*docs, "_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_context"))), lambda x: x["_context"]).alias("contexts"))
+    return top.join(on, [*docs, "_key"]).join(some, [*docs, "_key"]).select(*docs, "name", "n_pages", "pages", "contexts")
 
 
 def expand_query_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -135,13 +183,15 @@ def expand_query_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def entity_triples(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, sentence, subject, predicate, object): each entity with its next two in the sentence."""
     s = df.select(id_col, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), SENTENCE)).alias("sentence", "s")).where(F.length("s") >= 10)
-    s = s.withColumn("names", F.regexp_extract_all("s", F.lit(ENTITY), F.lit(1))).where(F.size("names") >= 2)
-    # text between mentions: what is left of the sentence when it is split at them
-    s = s.withColumn("gaps", F.split("s", ENTITY.replace(r"(\p{Lu}", r"(?:\p{Lu}")))
+    # every part but the first is a name, END and what follows up to the next name
+    s = s.withColumn("parts", F.split(marked(F.col("s")), START)).where(F.size("parts") >= 3)
+    part = F.transform(F.slice("parts", 2, F.size("parts") - 1), lambda x: F.struct(F.substring_index(x, END, 1).alias("name"), F.substring_index(x, END, -1).alias("after")))
+    s = s.select(id_col, "sentence", part.alias("p"))
     pair = F.expr(
-        "filter(flatten(transform(sequence(0, size(names) - 2), i -> transform(sequence(1, 2), k -> named_struct("
-        "'i', i, 'k', k, 'subject', names[i], 'object', get(names, i + k), 'predicate', CASE WHEN k = 1 THEN get(gaps, i + 1)"
-        " ELSE concat(get(gaps, i + 1), get(names, i + 1), get(gaps, i + 2)) END)))), x -> x.object is not null)"
+        "filter(flatten(transform(p, (x, i) -> array("
+        "named_struct('i', i, 'k', 1, 'subject', x.name, 'predicate', x.after, 'object', get(p, i + 1).name),"
+        "named_struct('i', i, 'k', 2, 'subject', x.name, 'predicate', concat(x.after, get(p, i + 1).name, get(p, i + 1).after), 'object', get(p, i + 2).name)"
+        "))), x -> x.object is not null)"
     )
     t = s.select(id_col, "sentence", F.explode(pair).alias("t")).select(id_col, "sentence", "t.i", "t.k", "t.subject", F.regexp_replace("t.predicate", r"^[ ,;:]+|[ ,;:]+$", "").alias("predicate"), "t.object")
     return t.where((F.length("predicate") >= 2) & (F.length("predicate") <= 80) & F.col("predicate").rlike(r"\p{L}"))

@@ -76,14 +76,22 @@ def cut_repetition(df: DataFrame, id_col: str, text_col: str, pattern: str, time
     return kept.where(F.size("lines") > 0).select(id_col, F.size("lines").cast("long").alias("n_lines"), F.array_join("lines", "\n").alias("text"))
 
 
-def thread_summaries(df: DataFrame, thread_col: str, id_col: str, title_col: str, summary_col: str) -> DataFrame:
-    """(thread, n_summaries, summaries): ``title: summary`` in document order; threads with none too."""
+def thread_summaries(df: DataFrame, thread_col: str, id_col: str, title_col: str, summary_col: str, block_chars: int = 1_000_000) -> DataFrame:
+    """(thread, block, n_summaries, summaries): ``title: summary`` in document order; threads with none
+    too, as one empty block. A block ends where the next entry would begin beyond ``block_chars``
+    characters times its number + 1, so a thread of any size is no single value; n_summaries counts the
+    thread's."""
     has = F.length(F.trim(F.coalesce(summary_col, F.lit("")))) > 0
-    entry = F.when(has, F.struct(F.col(id_col).alias("i"), F.concat_ws(": ", title_col, summary_col).alias("s")))
-    own = F.array_sort(F.collect_list(entry))
-    return df.groupBy(thread_col).agg(
-        F.count(F.when(has, 1)).alias("n_summaries"), F.array_join(F.transform(own, lambda x: x["s"]), "\n").alias("summaries")
-    )
+    entry = F.concat_ws(": ", title_col, summary_col)
+    all_ = df.groupBy(thread_col).agg(F.count(F.when(has, 1)).alias("n_summaries"))
+    ahead = Window.partitionBy(thread_col).orderBy(id_col, "_entry").rowsBetween(Window.unboundedPreceding, -1)
+    each = df.where(has).select(thread_col, id_col, entry.alias("_entry"))
+    each = each.withColumn("block", (F.coalesce(F.sum(F.length("_entry") + 1).over(ahead), F.lit(0)) / block_chars).cast("int"))
+    own = F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("i"), F.col("_entry").alias("s"))))
+    blocks = each.groupBy(thread_col, "block").agg(F.array_join(F.transform(own, lambda x: x["s"]), "\n").alias("summaries"))
+    same = F.col(f"a.{thread_col}").eqNullSafe(F.col(f"b.{thread_col}"))
+    out = all_.alias("a").join(blocks.alias("b"), same, "left")
+    return out.select(f"a.{thread_col}", F.coalesce("block", F.lit(0)).alias("block"), "n_summaries", F.coalesce("summaries", F.lit("")).alias("summaries"))
 
 
 def split_recursive(text: str, size: int, overlap: int, separators=SEPARATORS) -> list[str]:
@@ -137,6 +145,28 @@ def chunk_hierarchical(df: DataFrame, id_col: str, text_col: str, parent: tuple[
     return out.withColumnRenamed("_id", id_col)
 
 
+@F.udtf(returnType="parent_idx int, child_idx int, chunk_index int, parent_text string, before string, text string, after string", useArrow=True)
+class PageChunks:
+    """The children of one text in order, each with its neighbours."""
+
+    def eval(self, text: str, parent: int, parent_overlap: int, child: int, child_overlap: int):
+        flat = [
+            (p, c, big, small)
+            for p, big in enumerate(split_recursive(text or "", parent, parent_overlap))
+            for c, small in enumerate(split_recursive(big, child, child_overlap))
+        ]
+        for k, (p, c, big, small) in enumerate(flat):
+            yield p, c, k, big, flat[k - 1][3] if k else None, small, flat[k + 1][3] if k + 1 < len(flat) else None
+
+
+def chunk_pages(df: DataFrame, text_col: str, parent: tuple[int, int] = (1500, 150), child: tuple[int, int] = (500, 75)) -> DataFrame:
+    """``df`` without ``text_col``, a row for each child chunk: parent_idx, child_idx, chunk_index
+    (flat in the text), parent_text, before, text, after. A lateral join carries the other columns past Python."""
+    made = PageChunks(F.col("_page_text").outer(), *[F.lit(n) for n in (*parent, *child)])
+    rows = df.withColumnRenamed(text_col, "_page_text").lateralJoin(made)
+    return rows.drop("_page_text")
+
+
 def fit_token_budget(df: DataFrame, thread_col: str, id_col: str, text_col: str, max_tokens: int, offset: int = 0) -> DataFrame:
     """(thread, id, text): all texts of a thread trimmed at the end, in rounds, until their tokens
     (four characters each) fit ``max_tokens - offset - 1000``. A round is one length per row,

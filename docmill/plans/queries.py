@@ -36,6 +36,19 @@ SYNONYM_ROWS = ", ".join(f"('{k}', '{s}')" for k, v in enrich.SYNONYMS.items() f
 TOKENS = r"list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')"
 WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '\s+'), lambda w: w <> '')"
 ASCII = "list_filter(" + TOKENS + r", lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN (" + STOPS + "))"
+
+
+def names_sql(src: str, keys: str, text_: str = "text", out: str = "names") -> str:
+    """CTEs that end with ``out`` (keys, i0, i1, name): runs of capitalised words with single spaces, by gaps and islands."""
+    word = r"[\p{L}\p{N}_]+"
+    return f"""{out}_w AS (SELECT {keys}, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, unnest(gs[1:len(ws)]) AS gap FROM
+ (SELECT {keys}, regexp_extract_all({text_}, '{word}') AS ws, string_split_regex({text_}, '{word}') AS gs FROM {src}) WHERE len(ws) > 0),
+{out}_c AS (SELECT *, regexp_full_match(w, '\\p{{Lu}}\\p{{Ll}}+') AS cap FROM {out}_w),
+{out}_g AS (SELECT *, CASE WHEN cap AND gap = ' ' AND coalesce(lag(cap) OVER (PARTITION BY {keys} ORDER BY i), false) THEN 0 ELSE 1 END AS begins FROM {out}_c),
+{out}_i AS (SELECT *, sum(begins) OVER (PARTITION BY {keys} ORDER BY i) AS island FROM {out}_g),
+{out} AS (SELECT {keys}, min(i) AS i0, max(i) AS i1, string_agg(w, ' ' ORDER BY i) AS name FROM {out}_i WHERE cap GROUP BY {keys}, island)"""
+
+
 HITS = rf"""
 tok AS (SELECT source AS thread, doc_id AS chunk_id, unnest({TOKENS.format("text")}) AS term FROM documents),
 tf AS (SELECT thread, chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
@@ -158,7 +171,7 @@ def cut_repetition(spark, d):
 
 
 @query("""
-SELECT source, count(*) FILTER (lang <> 'en') AS n_summaries,
+SELECT source, 0::INT AS block, count(*) FILTER (lang <> 'en') AS n_summaries,
  coalesce(string_agg(doc_id::VARCHAR || ': ' || lang, chr(10) ORDER BY doc_id) FILTER (lang <> 'en'), '') AS summaries FROM documents GROUP BY source""")
 def thread_summaries(spark, d):
     docs = t(spark, d, "documents").select("source", "doc_id", F.col("doc_id").cast("string").alias("title"), F.when(F.col("lang") != "en", F.col("lang")).alias("summary"))
@@ -204,7 +217,10 @@ def entity_mentions(spark, d):
     return enrich.entity_mentions(docs, "doc_id", "text")
 
 
-@query()
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {names_sql("d", "doc_id")},
+f AS (SELECT doc_id, lower(name) AS k, min(i0) AS i0, arg_min(name, i0) AS name FROM names WHERE lower(name) NOT IN ({STOPS}) GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i0)::INT AS rank, name FROM f""")
 def whole_text_mentions(spark, d):
     return enrich.entity_mentions(t(spark, d, "documents"), "doc_id", "text", head=2**31 - 1, most=2**31 - 1)
 
@@ -218,7 +234,17 @@ def expand_query_terms(spark, d):
     return enrich.expand_query_terms(q, "item_id", "text")
 
 
-@query()
+@query(rf"""
+WITH s AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS sentence FROM
+  (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents)),
+l AS (SELECT * FROM s WHERE length(s) >= 10), {names_sql("l", "doc_id, sentence", "s")},
+p AS (SELECT doc_id, sentence, row_number() OVER w - 1 AS i, name AS subject, i1, lead(name, 1) OVER w AS o1, lead(i0, 1) OVER w AS f1, lead(name, 2) OVER w AS o2, lead(i0, 2) OVER w AS f2
+  FROM names WINDOW w AS (PARTITION BY doc_id, sentence ORDER BY i0)),
+t AS (SELECT doc_id, sentence, i, 1 AS k, subject, i1, o1 AS object, f1 AS f FROM p WHERE o1 IS NOT NULL UNION ALL SELECT doc_id, sentence, i, 2, subject, i1, o2, f2 FROM p WHERE o2 IS NOT NULL),
+a AS (SELECT doc_id, sentence, regexp_extract_all(s, '[\p{{L}}\p{{N}}_]+') AS ws, string_split_regex(s, '[\p{{L}}\p{{N}}_]+') AS gs FROM l),
+b AS (SELECT doc_id, sentence, i, k, subject, regexp_replace(array_to_string(list_transform(range(i1 + 1, f), lambda x: gs[x] || ws[x]), '') || gs[f], '^[ ,;:]+|[ ,;:]+$', '', 'g') AS predicate, object
+  FROM t JOIN a USING (doc_id, sentence))
+SELECT doc_id, sentence::INT AS sentence, i::INT AS i, k::INT AS k, subject, predicate, object FROM b WHERE length(predicate) BETWEEN 2 AND 80 AND regexp_matches(predicate, '\p{{L}}')""")
 def entity_triples(spark, d):
     return enrich.entity_triples(t(spark, d, "documents"), "doc_id", "text")
 
@@ -764,19 +790,100 @@ def hybrid_retrieve_vectors(spark, d):
     return pipelines.hybrid_retrieve(docs, asked, embedder=embed)
 
 
-@query()
+def _pages(spark, d):
+    """Documents in pages of 400 characters behind a blank first page, each in its source's thread and in one
+    of all; a third have no type, some are spreadsheets, a fifth have a stored summary."""
+    docs = t(spark, d, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("t"))
+    n = F.ceil(F.length("t") / 400).cast("int")
+    slices = F.concat(F.array(F.lit(" \n")), F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substring(F.col("t"), i * 400 + 1, F.lit(400))))
+    kind = F.when(F.col("doc_id") % 50 == 7, "spreadsheet").when(F.col("doc_id") % 3 == 0, None).otherwise("text")
+    return docs.select(
+        F.explode(F.array("source", F.lit("all"))).alias("thread_id"), F.col("doc_id").cast("string").alias("document_id"), kind.alias("type"),
+        F.concat(F.lit("Doc "), "doc_id").alias("title"), F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Stored Summary of "), "doc_id")).alias("summary"), slices.alias("s"),
+    ).select("*", F.posexplode("s").alias("p", "text")).select("thread_id", "document_id", "type", "title", "summary", (F.col("p") + 1).alias("page_no"), "text")
+
+
+PAGE_NAMES = names_sql("pg", "doc_id, page_no", "child")
+INDEX = rf"""
+src AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents WHERE doc_id % 50 <> 7),
+sl AS (SELECT doc_id, i + 2 AS page_no, t[i * 400 + 1:(i + 1) * 400] AS text FROM (SELECT doc_id, t, unnest(range(0, greatest(1, ceil(length(t) / cast(400 AS DOUBLE)))::BIGINT)) AS i FROM src)),
+np AS (SELECT doc_id, 1 + count(*) AS pages FROM sl GROUP BY doc_id),
+pg AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS child FROM sl WHERE regexp_matches(text, '\S')),
+wd AS (SELECT doc_id, page_no, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, page_no, {ASCII.format("text")} AS ws FROM pg)),
+wn AS (SELECT doc_id, word, count(*) AS n, min(page_no * 1000000 + pos) AS first FROM wd GROUP BY ALL),
+wt AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS r FROM wn QUALIFY r <= 8),
+topics AS (SELECT doc_id, string_agg(word, ', ' ORDER BY r) AS topics FROM wt GROUP BY doc_id),
+hl AS (SELECT doc_id, page_no, list_filter(list_transform(string_split(child, chr(10))[1:5], lambda x: trim(x, ' ')), lambda x: length(x) >= 3 AND length(x) <= 120)[1] AS line FROM pg),
+hd AS (SELECT doc_id, page_no, CASE WHEN regexp_matches(line, '(?i)^(\d+[.\)]\s|chapter\s+\d+|section\s+\d+)') THEN line[1:100]
+ WHEN upper(line) = line AND lower(line) <> line AND length(line) > 3 AND length(line) < 80 THEN line
+ WHEN length(line) < 80 AND NOT regexp_matches(line, '[.,;:!?)"'']$') THEN line ELSE '' END AS heading FROM hl),
+st AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no)[1:3000] AS st FROM pg GROUP BY doc_id),
+se AS (SELECT doc_id, unnest(ss) AS x, generate_subscripts(ss, 1) AS i FROM (SELECT doc_id, {SENTENCES.format("st")} AS ss FROM st)),
+sc AS (SELECT *, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM se),
+sd AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS lead FROM sc WHERE n <= 500 GROUP BY doc_id),
+sm AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Stored Summary of ' || doc_id WHEN coalesce(lead, '') = '' THEN st[1:500] ELSE lead END AS summary
+  FROM src LEFT JOIN st USING (doc_id) LEFT JOIN sd USING (doc_id)),
+sx AS (SELECT doc_id, summary FROM sm WHERE summary IS NOT NULL), {names_sql("sx", "doc_id", "summary", "sn")}, {PAGE_NAMES},
+nm AS (SELECT doc_id, page_no, lower(name) AS k, min(i0) AS i0, arg_min(name, i0) AS name FROM names WHERE lower(name) NOT IN ({STOPS}) GROUP BY ALL),
+en AS (SELECT doc_id, page_no, list(name ORDER BY i0)[1:15] AS entities FROM nm GROUP BY ALL),
+sk AS (SELECT doc_id, lower(name) AS k, min(i0) AS i0, arg_min(name, i0) AS name FROM sn WHERE lower(name) NOT IN ({STOPS}) GROUP BY ALL),
+es AS (SELECT doc_id, list(name ORDER BY i0)[1:15] AS entities FROM sk GROUP BY ALL),
+cx AS (SELECT *, strpos(lower(child), k) AS loc FROM nm JOIN pg USING (doc_id, page_no)),
+cy AS (SELECT *, trim(substring(child, greatest(1, loc - 60), length(name) + 60 + least(60, loc - 1)), ' ') AS context, row_number() OVER (PARTITION BY doc_id, k ORDER BY page_no, loc) AS r FROM cx),
+pf AS (SELECT doc_id, k, count(*) AS n, min(page_no) AS p0, arg_min(loc, page_no) AS at0, arg_min(name, page_no) AS name, string_agg(page_no::VARCHAR, ', ' ORDER BY page_no) AS on_pages,
+  string_agg(context, ' ... ' ORDER BY r) FILTER (r <= 3) AS contexts FROM cy GROUP BY doc_id, k),
+pt AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p0, at0, name, k) AS r FROM pf QUALIFY r <= 10),
+rows_ AS (
+SELECT doc_id, page_no, 'child' AS chunk_type, 0 AS chunk_index, doc_id || '_page' || page_no || '_p0_c0' AS chunk_id, doc_id || '_page' || page_no || '_p0' AS parent_chunk_id, child AS parent_text,
+  coalesce(array_to_string(entities, '|'), '') AS entities,
+  concat_ws(chr(10), 'Document: Doc ' || doc_id, 'Page: ' || page_no || '/' || pages, CASE WHEN heading <> '' THEN 'Section: ' || heading END, CASE WHEN topics <> '' THEN 'Topics: ' || topics END) || chr(10) || chr(10) || child AS text
+ FROM pg JOIN np USING (doc_id) JOIN hd USING (doc_id, page_no) LEFT JOIN topics USING (doc_id) LEFT JOIN en USING (doc_id, page_no)
+UNION ALL SELECT doc_id, 0, 'document_summary', -1, doc_id || '_summary', NULL, NULL, coalesce(array_to_string(entities, '|'), ''),
+  'Document: Doc ' || doc_id || ' | Summary' || chr(10) || 'Topics: ' || coalesce(topics, '') || chr(10) || chr(10) || summary FROM sx LEFT JOIN topics USING (doc_id) LEFT JOIN es USING (doc_id)
+UNION ALL SELECT doc_id, 0, 'entity_profile', -2, doc_id || '_entity_' || regexp_replace(lower(name), '[^a-z0-9_]', '_', 'g'), NULL, NULL, name,
+  'Entity Profile: ' || name || ' | Document: Doc ' || doc_id || chr(10) || 'Mentioned on pages: ' || on_pages || chr(10) || 'Contexts: ' || contexts FROM pt WHERE n >= 2)"""
+INDEX_ROWS = """SELECT thread_id, doc_id::VARCHAR AS document_id, page_no::INT AS page_no, chunk_type, chunk_index::INT AS chunk_index, chunk_id, parent_chunk_id, parent_text, entities, text
+ FROM rows_ JOIN (SELECT doc_id, source AS thread_id FROM documents UNION ALL SELECT doc_id, 'all' FROM documents) USING (doc_id)"""
+
+
+def _index_rows(index):
+    return index.select("thread_id", "document_id", "page_no", "chunk_type", "chunk_index", "chunk_id", "parent_chunk_id", "parent_text", F.array_join("entities", "|").alias("entities"), "text")
+
+
+@query(f"WITH {INDEX} {INDEX_ROWS}")
 def build_chunk_index(spark, d):
     from docmill.plans import pipelines
 
-    docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("thread_id"), F.lit(1).alias("page_no"), F.concat(F.lit("Doc "), "doc_id").alias("title"), "text")
-    return pipelines.build_chunk_index(docs)
+    return _index_rows(pipelines.build_chunk_index(_pages(spark, d)))
 
 
-@query()
+@query(f"""WITH {INDEX}, r AS ({INDEX_ROWS})
+SELECT thread_id, document_id, count(DISTINCT page_no) FILTER (page_no > 0) AS n_pages, count(*) FILTER (chunk_type = 'child') AS n_children, count(*) FILTER (chunk_type = 'entity_profile') AS n_profiles,
+ count(*) FILTER (chunk_type = 'document_summary') > 0 AS has_summary, string_agg(chunk_id, ' ' ORDER BY chunk_id) AS chunk_ids FROM r GROUP BY ALL""")
+def document_manifest(spark, d):
+    from docmill.plans import pipelines
+
+    return pipelines.document_manifest(pipelines.build_chunk_index(_pages(spark, d))).withColumn("chunk_ids", F.array_join("chunk_ids", " "))
+
+
+@query(f"""
+WITH sl AS (SELECT source, doc_id, i AS part, t[i * 400 + 1:(i + 1) * 400] AS text FROM (SELECT source, doc_id, t, unnest(range(0, ceil(length(t) / cast(400 AS DOUBLE))::BIGINT)) AS i FROM (SELECT source, doc_id, coalesce(text, '') AS t FROM documents))),
+{names_sql("sl", "source, doc_id, part")},
+nm AS (SELECT source, doc_id, part, lower(name) AS k, min(i0) AS i0, arg_min(name, i0) AS name FROM names WHERE lower(name) NOT IN ({STOPS}) GROUP BY ALL),
+cx AS (SELECT nm.*, text, strpos(lower(text), k) AS loc FROM nm JOIN sl ON nm.source = sl.source AND nm.doc_id = sl.doc_id AND nm.part = sl.part),
+cy AS (SELECT *, trim(substring(text, greatest(1, loc - 60), length(name) + 60 + least(60, loc - 1)), ' ') AS context, row_number() OVER (PARTITION BY source, k ORDER BY doc_id, part, loc) AS r FROM cx),
+pf AS (SELECT source, k, count(DISTINCT doc_id) AS n_pages, min((doc_id, part, loc)) AS first, arg_min(name, (doc_id, part, loc)) AS name, string_agg(DISTINCT doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS pages,
+  string_agg(context, ' ... ' ORDER BY r) FILTER (r <= 3) AS contexts FROM cy GROUP BY source, k),
+pt AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_pages DESC, first, name, k) AS r FROM pf QUALIFY r <= 10)
+SELECT source, name, n_pages, pages, contexts FROM pt WHERE n_pages >= 2""")
 def entity_profiles(spark, d):
-    docs = t(spark, d, "documents").select(F.struct("source", "doc_id").alias("page"), "text")
-    chunk = text.chunk_hierarchical(docs, "page", "text").select("page.*", (F.col("parent_idx") * 1000 + F.col("child_idx")).alias("order"), "text")
-    return enrich.entity_profiles(enrich.chunk_mentions(chunk, "text"), "source", "doc_id", "name", "text", chunk_col="order")
+    """Sources as documents, documents as their pages, 400 characters as a chunk."""
+    docs = t(spark, d, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("t")).where("t <> ''")
+    n = F.ceil(F.length("t") / 400).cast("int")
+    chunk = docs.select("source", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("t"), i * 400 + 1, F.lit(400)))).alias("part", "text"))
+    out = enrich.entity_profiles(enrich.chunk_mentions(chunk, "text"), "source", "doc_id", "name", "text", chunk_col="part")
+    pages = F.array_join(F.array_sort(F.transform("pages", lambda x: x.cast("string"))), ",")
+    return out.select("source", "name", "n_pages", pages.alias("pages"), F.array_join("contexts", " ... ").alias("contexts"))
 
 
 @query("""SELECT doc_id, source AS subject, 'writes' AS predicate, lang AS object FROM documents WHERE doc_id % 2 = 1""")
@@ -849,12 +956,22 @@ def file_inventory(spark, d):
     return files.groupBy("extension", "class").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"))
 
 
-@query()
+@query(f"""WITH {INDEX}, r AS ({INDEX_ROWS}),
+tok AS (SELECT thread_id AS thread, chunk_id, unnest({TOKENS.format("text")}) AS term FROM r), tf AS (SELECT thread, chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+sizes AS (SELECT thread, chunk_id, sum(tf) AS dl FROM tf GROUP BY ALL), nn AS (SELECT thread_id AS thread, count(*) AS n FROM r GROUP BY ALL),
+av AS (SELECT thread, sum(dl)::DOUBLE / any_value(n) AS avgdl FROM sizes JOIN nn USING (thread) GROUP BY thread),
+i0 AS (SELECT thread, term, ln(any_value(n) - count(*) + cast(0.5 AS DOUBLE)) - ln(count(*) + cast(0.5 AS DOUBLE)) AS idf FROM tf JOIN nn USING (thread) GROUP BY thread, term),
+me AS (SELECT thread, sum(cast(idf AS DECIMAL(38,10)))::DOUBLE / count(*) AS mean FROM i0 GROUP BY thread),
+i1 AS (SELECT thread, term, CASE WHEN idf < 0 THEN cast(0.25 AS DOUBLE) * mean ELSE idf END AS idf FROM i0 JOIN me USING (thread)),
+p AS (SELECT thread, term, chunk_id, idf * tf * cast(2.5 AS DOUBLE) / (tf + cast(1.5 AS DOUBLE) * (cast(0.25 AS DOUBLE) + cast(0.75 AS DOUBLE) * dl / avgdl)) AS w
+ FROM tf JOIN sizes USING (thread, chunk_id) JOIN av USING (thread) JOIN i1 USING (thread, term))
+SELECT thread, term, count(*) AS n, round(sum(cast(w AS DECIMAL(28,10)))::DOUBLE, 4) AS total FROM p GROUP BY ALL""")
 def reindex_corpus(spark, d):
+    """The postings of a rebuilt index, by thread and term."""
     from docmill.plans import pipelines
 
-    docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("thread_id"), F.lit(1).alias("page_no"), F.lit("Doc").alias("title"), "text")
-    return pipelines.reindex_corpus(docs, readers.scratch(spark, "index"))[1]
+    postings = pipelines.reindex_corpus(_pages(spark, d), readers.scratch(spark, "index"))[1]
+    return postings.groupBy("thread", "term").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("weight").cast("decimal(28,10)")).cast("double"), 4).alias("total"))
 
 
 @query(f"""WITH {HITS}, o AS (SELECT item_id AS id, 'src' || (item_id % 20) AS thread FROM benchmark),
@@ -932,18 +1049,17 @@ def status_stream(spark, d):
     return last.select(F.col("id").alias("user_id"), "m.status", "m.message")
 
 
-@query(f"WITH {SUMMARY} SELECT doc_id::VARCHAR AS document_id, summary AS text FROM summary JOIN documents USING (doc_id) WHERE length(trim(coalesce(text, ''), ' ')) > 0")
+@query(f"WITH {INDEX} {INDEX_ROWS}")
 def ingest_stream(spark, d):
-    """The summaries in the index after all documents arrived twice, first with another text."""
-    from docmill.plans import pipelines
-
+    """The index after the pages arrived in three batches: odd pages with another text and the first
+    pages, then even pages, then the odd ones as they are now. It equals the index of all pages at once."""
     base = readers.scratch(spark, "ingest")
-    docs = t(spark, d, "documents").select(
-        F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("thread_id"), F.lit(1).alias("page_no"), F.concat(F.lit("Doc "), "doc_id").alias("title"), "text"
-    )
-    schema = docs.schema
-    for k, text_ in enumerate((F.concat(F.lit("Old. "), F.coalesce("text", F.lit(""))), F.col("text"))):
-        docs.withColumn("text", text_).write.parquet(f"{base}/in/{k}")
-        run = status.ingest_stream(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{base}/in"), "document_id", f"{base}/index", f"{base}/state", pipelines.build_chunk_index, 8)
-        run.awaitTermination()
-    return status.current_index(spark, f"{base}/index").where("chunk_type = 'document_summary'").select("document_id", "text")
+    pages = _pages(spark, d)
+    odd = (F.col("page_no") % 2 == 1) & (F.col("page_no") > 1)
+    old = pages.where("page_no = 1 OR page_no % 2 = 1").withColumn("text", F.when(odd, F.concat(F.lit("Old Words. "), "text")).otherwise(F.col("text")))
+    schema = pages.withColumn("arrived", F.lit(0)).schema
+    for k, part in enumerate((old, pages.where("page_no % 2 = 0"), pages.where(odd))):
+        part.withColumn("arrived", F.lit(k)).write.parquet(f"{base}/in/{k}")
+        arriving = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{base}/in")
+        status.ingest_stream(arriving, f"{base}/index", f"{base}/state", "arrived", 4).awaitTermination()
+    return _index_rows(status.current_index(spark, f"{base}/index"))

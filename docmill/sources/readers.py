@@ -71,11 +71,6 @@ def upsert_chunks(stored: DataFrame, new: DataFrame, key: str = "chunk_id", owne
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_v", "_r")
 
 
-def write_version(chunks: DataFrame, path: str, partitions: list[str]) -> None:
-    """Only the partitions that ``chunks`` holds are replaced; read and written paths differ."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
-
-
 def delete_documents(rows: DataFrame, deletes: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` (chunks, triples, tables) without those of the deleted documents."""
     return rows.join(deletes.select(*keys).distinct(), keys, "left_anti")

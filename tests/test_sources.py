@@ -5,6 +5,7 @@ import json
 
 from docmill.operators import chat, tables
 from docmill.sources import readers
+from docmill.sources.versions import Versions
 from docmill.streaming import status
 
 
@@ -50,15 +51,15 @@ def test_status(spark, tmp_path):
 def test_ingest_keeps_earlier_documents(spark, tmp_path):
     """Documents of earlier batches stay, one sent again leaves no stale chunks, a batch writes only its parts."""
     long_text = "\n\n".join(f"Paragraph {i} " + "word " * 200 for i in range(6))
+    kind = "thread_id string, document_id string, page_no int, text string"
     for text in ([("old", long_text), ("both", long_text)], [("new", "new words"), ("both", "short now"), ("both", "short now")]):
-        spark.createDataFrame(text, "id string, text string").write.mode("append").parquet(f"{tmp_path}/in")
-        s = spark.readStream.schema("id string, text string").parquet(f"{tmp_path}/in")
-        status.ingest_stream(s, "id", f"{tmp_path}/index", f"{tmp_path}/state", parts=64).awaitTermination()
-    rows = status.current_index(spark, f"{tmp_path}/index").collect()
-    assert {r["id"] for r in rows} == {"old", "new", "both"}
-    assert [r["text"] for r in rows if r["id"] == "both"] == ["short now"] and len([r for r in rows if r["id"] == "old"]) > 5
-    parts = spark.read.option("basePath", f"{tmp_path}/index").parquet(f"{tmp_path}/index/version=*").where("version = 1").select("part").distinct().count()
-    assert parts <= 2
+        spark.createDataFrame([("t", i, 1, x) for i, x in text], kind).write.mode("append").parquet(f"{tmp_path}/in")
+        s = spark.readStream.schema(kind).parquet(f"{tmp_path}/in")
+        status.ingest_stream(s, f"{tmp_path}/index", f"{tmp_path}/state", parts=64).awaitTermination()
+    rows = [r for r in status.current_index(spark, f"{tmp_path}/index").collect() if r["chunk_type"] == "child"]
+    assert {r["document_id"] for r in rows} == {"old", "new", "both"}
+    assert [r["parent_text"] for r in rows if r["document_id"] == "both"] == ["short now"] and len([r for r in rows if r["document_id"] == "old"]) > 5
+    assert sum(v == 1 for v in Versions(spark, f"{tmp_path}/index").manifest()["chunks"].values()) <= 2
 
 
 def test_finished_jobs_leave_the_state(spark, tmp_path):
