@@ -72,6 +72,11 @@ def exact_sum(c: Column) -> Column:
     return F.sum(c.cast("decimal(28,10)")).cast("double")
 
 
+def score_sum(c: Column) -> Column:
+    """The same for scores of up to 1e8: ten decimals of each, summed as whole numbers."""
+    return F.sum(F.rint(c * 1e10).cast("long")).cast("double") / F.lit(1e10)
+
+
 def ranked(keys: list[str], *order: Column):
     from pyspark.sql import Window
 

@@ -203,12 +203,49 @@ def store_triples(stored: DataFrame, new: DataFrame, order: list[str], doc_col:
     return new.withColumn("_r", ranked(key, *map(F.col, order))).where("_r = 1").drop("_r").join(stored.select(*key), key, "left_anti")
 
 
-def triples_for_entities(triples: DataFrame, asked: DataFrame, order: list[str], per_entity: int = 20, overall: int = 20) -> DataFrame:
-    """(query_id, rank, subject, predicate, object) whose subject or object contains an asked entity.
-
-    ``asked`` (query_id, pos, entity) is a small table of questions; Spark broadcasts it."""
-    hit = triples.join(asked, F.contains(F.lower("subject"), F.lower("entity")) | F.contains(F.lower("object"), F.lower("entity")))
-    hit = hit.withColumn("_r", ranked(["query_id", "pos"], *map(F.col, order))).where(F.col("_r") <= per_entity)
+def name_grams(triples: DataFrame, sizes: tuple[int, ...] = (3,)) -> DataFrame:
+    """(gram, name): postings of all runs of ``sizes`` characters in the distinct subjects and objects, in lower case."""
+    name = triples.select(F.explode(F.array(F.lower("subject"), F.lower("object"))).alias("name")).where("name is not null").distinct()
+    grams = F.flatten(F.array(*[
+        F.when(F.length("name") >= n, F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substring(F.col("name"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))  # noqa: B023
+        for n in sizes
+    ]))
+    return name.select(F.explode(F.array_distinct(grams)).alias("gram"), "name")
+
+
+def names_with(grams: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity, name): the names of ``grams`` that contain each of the distinct lower-case ``entities`` (entity).
+    The postings of an entity's two rarest runs of three characters are intersected, what is left is
+    verified. An entity of one or two characters is a run of its own; ``grams`` must hold those sizes."""
+    n = F.least(F.length("entity"), F.lit(3))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("entity") - n + 1), lambda i: F.substring(F.col("entity"), i, n)))
+    asked = entities.where("length(entity) > 0").select("entity", F.explode(runs).alias("gram"))
+    held = grams.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = asked.join(held, "gram", "left").withColumn("r", ranked(["entity"], F.coalesce("n", F.lit(0)), F.col("gram")))
+    few = asked.where(F.col("r") <= 2).withColumn("asks", F.count(F.lit(1)).over(Window.partitionBy("entity")))
+    met = grams.join(few.select("entity", "gram", "asks"), "gram").groupBy("entity", "name").agg(F.count(F.lit(1)).alias("k"), F.max("asks").alias("asks"))
+    return met.where((F.col("k") == F.col("asks")) & F.contains(F.col("name"), F.col("entity"))).select("entity", "name")
+
+
+def triples_for_entities(triples: DataFrame, asked: DataFrame, order: list[str], per_entity: int = 20, overall: int = 20, grams: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, subject, predicate, object) whose subject or object contains an asked entity, whatever
+    the case. ``asked`` is (query_id, pos, entity); an empty entity asks for nothing. ``grams`` are the stored
+    ``name_grams`` of the triples, of the sizes 1 to 3 if short entities are asked for."""
+    asked = asked.withColumn("_entity", F.lower("entity"))
+    entities = asked.select(F.col("_entity").alias("entity")).where("length(entity) > 0").distinct()
+    if grams is None:
+        short = not entities.where("length(entity) < 3").isEmpty()
+        grams = name_grams(triples, (1, 2, 3) if short else (3,))
+    found = names_with(grams, entities).groupBy("name").agg(F.collect_set("entity").alias("es"))  # of one name's parts
+    side = lambda c: found.select(F.col("name").alias(f"_{c}_name"), F.col("es").alias(f"_{c}_es"))
+    hit = triples
+    for c in ("subject", "object"):
+        hit = hit.join(side(c), F.lower(c) == F.col(f"_{c}_name"), "left").drop(f"_{c}_name")
+    none = F.array().cast("array<string>")
+    each = F.explode(F.array_union(F.coalesce("_subject_es", none), F.coalesce("_object_es", none)))
+    hit = hit.withColumn("_entity", each).drop("_subject_es", "_object_es")
+    # an entity's first triples are the same for whoever asks for it
+    hit = hit.withColumn("_r", ranked(["_entity"], *map(F.col, order))).where(F.col("_r") <= per_entity).join(asked, "_entity")
     low = [F.lower(c).alias(f"_{c}") for c in ("subject", "predicate", "object")]
     hit = hit.select("*", *low).withColumn("_d", ranked(["query_id", "_subject", "_predicate", "_object"], F.col("pos"), F.col("_r"))).where("_d = 1")
     out = hit.withColumn("rank", ranked(["query_id"], F.col("pos"), F.col("_r"))).where(F.col("rank") <= overall)

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.functions.words import exact_sum, ranked, tokens
+from docmill.functions.words import exact_sum, ranked, score_sum, tokens
 
 
 def query_terms(queries: DataFrame, text_col: str) -> DataFrame:
@@ -44,7 +44,7 @@ def bm25_topk(postings: DataFrame, queries: DataFrame, query_id: str, text_col:
     term = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(text_col)).alias("term"))
     term = term.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     hit = postings.join(term, "term").groupBy("query_id", "thread", "chunk_id")
-    scored = hit.agg(F.round(exact_sum(F.col("weight") * F.col("times")), 6).alias("score"))
+    scored = hit.agg(F.round(score_sum(F.col("weight") * F.col("times")), 6).alias("score"))
     top = scored.withColumn("rank", ranked(["query_id", "thread"], F.desc("score"), F.asc("chunk_id"))).where(F.col("rank") <= top_k)
     return top.where("score > 0")
 
@@ -130,8 +130,9 @@ def gate_and_budget(hits: DataFrame, max_total: int = 200, share: float = 0.25)
 
 
 def dedup_content_hash(hits: DataFrame, text_col: str) -> DataFrame:
-    """The first hit of each distinct content in a query."""
-    return hits.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", F.sha2(text_col, 256)).orderBy("rank"))).where("_r = 1").drop("_r")
+    """The first hit of each distinct content in a query; hits without a content all stay."""
+    first = F.row_number().over(Window.partitionBy("query_id", F.sha2(text_col, 256)).orderBy("rank"))
+    return hits.withColumn("_r", F.when(F.col(text_col).isNull(), 1).otherwise(first)).where("_r = 1").drop("_r")
 
 
 def balanced_topk(hits: DataFrame, k_per_document: int = 6, total_k: int = 12) -> DataFrame:

@@ -169,7 +169,7 @@ def extract_tables(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     block = r"(?is)\[Table\](.*?)\[/Table\]"
     trimmed = lambda c: F.transform(F.split(c, "\n"), lambda x: F.trim(x))
     full = lambda x: x.rlike(r"^\|.*\|$")
-    rule = lambda x: x.rlike(r"^[\s:|-]*-[\s:|-]*$")
+    rule = lambda x: F.contains(x, F.lit("-")) & x.rlike(r"^[\s:|-]+$")
     loose = lambda x: F.contains(x, F.lit(" | ")) & ~x.startswith("[")
     piped = F.filter(_fold_lines(trimmed(F.regexp_replace(text, block, "\n")), full, full), lambda run: F.exists(run, rule))
     inside = F.transform(F.regexp_extract_all(text, F.lit(block), F.lit(1)), lambda b: F.filter(trimmed(b), lambda x: x != ""))

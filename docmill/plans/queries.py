@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.words import stop_words
-from docmill.operators import chat, enrich, retrieve, tables, text
+from docmill.operators import chat, enrich, lexical, retrieve, tables, text
 from docmill.sources import readers
 from docmill.streaming import status
 
@@ -67,9 +67,24 @@ hits AS (SELECT query_id, thread AS document_id, chunk_id, chunk_id % 10 AS page
    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM top WHERE score > 0)"""
 
 
+_STORES: dict = {}
+
+
+def stored_index(spark, d):
+    """The stored index of the documents of a folder, sources as threads; built once an application."""
+    from docmill.sources.versions import Versions
+
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORES:
+        store = Versions(spark, readers.scratch(spark, "bm25"))
+        lexical.write_index(store, t(spark, d, "documents"), "source", "doc_id", "text", max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        _STORES[key] = store.base
+    return Versions(spark, _STORES[key])
+
+
 def bm25(spark, d, top_k=5):
     asked = t(spark, d, "benchmark")
-    postings = retrieve.bm25_index(t(spark, d, "documents"), "source", "doc_id", "text", terms=retrieve.query_terms(asked, "text"))
+    postings = lexical.postings(stored_index(spark, d), retrieve.query_terms(asked, "text"))
     return retrieve.bm25_topk(postings, asked, "item_id", "text", top_k)
 
 
@@ -770,7 +785,7 @@ def hybrid_retrieve(spark, d):
     docs = t(spark, d, "documents").select(F.col("source").alias("thread_id"), F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_id"), "text")
     asked = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.substring("text", 1, 60).alias("start"))
     names = lambda c: F.filter(F.split(c, " "), lambda x: F.length(x) >= 10)
-    return pipelines.hybrid_retrieve(docs, asked, ["text", "start"], entities=names)
+    return pipelines.hybrid_retrieve(docs, asked, ["text", "start"], entities=names, index=stored_index(spark, d))
 
 
 @query()
@@ -787,7 +802,7 @@ def hybrid_retrieve_vectors(spark, d):
         fitted[:] = [model]
         return v
 
-    return pipelines.hybrid_retrieve(docs, asked, embedder=embed)
+    return pipelines.hybrid_retrieve(docs, asked, embedder=embed, index=stored_index(spark, d))
 
 
 def _pages(spark, d):
@@ -981,7 +996,7 @@ def node_sources(spark, d):
     from docmill.plans import pipelines
 
     nodes = t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.expr("concat('src', item_id % 20)").alias("thread_id"), F.col("text").alias("title"))
-    return pipelines.node_sources(nodes, t(spark, d, "documents").select(F.col("source").alias("thread_id"), F.col("doc_id").alias("chunk_id"), "text"), 5)
+    return pipelines.node_sources(nodes, stored_index(spark, d), 5)
 
 
 @query("SELECT c_custkey AS sheet_id, c_mktsegment || '_' || c_name || '|Column_1|Column_2|' || c_nationkey AS names FROM customer")
