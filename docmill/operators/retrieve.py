@@ -49,8 +49,12 @@ def bm25_topk(postings: DataFrame, queries: DataFrame, query_id: str, text_col:
     return top.where("score > 0")
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, top_k: int = 10, query_rows: int = 2048, vector_rows: int = 65_536) -> DataFrame:
-    """(query_id, chunk_id, rank, score): nearest ``vectors`` (chunk_id, v) to ``queries`` (query_id, q).
+def vector_topk(
+    vectors: DataFrame, queries: DataFrame, top_k: int = 10, query_rows: int = 2048, vector_rows: int = 65_536, scope: list[str] | None = None
+) -> DataFrame:
+    """(query_id, chunk_id, rank, score): nearest ``vectors`` (chunk_id, v) to ``queries`` (query_id, q). With ``scope``
+    (columns of both, such as user, thread and document) a query meets only the vectors that equal it there; a null
+    scope meets nothing.
 
     Both tables are dealt into blocks of bounded size; each pair of blocks is one product of
     matrices in a task, which keeps the best ``top_k`` of its queries, so few rows are shuffled on."""
@@ -71,7 +75,10 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, top_k: int = 10, query_r
             return pd.DataFrame({"query_id": asks, "chunk_id": ids[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()})
         return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
 
-    pairs = left.select("_v", "_q", "chunk_id", "v").groupBy("_v", "_q").cogroup(right.select("_v", "_q", "query_id", "q").groupBy("_v", "_q"))
+    keys = [*(scope or []), "_v", "_q"]
+    if scope:
+        left, right = left.dropna(subset=scope), right.dropna(subset=scope)
+    pairs = left.select(*keys, "chunk_id", "v").groupBy(*keys).cogroup(right.select(*keys, "query_id", "q").groupBy(*keys))
     pairs = pairs.applyInPandas(best, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
     return pairs.withColumn("rank", ranked(["query_id"], F.desc("score"), F.asc("chunk_id"))).where(F.col("rank") <= top_k)
 
