@@ -13,7 +13,11 @@ copies of an article do not make it a template.
 Then come two plainer checks. Elements that are not content by their kind (scripts, menus,
 footers, forms, asides, and adverts, notices or comments by role, class or id) go where the
 template left them: their words may differ on each page, and a host may have a single page.
-Class names are taken as a whole: ``share-buttons`` is such a name, ``share-price`` is not.
+Class names are taken as a whole: ``share-buttons`` is such a name, ``share-price`` is not. Neither
+drops what holds the page itself: an element with the page's <main> in it, and a form, an aside or an
+element named for its layout (``has-sidebar``) that holds the page's first <article> or, on a page with
+neither, four fifths of its text. Comments stay out, headings are judged by no name, and inside an
+article nothing goes for being a header.
 Last, where <article> and <main> hold most of the text that is left, the rest goes.
 
 Edge cases: null or empty html gives an empty text; a null or odd url is a host of its own;
@@ -68,13 +72,13 @@ _SPACE, _DIGIT, _PART = re.compile(r"\s+"), re.compile(r"\d+"), re.compile(r"[-_
 _RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in RAW}
 
 
-def names_no_content(names: str) -> bool:
-    """Whether one of the names is made only of known words, one of which names no content."""
+def names_no_content(names: str) -> frozenset[str]:
+    """The words that name no content in the first name that is made only of known words; empty if there is none."""
     for name in names.split():
         parts = [p.lower() for p in _PART.split(name) if p]
         if any(p in NAMES for p in parts) and all(p in NAMES or p in PLACES for p in parts):
-            return True
-    return False
+            return NAMES.intersection(parts)
+    return frozenset()
 
 
 def tags(html: str):
@@ -127,45 +131,79 @@ def tags(html: str):
 
 
 BESIDE, BARE, PROSE_LIKE = 0, 1, 2
+#: Why an element is no content: for good, for a name, hidden, or for its kind or a name of the page's layout.
+ALWAYS, NAMED, HIDDEN, LAYOUT = 1, 2, 3, 4
+LAYOUT_NAMES = frozenset("sidebar nav navbar header masthead banner menu footer".split())
+COMMENT_NAMES = frozenset("comment comments disqus replies respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def cause(tag: str, attrs: dict[str, str], names: str, in_article: bool) -> int:
+    """Why an element is no content by itself; 0 if it isn't so."""
+    if tag in DROPPED and tag not in ("form", "aside"):
+        return ALWAYS
+    if "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower():
+        return HIDDEN
+    if tag in ("form", "aside") or attrs.get("role", "").lower() in ROLES or (tag == "header" and not in_article):
+        return LAYOUT
+    if tag in ("html", "body") or tag in HEADINGS or names == " " or not (words := names_no_content(names)):
+        return 0
+    if words & COMMENT_NAMES:
+        return ALWAYS
+    if in_article and words <= {"header", "masthead"}:
+        return 0
+    return LAYOUT if words <= LAYOUT_NAMES else NAMED
 
 
 class _Element:
-    __slots__ = ("tag", "digest", "drop", "in_root", "strict", "first")
+    __slots__ = ("tag", "digest", "cause", "always", "in_root", "strict", "first", "holds_main", "holds_article")
 
     def __init__(self, tag, attrs, parent, n_blocks):
         self.tag, self.first = tag, n_blocks
         names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
         self.in_root = bool(parent and (parent.in_root or parent.tag in ROOTS))
         self.strict = self.in_root or tag in PROSE or tag in ROOTS
-        self.drop = (
-            bool(parent and parent.drop)
-            or tag in DROPPED
-            or "hidden" in attrs
-            or attrs.get("role", "").lower() in ROLES
-            or (tag == "header" and not self.in_root)
-            or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-            or (tag not in ("html", "body") and names != " " and names_no_content(names))
-        )
+        self.cause = cause(tag, attrs, names, self.in_root)
+        self.always = bool(parent and parent.always) or self.cause == ALWAYS
+        self.holds_main = self.holds_article = False
         self.digest = xxhash.xxh64(f"<{tag} {names}>")
 
 
+def no_content(causes: list[tuple[int, int, int, bool, bool]], sizes: list[int], has_root: bool) -> np.ndarray:
+    """Which blocks lie in an element that is no content. ``causes``: first block, end block, cause, whether it
+    holds <main>, whether the first <article>; ``sizes``: the blocks' lengths, 0 for what is never content."""
+    edge, ahead = np.zeros(len(sizes) + 1, np.int64), np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
+    for first, end, why, main, article in causes:
+        holds = why != ALWAYS and (main or (article and why != NAMED))
+        if why == LAYOUT and not has_root and 5 * (ahead[end] - ahead[first]) >= 4 * ahead[-1]:
+            holds = True
+        if not holds:
+            edge[first] += 1
+            edge[end] -= 1
+    return np.cumsum(edge)[: len(sizes)] > 0
+
+
 def page_blocks(html: str | None, kinds: bool = True) -> tuple[list[str | None], list[bool], list[int], list[int], list[int]]:
     """The blocks' texts (None: no content by its kind), whether each lies in <article> or
     <main>, and the subtrees that hold blocks: hash (its lowest two bits tell BESIDE, BARE or
     PROSE_LIKE), first block, end block."""
     blocks: list[str | None] = []
     rooted: list[bool] = []
+    sizes: list[int] = []
+    causes: list[tuple[int, int, int, bool, bool]] = []
     trees: tuple[list[int], list[int], list[int]] = ([], [], [])
     stack: list[_Element] = []
     open_: Counter[str] = Counter()
     text: list[str] = []
+    articles = 0
 
     def flush():
         joined = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
         text.clear()
         if joined:
             top = stack[-1] if stack else None
-            blocks.append(None if kinds and top and top.drop else joined)
+            blocks.append(joined)
+            sizes.append(0 if top and top.always else len(joined))
             rooted.append(bool(top and (top.in_root or top.tag in ROOTS)))
             if top:
                 top.digest.update(_DIGIT.sub("0", joined).encode("utf-8", "surrogatepass"))
@@ -173,9 +211,12 @@ def page_blocks(html: str | None, kinds: bool = True) -> tuple[list[str | None],
     def close():
         e = stack.pop()
         open_[e.tag] -= 1
-        if e.first < len(blocks) and e.tag not in ("html", "body", "main"):
-            for kept, value in zip(trees, (e.digest.intdigest() & ~3 | PROSE_LIKE * e.strict, e.first, len(blocks)), strict=True):
-                kept.append(value)
+        if e.first < len(blocks):
+            if e.cause:
+                causes.append((e.first, len(blocks), e.cause, e.holds_main, e.holds_article))
+            if e.tag not in ("html", "body", "main"):
+                for kept, value in zip(trees, (e.digest.intdigest() & ~3 | PROSE_LIKE * e.strict, e.first, len(blocks)), strict=True):
+                    kept.append(value)
         if stack:
             stack[-1].digest.update(e.digest.digest())
 
@@ -205,10 +246,19 @@ def page_blocks(html: str | None, kinds: bool = True) -> tuple[list[str | None],
             attrs.setdefault(k.lower(), a or b or c)
         stack.append(_Element(tag, attrs, stack[-1] if stack else None, len(blocks)))
         open_[tag] += 1
+        if tag in ROOTS and not stack[-1].always:
+            articles += tag == "article"
+            if tag == "main" or articles == 1:
+                for e in stack[:-1]:
+                    e.holds_main |= tag == "main"
+                    e.holds_article |= tag == "article"
     while stack:
         close()
     if True not in rooted:
         trees[0][:] = [h if h & PROSE_LIKE else h | BARE for h in trees[0]]
+    if kinds and causes:
+        for i in np.flatnonzero(no_content(causes, sizes, True in rooted)):
+            blocks[i] = None
     return blocks, rooted, *trees
 
 

@@ -126,3 +126,37 @@ def test_deep_nesting():
     began = time.perf_counter()
     assert shown("<div>" * 50_000 + "x" + "</span></p>" * 50_000) == ["x"]
     assert time.perf_counter() - began < 5
+
+
+def text_of(html):
+    return "\n".join(t for t in pagetext.page_blocks(html)[0] if t)
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ('<body><div class="page-wrapper sidebar-left"><p>Main</p></div></body>', "Main"),
+    ('<body><div id="content" class="has-sidebar right-sidebar"><p>Main</p></div></body>', "Main"),
+    ('<body><form id="aspnetForm"><nav>Menu</nav><article><p>Main text</p></article></form></body>', "Main text"),
+    ('<article><h1 class="page-header">Title</h1><p>Main</p></article>', "Title\nMain"),
+    ('<article><div class="content-header"><h1>Title</h1></div><p>Main</p></article>', "Title\nMain"),
+    ('<article><h2 class="section-header">Part</h2><p>Main</p></article>', "Part\nMain"),
+    # and what is still no content
+    ('<article><p>Main</p></article><form><p>Your name and address please, and more</p></form>', "Main"),
+    ('<article><p>Main</p></article><section class="comments"><article><p>A comment that is longer than all of the page</p></article></section>', "Main"),
+    ('<div class="related-posts"><article><p>Other</p></article></div><main><p>Main</p></main>', "Main"),
+    ('<div><p>Main text of the page</p></div><div class="cookie-notice"><p>We use cookies and so on and so forth, do you agree?</p></div>', "Main text of the page"),
+    ('<div class="page-header"><h1>Site</h1></div><article><p>Main</p></article>', "Main"),
+    ('<div class="sidebar"><p>Side words</p></div><div><p>Main words of the page</p></div>', "Main words of the page"),
+    ('<div hidden><p>Not seen</p></div><p>Seen</p>', "Seen"),
+])
+def test_names_do_not_drop_the_page(html, want):
+    assert text_of(html) == want
+
+
+def test_template_takes_what_no_name_tells(spark):
+    page = '<body><div class="x1"><div>All words of the house.</div></div><div class="y2"><p>Text number {} of {}.</p></div></body>'
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    df = spark.createDataFrame([(i, "http://h.example/x", page.format(w, w[::-1])) for i, w in enumerate(words)], "page_id long, url string, html string")
+    texts = lambda **k: {r["page_id"]: r["text"] for r in pagetext.page_text(df, **k).collect()}
+    assert texts() == {i: f"Text number {w} of {w[::-1]}." for i, w in enumerate(words)}
+    off = texts(min_pages=1000, min_prose_pages=1000)
+    assert all(t.startswith("All words of the house.\n") for t in off.values())
