@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from docmill.functions.words import exact_sum, ranked, score_sum, tokens
 
@@ -164,6 +167,19 @@ def score_pairs(hits: DataFrame, scorer=None) -> DataFrame:
     return hits.withColumn("rerank_score", F.round(1 - i / n, 6))
 
 
+@F.pandas_udf(DoubleType())
+def overlap_scorer(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """A pair scorer without a model: the share of a query's words that the text has, as a logit between -4 and
+    4. A model would be loaded once, before the first batch of a worker."""
+    known: dict[str, frozenset[str]] = {}
+    for query, text in pairs:
+        scores = []
+        for q, t in zip(query, text, strict=True):
+            asked = known.setdefault(q or "", frozenset((q or "").split(" ")) - {""})
+            scores.append(8 * len(asked.intersection((t or "").split(" "))) / max(1, len(asked)) - 4)
+        yield pd.Series(scores, dtype="float64")
+
+
 def tfidf_cosine(hits: DataFrame, text_col: str) -> DataFrame:
     """(query_id, a, b, sim) for the candidates of a query that share a term."""
     word = hits.select("query_id", "chunk_id", F.explode(F.filter(F.split(F.lower(text_col), r"\s+"), lambda w: w != "")).alias("term"))

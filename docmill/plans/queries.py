@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.words import stop_words
-from docmill.operators import cells, chat, enrich, lexical, retrieve, tables, text
+from docmill.operators import cells, chat, enrich, lexical, retrieve, sheets, tables, text
 from docmill.sources import readers
 from docmill.streaming import status
 
@@ -339,6 +339,16 @@ def score_pairs(spark, d):
     return retrieve.score_pairs(hits(spark, d)).select("query_id", "chunk_id", "rerank_score")
 
 
+@query(f"""WITH {HITS}, q AS (SELECT item_id AS query_id, list_filter(list_distinct(string_split(text, ' ')), lambda x: x <> '') AS ws FROM benchmark),
+d AS (SELECT doc_id AS chunk_id, list_distinct(string_split(coalesce(text, ''), ' ')) AS ts FROM documents)
+SELECT query_id, chunk_id, round(1 / (1 + exp(-(8 * len(list_intersect(ws, ts))::DOUBLE / greatest(1, len(ws)) - 4))), 6) AS rerank_score FROM hits JOIN q USING (query_id) JOIN d USING (chunk_id)""")
+def score_pairs_scorer(spark, d):
+    """Every hit scored by a scorer of pairs, its text joined late."""
+    h = hits(spark, d).join(t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
+    h = h.join(t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    return retrieve.score_pairs(h, retrieve.overlap_scorer).select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"))
+
+
 @query(f"""WITH {HITS}, s AS (SELECT query_id, count(*) AS n, round(sum(cast(score AS DECIMAL(28,10)))::DOUBLE / count(*), 6) AS mean FROM hits GROUP BY query_id)
 SELECT *, CASE WHEN n >= 5 AND mean >= 0.5 THEN 'high' WHEN n >= 3 AND mean >= 0.3 THEN 'medium' ELSE 'low' END AS confidence FROM s""")
 def retrieval_confidence(spark, d):
@@ -721,6 +731,16 @@ def chunk_hierarchical(spark, d):
     return text.chunk_hierarchical(t(spark, d, "documents"), "doc_id", "text")
 
 
+@query(r"""WITH s AS (SELECT doc_id, unnest(ss) AS text, generate_subscripts(ss, 1) - 1 AS i FROM
+ (SELECT doc_id, list_filter(list_transform(range(0, ceil(length(t) / cast(300 AS DOUBLE))::BIGINT), lambda k: t[k * 300 + 1:(k + 1) * 300]), lambda x: x <> '') AS ss
+  FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\s', 'x', 'g') AS t FROM documents)))
+SELECT doc_id, i::INT AS parent_idx, 0 AS child_idx, i::INT AS chunk_index, text, lag(text) OVER w AS before, lead(text) OVER w AS after FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)""")
+def chunk_pages(spark, d):
+    """Texts without blanks or separators of sentences fall into plain pieces of the parents' size, with their neighbours."""
+    docs = t(spark, d, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", "x").alias("text"))
+    return text.chunk_pages(docs, "text", (300, 0), (300, 0)).select("doc_id", "parent_idx", "child_idx", "chunk_index", "text", "before", "after")
+
+
 @query("""WITH RECURSIVE s(source, doc_id, len, k) AS (SELECT source, doc_id, length(coalesce(text, '')), 0 FROM documents UNION ALL
  SELECT source, doc_id, CASE WHEN len > 10 THEN greatest(0, len - greatest(10, ceil((total - 19000)::DOUBLE * 4 / n)::BIGINT)) ELSE len END, k + 1
  FROM (SELECT *, sum(ceil(len::DOUBLE / 4)::BIGINT) OVER w AS total, count(*) OVER w AS n, bool_or(len > 10) OVER w AS more FROM s WINDOW w AS (PARTITION BY source)) WHERE total > 19000 AND more)
@@ -1030,17 +1050,70 @@ def flatten_headers(spark, d):
     return tables.flatten_headers(pairs).withColumn("names", F.array_join("names", "|"))
 
 
-@query("""SELECT c_mktsegment, count(*) AS n, false AS truncated FROM customer GROUP BY c_mktsegment""")
+@query("""SELECT c_mktsegment AS name, count(*) AS n, false AS truncated, 'customer_list_csv_c1 suppliers_xlsx_all_s1' AS tables FROM customer GROUP BY c_mktsegment
+UNION ALL SELECT 'suppliers', count(*), false, 'customer_list_csv_c1 suppliers_xlsx_all_s1' FROM supplier""")
 def register_tables(spark, d):
-    """A sheet is registered under its name and asked through it; only missing documents are loaded."""
-    known = tables.register_tables(spark, {("c1", "Customer list.csv", None): t(spark, d, "customer")})
-    wanted = spark.createDataFrame([("c1",), ("s1",)], "doc_id string")
-    rest = {(r["doc_id"], "Suppliers.xlsx", "All"): t(spark, d, "supplier") for r in tables.missing_tables(known, wanted).collect()}
-    names = {r["doc_id"]: r["table_name"] for r in known.union(tables.register_tables(spark, rest)).collect()}
-    rows, _, truncated, error = tables.guarded_select(spark, f"SELECT c_mktsegment, count(*) AS n FROM {names['c1']} GROUP BY c_mktsegment")
+    """Sheets are registered, one is dropped; another session loads only what is missing from its file and asks the tables."""
+    from docmill.sources.registry import Registry
+
+    base = readers.scratch(spark, "registry")
+    made = Registry(spark, base)
+    made.register({("c1", "Customer list.csv", None): t(spark, d, "customer").where("c_custkey > 5"), ("n1", "Nations.csv", None): t(spark, d, "nation")})
+    made.register({("c1", "Customer list.csv", None): t(spark, d, "customer")})
+    made.drop(spark.createDataFrame([("n1",)], "doc_id string"))
+    t(spark, d, "supplier").write.option("header", True).csv(f"{base}/suppliers")
+    other = spark.newSession()
+    known = Registry(other, base)
+    known.reload_from_files(other.createDataFrame([("c1", "Customer list.csv", "gone"), ("s1", "Suppliers.xlsx All", f"{base}/suppliers")], "doc_id string, file string, path string"))
+    names = " ".join(known.open())
+    rows, _, truncated, error = tables.guarded_select(other, "SELECT c_mktsegment AS name, count(*) AS n FROM customer_list_csv_c1 GROUP BY c_mktsegment UNION ALL SELECT 'suppliers', count(*) FROM suppliers_xlsx_all_s1")
     if error:
         raise ValueError(error)
-    return rows.withColumn("truncated", F.lit(truncated))
+    return rows.withColumns({"truncated": F.lit(truncated), "tables": F.lit(names)})
+
+
+def _sheets(spark, d):
+    """A sheet a nation: a seventh of the rows and the third column are blank, two columns have no name."""
+    c = t(spark, d, "customer")
+    some = lambda x: F.when(F.col("c_custkey") % 7 != 0, F.col(x))
+    columns = {"key": some("c_custkey"), "name": some("c_name"), "nothing": F.lit(" "), "Unnamed: 3": some("c_mktsegment"), "Unnamed: 4": some("c_acctbal")}
+    return sheets.repair_sheets(sheets.sheet_grid(c, F.concat(F.lit("n"), "c_nationkey"), F.col("c_custkey"), columns))
+
+
+SHEETS = """c AS (SELECT *, 'n' || c_nationkey AS sheet_id, first(c_mktsegment) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS seg FROM customer WHERE c_custkey % 7 <> 0),
+g AS (SELECT sheet_id, c_custkey::BIGINT AS row, unnest([0, 1, 3, 4]) AS col, unnest(['key', 'name', seg, 'Column_4']) AS name, unnest([c_custkey::VARCHAR, c_name, c_mktsegment, c_acctbal::VARCHAR]) AS value FROM c),
+h AS (SELECT sheet_id, any_value(seg) AS seg, count(*) AS n FROM c GROUP BY sheet_id)"""
+
+
+@query(f"WITH {SHEETS} SELECT sheet_id, row, col::INT AS col, name, value FROM g")
+def repair_sheets(spark, d):
+    return _sheets(spark, d)
+
+
+@query(f"WITH {SHEETS} SELECT sheet_id, col::INT AS col, name, CASE col WHEN 0 THEN 'bigint' WHEN 4 THEN 'double' ELSE 'string' END AS type, count(*) AS n FROM g GROUP BY ALL")
+def sheet_types(spark, d):
+    return sheets.sheet_types(_sheets(spark, d))
+
+
+@query(f"""WITH {SHEETS}, s AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY c_custkey) AS r FROM c QUALIFY r <= 3)
+SELECT sheet_id, 'key (bigint), name (string), ' || seg || ' (string), Column_4 (double)' AS columns, n AS n_rows,
+ (SELECT string_agg('key: ' || c_custkey || ' | name: ' || c_name || ' | ' || s.seg || ': ' || c_mktsegment || ' | Column_4: ' || c_acctbal, chr(10) ORDER BY r) FROM s WHERE s.sheet_id = h.sheet_id) AS sample FROM h""")
+def describe_sheets(spark, d):
+    return sheets.describe_sheets(_sheets(spark, d))
+
+
+@query(f"""WITH {SHEETS}, b AS (SELECT *, dense_rank() OVER (PARTITION BY sheet_id ORDER BY c_custkey // 200) - 1 AS block FROM c),
+x AS (SELECT sheet_id, block, string_agg('| ' || c_custkey || ' | ' || c_name || ' | ' || c_mktsegment || ' | ' || c_acctbal || ' |', chr(10) ORDER BY c_custkey) AS t FROM b GROUP BY ALL)
+SELECT sheet_id, block::INT AS block, CASE WHEN block = 0 THEN concat_ws(chr(10), 'Sheet: ' || sheet_id, 'Columns: key, name, ' || seg || ', Column_4', 'Rows: ' || n, '', '| key | name | ' || seg || ' | Column_4 |', '| --- | --- | --- | --- |', t) ELSE t END AS text
+FROM x JOIN h USING (sheet_id)""")
+def sheets_text(spark, d):
+    return sheets.sheets_text(_sheets(spark, d), 200)
+
+
+@query(f"""WITH {SHEETS} SELECT sheet_id, unnest(['Rows', 'key sum', 'key mean', 'Column_4 sum', 'Column_4 mean']) AS metric,
+ unnest([count(*)::DOUBLE, sum(c_custkey)::DOUBLE, round(sum(c_custkey)::DOUBLE / count(*), 6), sum(cast(c_acctbal AS DECIMAL(28,10)))::DOUBLE, round(sum(cast(c_acctbal AS DECIMAL(28,10)))::DOUBLE / count(*), 6)]) AS value FROM c GROUP BY sheet_id""")
+def sheets_metrics(spark, d):
+    return sheets.sheets_metrics(_sheets(spark, d))
 
 
 @query("SELECT 'sql' AS how, p_partkey, p_size FROM part WHERE p_size > 45 UNION ALL SELECT 'sql', p_partkey, p_size FROM part WHERE p_size = 7 UNION ALL SELECT 'extract', p_partkey, p_size FROM part WHERE p_size <= 5 UNION ALL SELECT 'document', p_partkey, p_size FROM part WHERE p_size > 40")

@@ -78,10 +78,15 @@ def delete_documents(rows: DataFrame, deletes: DataFrame, keys: list[str]) -> Da
 
 def delete_cascade(tables: dict[str, DataFrame], deletes: DataFrame, thread_col: str = "thread_id", doc_col: str = "document_id") -> dict[str, DataFrame]:
     """All ``tables`` of an index (chunks, triples, tables and so on) without the deleted documents
-    (thread, document). Where there are ``postings`` and ``chunks`` (chunk_id, text), BM25 is
-    weighed anew for the threads that lost a document, and only for those."""
+    (thread, document). A table without threads keeps a document that the ``chunks`` of another
+    thread still hold. Where there are ``postings`` and ``chunks`` (chunk_id, text), BM25 is weighed
+    anew for the threads that lost a document, and only for those."""
     gone = deletes.select(thread_col, doc_col).distinct()
-    left = {name: delete_documents(df, gone, [thread_col, doc_col] if thread_col in df.columns else [doc_col]) for name, df in tables.items() if name != "postings"}
+    left = {name: delete_documents(df, gone, [thread_col, doc_col]) for name, df in tables.items() if name != "postings" and thread_col in df.columns}
+    lost = gone.select(doc_col).distinct()
+    if "chunks" in left:
+        lost = lost.join(left["chunks"].select(doc_col).distinct(), doc_col, "left_anti")
+    left |= {name: delete_documents(df, lost, [doc_col]) for name, df in tables.items() if name != "postings" and thread_col not in df.columns}
     if "postings" in tables:
         touched = gone.select(F.col(thread_col).alias("thread")).distinct()
         rest = tables["postings"].join(touched, "thread", "left_anti")
