@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.scratch import scratch
-from docmill.functions.words import SYNONYMS, ascii_words, ranked, stop_words
+from docmill.functions.words import SYNONYMS, ascii_words, ranked, stop_words, tokens
 
 SENTENCE = r"(?<=[.!?])\s+"
 #: A word of a text, and a word that can be part of a name. One class each, nothing repeated but
@@ -18,18 +22,31 @@ START, END = "\x01", "\x02"
 
 
 def document_keywords(df: DataFrame, id_col: str, text_col: str, top_n: int = 8) -> DataFrame:
-    """(id, rank, word, n): the most frequent words; ties by first appearance. All of it happens in
-    the row: equal words stand together once sorted with their places, and runs are counted."""
-    sorted_ = F.array_sort(F.transform(ascii_words(text_col), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    rows = df.select(id_col, sorted_.alias("s"))
-    # the first of each run of equal words, and the place of the next run's first
-    starts = F.filter(F.transform("s", lambda x, k: F.when((k == 0) | (F.get("s", k - 1)["w"] != x["w"]), k)), lambda k: k.isNotNull())
-    rows = rows.select(id_col, "s", starts.alias("at"))
-    runs = F.transform("at", lambda k, j: F.struct(
-        (k - F.coalesce(F.get("at", j + 1), F.size("s"))).alias("n"), F.get("s", k)["i"].alias("i"), F.get("s", k)["w"].alias("w")))
-    top = F.slice(F.array_sort(runs), 1, top_n)
-    out = rows.select(id_col, F.posexplode(top).alias("p", "r"))
-    return out.select(id_col, (F.col("p") + 1).alias("rank"), F.col("r.w").alias("word"), (-F.col("r.n")).cast("long").alias("n"))
+    """(id, rank, word, n): the most frequent words; ties by first appearance. A text's words are counted where
+    it lies: each batch is coded once, and its distinct words alone are held against the stop words."""
+    own = df.select(F.col(id_col).alias("_id"), tokens(text_col).alias("_words"))
+    stops, word = frozenset(stop_words()), re.compile("[a-z]{3,}")
+
+    def count(batches):
+        for b in batches:
+            words = b.column("_words")
+            codes = words.flatten().dictionary_encode()
+            known = codes.dictionary.to_pylist()
+            good = np.fromiter((w not in stops and bool(word.fullmatch(w)) for w in known), bool, len(known))
+            row = np.repeat(np.arange(b.num_rows, dtype=np.int64), pa.compute.list_value_length(words).to_numpy(zero_copy_only=False))
+            code = codes.indices.to_numpy(zero_copy_only=False)
+            row, code = row[good[code]], code[good[code]]
+            key, first, n = np.unique(row * max(1, len(known)) + code, return_index=True, return_counts=True)
+            row, code = np.divmod(key, max(1, len(known)))
+            order = np.lexsort((first, -n, row))
+            row, code, n = row[order], code[order], n[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+            kept = rank <= top_n
+            columns = [b.column("_id").take(pa.array(row[kept])), pa.array(rank[kept].astype(np.int32)), codes.dictionary.take(pa.array(code[kept])), pa.array(n[kept])]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "rank", "word", "n"])
+
+    out = own.mapInArrow(count, f"_id {own.schema['_id'].dataType.simpleString()}, rank int, word string, n long")
+    return out.withColumnRenamed("_id", id_col)
 
 
 def heading_of(text):
