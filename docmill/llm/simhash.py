@@ -5,8 +5,8 @@ one vantage-point tree partitions the distinct fingerprints by Hamming distance:
 vantage point and a radius, points within the radius go in, others out. On its piece a
 fingerprint looks for equal values only (a ball of radius zero), so it goes to one leaf a tree:
 ``max_bits`` + 1 copies however deep the trees are. A leaf with over ``most_rows`` fingerprints
-is dealt again by the pieces of the bits left, so fingerprints with equal pieces are split as
-well. Inside a leaf a second tree over the whole fingerprints forms shards, and each fingerprint
+is dealt again by its piece and then by the bits that vary in it, until no group is larger
+(``leaf_groups``), so any number of fingerprints with equal pieces is shared among tasks. Inside a leaf a second tree over the whole fingerprints forms shards, and each fingerprint
 queries those that its ball of ``max_bits`` reaches by the triangle bound (in if d - max_bits <=
 radius, out if d + max_bits > radius); pairs are compared exactly there. A leaf returns a
 spanning forest, not pairs.
@@ -82,10 +82,10 @@ def piece(u: np.ndarray, low: int, bits: int) -> np.ndarray:
     return (u >> np.uint64(low)) & np.uint64((1 << bits) - 1)
 
 
-def without_piece(u: np.ndarray, low: int, bits: int) -> np.ndarray:
-    """The bits outside a piece, moved together."""
-    above = u >> np.uint64(low + bits) if low + bits < 64 else np.zeros_like(u)
-    return (above << np.uint64(low)) | piece(u, 0, low)
+def shares(varying: int, pieces: int) -> list[int]:
+    """The set bits of ``varying`` dealt into ``pieces`` masks of neighbouring bits."""
+    at = [i for i in range(64) if varying >> i & 1]
+    return [sum(1 << i for i in at[a : a + n]) for a, n in piece_bounds(len(at), pieces)]
 
 
 def build_tree(points: np.ndarray, depth: int, bits: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -159,8 +159,12 @@ def compare_leaf(fps: np.ndarray, max_bits: int, shard_rows: int = 256, block: i
     return fps[tied], fps[lab[tied]]
 
 
-def tree_links(distinct: DataFrame, max_bits: int = 3, leaf_rows: int = 1024, most_rows: int = 8192, sample_per_leaf: int = 16, cut=cut) -> DataFrame:
-    """(a, b): links of ``distinct`` (fp long, no two equal) that connect all fingerprints at most ``max_bits`` apart."""
+def leaf_groups(distinct: DataFrame, max_bits: int, leaf_rows: int, most_rows: int, sample_per_leaf: int, cut=cut) -> DataFrame:
+    """(leaf, sub, fp): groups of which at least one holds both ends of any link. A leaf of over
+    ``most_rows`` is dealt by its tree's piece, as links agree in one; a group still larger by the
+    bits that vary in it, in ``max_bits`` + 1 shares, in one of which a link agrees, and so on. Each
+    step leaves fewer varying bits, and n of them tell only 2**n fingerprints apart, so no group
+    stays larger."""
     n = distinct.count()
     parts = piece_bounds(64, max_bits + 1)
     most_depth = int(np.log2(MAX_SAMPLE / sample_per_leaf))
@@ -179,23 +183,36 @@ def tree_links(distinct: DataFrame, max_bits: int = 3, leaf_rows: int = 1024, mo
 
     def split(batches):
         for b in batches:
-            for t, own in b.groupby(b["leaf"] // 2**depth):
-                fps, (low, bits) = own["fp"].to_numpy(np.int64), parts[t]
-                rest = without_piece(fps.view(np.uint64), low, bits)
-                for q, (lo, n_bits) in enumerate(piece_bounds(64 - bits, max_bits + 1)):
-                    value = piece(rest, lo, n_bits).astype(np.int64)
-                    yield pd.DataFrame({"leaf": own["leaf"], "sub": (q << n_bits) | value, "fp": fps})
+            for (t, whole, varying), own in b.groupby([b["leaf"] // 2**depth, b["sub"] == -1, b["varying"]]):
+                low, bits = parts[t]
+                masks = [((1 << bits) - 1) << low] if whole else shares(int(varying) & 2**64 - 1, max_bits + 1)
+                fps = own["fp"].to_numpy(np.int64)
+                for q, mask in enumerate(masks):
+                    value = (fps.view(np.uint64) & np.uint64(mask)).view(np.int64)
+                    yield pd.DataFrame({"leaf": own["leaf"], "sub": own["sub"], "q": q, "value": value, "fp": fps})
+
+    todo = distinct.select("fp").mapInPandas(visits, "leaf long, sub long, fp long")
+    done = None
+    while True:
+        varying = F.bit_or("fp").bitwiseAND(F.bitwise_not(F.bit_and("fp"))).alias("varying")
+        size = todo.groupBy("leaf", "sub").agg(F.count(F.lit(1)).alias("n"), varying)
+        big = cut(size.where(F.col("n") > max(most_rows, 2**max_bits)).drop("n"), "big_leaves")
+        if big.isEmpty():
+            return todo if done is None else done.unionByName(todo)
+        rest = todo.join(big, ["leaf", "sub"], "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        again = todo.join(big, ["leaf", "sub"]).mapInPandas(split, "leaf long, sub long, q int, value long, fp long")
+        todo = cut(again.select("leaf", F.xxhash64("sub", "q", "value").alias("sub"), "fp"), "split_leaves")
+
+
+def tree_links(distinct: DataFrame, max_bits: int = 3, leaf_rows: int = 1024, most_rows: int = 8192, sample_per_leaf: int = 16, cut=cut) -> DataFrame:
+    """(a, b): links of ``distinct`` (fp long, no two equal) that connect all fingerprints at most ``max_bits`` apart."""
 
     def compare(pdf):
         a, b = compare_leaf(pdf["fp"].to_numpy(np.int64), max_bits)
         return pd.DataFrame({"a": a, "b": b})
 
-    shape = "leaf long, sub long, fp long"
-    sent = distinct.select("fp").mapInPandas(visits, shape)
-    big = cut(sent.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_rows).select("leaf"), "big_leaves")
-    if not big.isEmpty():
-        again = sent.join(big, "leaf", "left_semi").mapInPandas(split, shape)
-        sent = sent.join(big, "leaf", "left_anti").unionByName(again)
+    sent = leaf_groups(distinct, max_bits, leaf_rows, most_rows, sample_per_leaf, cut)
     return cut(sent.groupBy("leaf", "sub").applyInPandas(compare, "a long, b long"), "links")
 
 

@@ -94,6 +94,9 @@ def test_trees_find_every_link_and_split_equal_pieces(spark):
         links = simhash.tree_links(rows, 3, **options).collect()
         pairs = [tuple(np.array([r["a"], r["b"]], np.int64).view(u64).tolist()) for r in links]
         assert classes(fps.tolist(), pairs) == want
+    for most in (100, 12):
+        sizes = simhash.leaf_groups(rows, 3, 64, most, 16).groupBy("leaf", "sub").count()
+        assert sizes.agg({"count": "max"}).first()[0] <= most
     for size in (8, 64, 5000):
         a, b = simhash.compare_leaf(fps.view(np.int64), 3, shard_rows=size)
         assert classes(fps.tolist(), zip(a.view(u64).tolist(), b.view(u64).tolist(), strict=True)) == want
