@@ -8,8 +8,9 @@ probability ``recall``. Pairs that reach it are verified by cosine in double pre
 Which pairs are counted: further lines cut the rows of a label into cells by their signs, in
 several tables. A cell holds about ``cell_rows`` rows, and there are as many tables as it takes
 for a pair at the least cosine to share a cell with probability ``recall`` (none but one for a
-label of ``cell_rows``). Inside a cell every line is sorted, query-centred windows are counted,
-and a pair that shares several cells counts in its first. With n rows a label, the bits of a cell
+label of ``cell_rows``). Cells only partition: inside one, every line is sorted, the windows around
+its rows generate pair keys, keys are counted, and only pairs whose count reaches the threshold are
+verified. A pair that shares several cells counts in its first. With n rows a label, the bits of a cell
 grow with log n and the tables with n to the power of 0.18 at a cosine of 0.93, so the work
 grows with about n^1.2, not with its square. Equal vectors of a label are one, with a weight. Cells
 over ``most_rows`` are dealt into blocks and compared block by block. Tasks return link counts
@@ -59,19 +60,38 @@ def units(values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(ok), x[ok] / norm[ok, None]
 
 
-def collisions(p: np.ndarray, q: np.ndarray, window: float) -> np.ndarray:
-    """How many lines put row j of ``q`` in the window around row i of ``p``."""
-    count = np.zeros((len(p), len(q)), np.int16)
-    place = np.arange(len(q))
+def collisions(p: np.ndarray, q: np.ndarray, window: float, same: bool) -> np.ndarray:
+    """How often each pair key (i * len(q) + j) collides. On every line, the sorted rows of ``q`` inside
+    the window around row i of ``p`` make its keys. With ``same`` (p is q) a row looks only
+    ahead in the order, so a pair has one key, its smaller index first."""
+    count = np.zeros(len(p) * len(q), np.uint16)
     for k in range(p.shape[1]):
-        order = np.argsort(q[:, k])
+        order = np.argsort(q[:, k], kind="stable")
         line = q[order, k]
-        first = np.searchsorted(line, p[:, k] - window, "left")[:, None]
-        last = np.searchsorted(line, p[:, k] + window, "right")[:, None]
-        count[:, order] += (place >= first) & (place < last)
+        if same:
+            asks, first, last = order, np.arange(1, len(q) + 1), np.searchsorted(line, line + window, "right")
+        else:
+            asks, first, last = np.arange(len(p)), *(np.searchsorted(line, p[:, k] + x, side) for x, side in ((-window, "left"), (window, "right")))
+        width = last - first
+        i = np.repeat(asks, width)
+        j = order[np.arange(len(i)) + np.repeat(first - np.cumsum(width) + width, width)]
+        count[np.minimum(i, j) * len(q) + np.maximum(i, j) if same else i * len(q) + j] += 1  # no key twice on a line
     return count
 
 
+def cosines(ua: np.ndarray, ub: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of the pairs (i ascending, j) of unit vectors, 128 rows of ``ua`` at a time."""
+    out = np.zeros(len(i))
+    for k in range(0, len(ua), 128):
+        s = slice(*np.searchsorted(i, [k, k + 128]))
+        a, b = i[s], j[s]
+        if 8 * len(a) > 128 * len(ub):
+            out[s] = (ua[k : k + 128] @ ub.T)[a - k, b]
+        elif len(a):
+            out[s] = np.einsum("ij,ij->i", ua[a], ub[b])
+    return out
+
+
 def plan_cells(n: int, min_cosine: float, recall: float, cell_rows: int) -> tuple[int, int]:
     """Bits of a cell and number of tables for ``n`` rows."""
     bits = min(24, max(0, ceil(log2(max(n, 1) / cell_rows))))
@@ -147,17 +167,16 @@ def link_vectors(
         plan = plan_cells(rows, min_cosine, recall, cell_rows)
         ca, cb = (cell_codes(u, *plan)[:, :t] for u in (ua, ub))
         out = []
-        for k in range(0, len(ua), 128):  # where a block holds copies alone, all its pairs pass
-            some = collisions(pa[k : k + 128], pb, window) >= least
-            if some.any():
-                i, j = np.nonzero(some & (ua[k : k + 128] @ ub.T >= min_cosine))
-                i += k
-                keep = (i < j) if same else np.ones(len(i), bool)
-                for c in range(t):
-                    keep &= ca[i, c] != cb[j, c]
-                out.append((i[keep], j[keep]))
-        none = np.zeros(0, np.int64)
-        return tuple(np.concatenate([none, *x]) for x in (zip(*out, strict=True) if out else ((), ())))
+        for k in range(0, len(ua), len(ua) if same else 256):
+            a = slice(None) if same else slice(k, k + 256)
+            i, j = np.divmod(np.flatnonzero(collisions(pa[a], pb, window, same) >= least), len(ub))
+            keep = cosines(ua[a], ub, i, j) >= min_cosine
+            i, j = i[keep] + k, j[keep]
+            new = np.ones(len(i), bool)
+            for c in range(t):
+                new &= ca[i, c] != cb[j, c]
+            out.append((i[new], j[new]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def found(rows, weight, i, j):
         """Links (as weights) and a forest of the rows at i and j."""

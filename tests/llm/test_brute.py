@@ -261,6 +261,18 @@ def test_vectors(spark):
         assert {r["vec_id"]: r["component_id"] for r in out} == classes([r[0] for r in rows], links)
 
 
+def test_pair_keys_are_the_windows_collisions():
+    rng = np.random.default_rng(3)
+    p, q = rng.standard_normal((40, 6)), np.repeat(rng.standard_normal((30, 6)), 2, axis=0)  # with ties
+    count = vectors.collisions(p, q, 0.7, False).reshape(40, 60)
+    assert (count == (np.abs(p[:, None] - q[None]) <= 0.7).sum(axis=2)).all()
+    own = vectors.collisions(q, q, 0.7, True).reshape(60, 60)
+    assert (own == np.triu((np.abs(q[:, None] - q[None]) <= 0.7).sum(axis=2), 1)).all()
+    u = q / np.linalg.norm(q, axis=1)[:, None]
+    for i, j in (np.nonzero(own >= 5), np.nonzero(own >= 0)):  # a few pairs of a block, and all of them
+        assert np.allclose(vectors.cosines(u, u, i, j), (u @ u.T)[i, j])
+
+
 def test_vectors_recall_in_many_cells(spark):
     """Pairs just above the threshold, copies that weigh, and one label of many cells."""
     rng = np.random.default_rng(6)
