@@ -29,10 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm._common import Scratch, WordHashes, components
+from docmill.llm._common import Scratch, WordHashes, components, held, small_batches
 from docmill.llm._common import cut as save
 
 SAMPLE, MAX_COMMON = 4000, 1 << 18
+KNOWN_BYTES = 32 << 20
 
 
 MIX = np.uint64(0x9FB21C651E98DF25)
@@ -104,6 +105,7 @@ def near_duplicates(
     """(id, key, label, component_id, *keys) of each row with a text. Equal labels: one class;
     component_id is the smallest id in it. ``seeds`` (the columns ``keys``, tree) names rows that
     may be alike."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     cut = scratch.cut
     of = lambda c: docs.schema[c].dataType.simpleString()
@@ -118,7 +120,7 @@ def near_duplicates(
     step = max(1, each.count() // SAMPLE)
 
     def sampled(batches):
-        hashes = WordHashes()
+        hashes = held("words", WordHashes)
         for b in batches:
             for text in b["_text"]:
                 if (key := line_key(word_line(text))) % step == 0:
@@ -131,7 +133,7 @@ def near_duplicates(
     common, place = common[order], (len(common) - order).astype(np.int64)
 
     def leads(batches):
-        hashes = WordHashes()
+        hashes = held("words", WordHashes)
         for b in batches:
             sets = [shingles(hashes(t), shingle_words) for t in b["_text"]]
             keys_, sizes = [line_key(word_line(t)) for t in b["_text"]], list(map(len, sets))
@@ -159,12 +161,14 @@ def near_duplicates(
             yield pd.DataFrame({"key": [line_key(x) for x in lines], "line": lines})
 
     def verify(batches):
-        hashes = WordHashes()
+        hashes, known, size = held("words", WordHashes), {}, 0
         for b in batches:
-            known = {}
+            if size > KNOWN_BYTES:
+                known, size = {}, 0
             for line in (*b["x"], *b["y"]):
                 if line not in known:
                     known[line] = shingles(hashes(line.decode("utf-8", "surrogatepass")), shingle_words)
+                    size += len(line) + known[line].nbytes
             yield b.loc[[similarity(known[x], known[y]) >= threshold - 1e-9 for x, y in zip(b["x"], b["y"], strict=True)], ["a", "b"]]
 
     def both(pairs, values):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm._common import table
+from docmill.llm._common import small_batches, table
 
 # A private key: its header and all up to the matching footer, before which no other dashes stand.
 # Where that is missing, the base64 that follows: a run on the header's line, then header fields,
@@ -188,6 +188,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def mask_secrets(docs: DataFrame, text_col: str = "text", rules=RULES, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span, overlapping ones together, replaced by ``mask``; null texts stay null."""
 
+    small_batches(docs.sparkSession)
     at_text = docs.columns.index(text_col)
 
     def run(batches):

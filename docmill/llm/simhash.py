@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import jaccard
-from docmill.llm._common import Scratch, components, cut, row_keys, table
+from docmill.llm._common import Scratch, components, cut, let_go, row_keys, small_batches, table
 
 MAX_SAMPLE = 1 << 20
 
@@ -60,8 +60,10 @@ def fingerprints(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, keys: tuple[str, ...] = ()
 ) -> DataFrame:
     """(id, fp, *keys): fp is the fingerprint as a signed long."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
+        let_go()
         for b in batches:
             fps = np.array([fingerprint(t, shingle_words) for t in b["_text"]], np.uint64)
             yield pd.DataFrame({"_id": b["_id"], "_fp": fps.view(np.int64)} | {k: b[k] for k in keys})
