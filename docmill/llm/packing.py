@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm._common import cut, table
+from docmill.llm._common import cut, held, small_batches, table
 
 CACHED_WORDS, CACHED_CHARS, LINE_WORDS = 300_000, 40, 64
 SEPARATOR = "~"
@@ -88,14 +88,9 @@ class WordEncoder:
         return made
 
 
-ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """One for each Python worker, which outlives its tasks."""
-    if path not in ENCODERS:
-        ENCODERS[path] = WordEncoder(path)
-    return ENCODERS[path]
+    """One for each Python worker, until it turns to other work."""
+    return held(("encoder", path), lambda: WordEncoder(path))
 
 
 def pieces(
@@ -110,6 +105,7 @@ def pieces(
     """(id, piece, start, length, ids, part, nth): each document's ids and ``end_id``, cut at
     ``capacity``; ``ids`` are little-endian unsigned 32-bit bytes. ``part`` is the task, and
     ``nth`` counts its pieces of a length, so the pieces must be written before they are packed."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
