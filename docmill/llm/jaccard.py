@@ -4,8 +4,11 @@ Texts are linked if their sets of ``shingle_words``-word shingles have a Jaccard
 ``threshold`` or more. Under any one order of all shingles such sets share one of the first
 n - ceil(threshold n) + 1 of their n shingles, so texts that share such a shingle are the
 candidates and no link is lost. The order puts shingles that are common in a bounded sample
-last; the sample decides how many candidates there are, not which links are found. In two
-rounds each shingle's texts are compared with one of them and linked texts are contracted; then
+last, and before them those that lead over ``BUSY`` texts of the whole table, which a passage's do
+whose share of the texts is too small for the sample: else a passage's candidates would grow with
+the square of its texts. They are counted once, and again for each factor of ``FEWER`` that the
+table has over the sample, as shingles that take their place may be of the same passage. The
+order decides how many candidates there are, not which links are found. In two rounds each shingle's texts are compared with one of them and linked texts are contracted; then
 all pairs of texts that are not yet connected are compared. Pairs of long texts go by their
 sketches first (128 bins of the shingles' hashes, eight bits of the least in each): under half
 of the bins agree for a pair at 0.8 with a chance of about 1e-12. Whole sets decide on the rest.
@@ -33,6 +36,7 @@ from docmill.llm._common import Scratch, WordHashes, components, held, small_bat
 from docmill.llm._common import cut as save
 
 SAMPLE, MAX_COMMON = 4000, 1 << 18
+BUSY, FEWER = 16, 64
 KNOWN_BYTES = 32 << 20
 
 
@@ -128,23 +132,32 @@ def near_duplicates(
 
     seen = rows.select("_text").mapInPandas(sampled, "hash long, key long").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
     top = seen.where("n > 2").orderBy(F.desc("n"), "hash").limit(MAX_COMMON).toPandas()
-    common = top["hash"].to_numpy(np.int64)
-    order = np.argsort(common)
-    common, place = common[order], (len(common) - order).astype(np.int64)
-
-    def leads(batches):
-        hashes = held("words", WordHashes)
-        for b in batches:
-            sets = [shingles(hashes(t), shingle_words) for t in b["_text"]]
-            keys_, sizes = [line_key(word_line(t)) for t in b["_text"]], list(map(len, sets))
-            first = [leading(own, common, place, threshold) for own in sets]
-            times = list(map(len, first))
-            if sets:
-                each = {"hash": np.concatenate(first), "key": np.repeat(keys_, times), "size": np.repeat(sizes, times), "sketch": None}
-                yield pd.DataFrame(each)
-                yield pd.DataFrame({"hash": None, "key": keys_, "size": sizes, "sketch": list(map(sketch, sets))})
-
-    made = cut(rows.select("_text").mapInPandas(leads, "hash long, key long, size int, sketch binary"), "leads")
+    late = top["hash"].to_numpy(np.int64)  # from the last of the order to the first after all others
+
+    def leads(late, count_only=False):
+        by = np.argsort(late)
+        common, place = late[by], (len(late) - by).astype(np.int64)
+
+        def run(batches):
+            hashes = held("words", WordHashes)
+            for b in batches:
+                sets = [shingles(hashes(t), shingle_words) for t in b["_text"]]
+                first = [leading(own, common, place, threshold) for own in sets]
+                if sets and count_only:
+                    yield pd.DataFrame({"hash": np.concatenate(first)})
+                elif sets:
+                    keys_, sizes, times = [line_key(word_line(t)) for t in b["_text"]], list(map(len, sets)), list(map(len, first))
+                    each = {"hash": np.concatenate(first), "key": np.repeat(keys_, times), "size": np.repeat(sizes, times), "sketch": None}
+                    yield pd.DataFrame(each)
+                    yield pd.DataFrame({"hash": None, "key": keys_, "size": sizes, "sketch": list(map(sketch, sets))})
+
+        return rows.select("_text").mapInPandas(run, "hash long" if count_only else "hash long, key long, size int, sketch binary")
+
+    for _ in range(math.ceil(math.log(step, FEWER))):
+        busy = leads(late, count_only=True).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUSY)
+        busy = busy.orderBy(F.desc("n"), "hash").limit(MAX_COMMON + len(late)).toPandas()["hash"].to_numpy(np.int64)
+        late = np.concatenate([late, busy[~np.isin(busy, late)][:MAX_COMMON]])
+    made = cut(leads(late), "leads")
     entries = made.where("hash is not null").select("hash", "key", "size")
     shared = cut(entries.groupBy("hash").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("hash"), "common")
     entries = cut(entries.join(shared, "hash", "left_semi").distinct(), "shared")

@@ -49,3 +49,24 @@ def test_stage_drops_copies_that_fingerprints_miss(spark):
     want = {r["component_id"] for r in jaccard.near_duplicates(docs).collect() if r["doc_id"] is not None}
     assert out == want | {None, 900, 901}
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_a_passage_too_rare_for_the_sample_makes_no_pairs_of_all_its_texts(spark, monkeypatch):
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    passage = text(40)
+    rows = [(i, f"{text(200)} {passage}" if i % 5 == 0 else text(240)) for i in range(600)]
+    rows += [(600 + i, rows[i][1].replace(" u", " v", 3)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, cut = {}, jaccard.Scratch.cut
+
+    def counted(self, df, name="cut"):
+        out = cut(self, df, name)
+        made[name] = made.get(name, 0) + (out.count() if name == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(jaccard.Scratch, "cut", counted)
+    monkeypatch.setattr(jaccard, "SAMPLE", 6)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {i: i if i < 600 else i - 600 for i in range(640)}
+    assert made["pairs"] < 1500  # 128 texts share the passage: 8,128 pairs
