@@ -15,6 +15,7 @@ table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import os
+import string
 from bisect import bisect_right
 from collections import Counter
 
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from docmill.llm._common import cut, held, small_batches, table
 
-CACHED_WORDS, CACHED_CHARS, LINE_WORDS = 300_000, 40, 64
-SEPARATOR = "~"
+CACHED_WORDS, CACHED_CHARS, LINE_WORDS = 150_000, 40, 64
+SEPARATOR, PUNCTUATION = "~", string.punctuation.encode()
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -39,16 +40,24 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes. A tokenizer that drops white space
     and never joins over it encodes each distinct word once, and texts are lookups; any other
-    encodes whole texts. Words used lately are remembered, in two generations."""
+    encodes whole texts. About twice ``cached_words`` words used lately are
+    remembered, in two generations."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.cached_words = cached_words
         one, two, mark = self._ids(["word", "other", SEPARATOR])
         self.by_word = self._ids([" word \n\tother\r"]) == [one + two] and len(mark) == 4
         self.mark = np.frombuffer(mark, "<u4")[0]
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        signs = [*PUNCTUATION.decode(), PUNCTUATION.decode()]
+        parted = self._ids([f"other{s}" for s in signs]) == [two + s for s in self._ids(signs)]
+        self.has_ends = bool(parted and self.ends.any())
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(c.ids, "<u4").tobytes() for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -67,11 +76,34 @@ class WordEncoder:
                 out += self._ids([w.decode() for w in line])
         return out
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Adds words to the known ones. Letters, or letters and punctuation after them, need no
+        marks if the vocabulary tells which ids end a run of either: a word has one or two ends.
+        A line with more or fewer ends than that is encoded with marks."""
+        known, plain, sizes, others = self.known, [], [], []
+        for w in words:
+            letters = w.rstrip(PUNCTUATION)
+            if self.has_ends and (letters.isalpha() or letters.decode().isalpha()):
+                plain.append(w)
+                sizes.append(1 if len(letters) == len(w) else 2)
+            else:
+                others.append(w)
+        lines = [plain[i : i + LINE_WORDS] for i in range(0, len(plain), LINE_WORDS)]
+        for k, (line, coded) in enumerate(zip(lines, self._ids([b" ".join(x).decode() for x in lines]), strict=True)):
+            last = np.cumsum(sizes[k * LINE_WORDS : k * LINE_WORDS + len(line)])
+            ends = 4 * np.flatnonzero(self.ends[np.frombuffer(coded, "<u4")]) + 4
+            if len(ends) == last[-1] and ends[-1] == len(coded):
+                stops = ends[last - 1].tolist()
+                known.update((w, coded[a:b]) for w, a, b in zip(line, [0, *stops], stops))  # noqa: B905
+            else:
+                others += line
+        known.update(zip(others, self._words(others), strict=True))
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return self._ids([(t or "").encode("utf-8", "replace").decode() for t in texts])
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > self.cached_words:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         missing = set().union(*split).difference(known)
@@ -79,8 +111,7 @@ class WordEncoder:
         known.update((w, older[w]) for w in seen)
         new = list(missing - seen)
         for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            known.update(zip(part, self._words(part), strict=True))
+            self._learn(new[i : i + 20_000])
         made = [b"".join(map(known.__getitem__, words)) for words in split]
         for w in new:
             if len(w) > CACHED_CHARS:
@@ -88,9 +119,9 @@ class WordEncoder:
         return made
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cached_words: int = CACHED_WORDS) -> WordEncoder:
     """One for each Python worker, until it turns to other work."""
-    return held(("encoder", path), lambda: WordEncoder(path))
+    return held(("encoder", path, cached_words), lambda: WordEncoder(path, cached_words))
 
 
 def pieces(
@@ -101,6 +132,7 @@ def pieces(
     id_col: str = "doc_id",
     text_col: str = "text",
     batch_chars: int = 4_000_000,
+    cached_words: int = CACHED_WORDS,
 ) -> DataFrame:
     """(id, piece, start, length, ids, part, nth): each document's ids and ``end_id``, cut at
     ``capacity``; ``ids`` are little-endian unsigned 32-bit bytes. ``part`` is the task, and
@@ -110,7 +142,7 @@ def pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = encoder(tokenizer or public_tokenizer())
+        encode = encoder(tokenizer or public_tokenizer(), cached_words)
         part_id, seen = TaskContext.get().partitionId(), Counter()
         for b in batches:
             ids, texts = b["_id"].tolist(), b["_text"].tolist()
@@ -229,6 +261,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
 
 
 def op9_packing(spark, sf_dir):
-    """The digest of each piece's ids comes from the ids themselves; only the digest is written."""
-    made = pieces(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids"))
+    """The digest of each piece's ids comes from the ids themselves; only the digest is written.
+    No other stage needs the workers' memory, so they remember more words than by default."""
+    made = pieces(table(spark, sf_dir, "documents"), cached_words=500_000).withColumn("ids_crc32", F.crc32("ids"))
     return pack(cut(made.drop("ids"), "pieces"))
