@@ -118,12 +118,14 @@ def features(text: str | None, grade) -> list[float]:
 class Grader:
     """Best lower bound of a word's terms; remembers words."""
 
+    CACHED = 150_000
+
     def __init__(self, lexicon: dict[str, tuple[int, int]]):
         self.lexicon, self.known = lexicon, {}
         self.score = {t: bound(*c) for t, c in lexicon.items()}
 
     def __call__(self, words: list[str]) -> list[float]:
-        if len(self.known) > 300_000:
+        if len(self.known) > self.CACHED:
             self.known = {}
         known, score = self.known, self.score
         for w in set(words).difference(known):
