@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm._common import Scratch, WordHashes, components, held, small_batches
+from docmill.llm._common import Scratch, WordHashes, components, held, lean, small_batches
 from docmill.llm._common import cut as save
 
 SAMPLE, MAX_COMMON = 4000, 1 << 18
@@ -120,7 +120,7 @@ def near_duplicates(
             made = np.array([line_key(word_line(t)) for t in b["_text"]], np.int64)
             yield pd.DataFrame({"_id": b["_id"], "key": made} | {k: b[k] for k in keys})
 
-    each = cut(rows.mapInPandas(keyed, f"_id {of(id_col)}, key long" + "".join(f", `{k}` {of(k)}" for k in keys)), "keys")
+    each = cut(rows.mapInPandas(lean(keyed), f"_id {of(id_col)}, key long" + "".join(f", `{k}` {of(k)}" for k in keys)), "keys")
     step = max(1, each.count() // SAMPLE)
 
     def sampled(batches):
@@ -130,7 +130,7 @@ def near_duplicates(
                 if (key := line_key(word_line(text))) % step == 0:
                     yield pd.DataFrame({"hash": shingles(hashes(text), shingle_words)}).assign(key=key)
 
-    seen = rows.select("_text").mapInPandas(sampled, "hash long, key long").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    seen = rows.select("_text").mapInPandas(lean(sampled), "hash long, key long").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
     top = seen.where("n > 2").orderBy(F.desc("n"), "hash").limit(MAX_COMMON).toPandas()
     late = top["hash"].to_numpy(np.int64)  # from the last of the order to the first after all others
 
@@ -151,7 +151,7 @@ def near_duplicates(
                     yield pd.DataFrame(each)
                     yield pd.DataFrame({"hash": None, "key": keys_, "size": sizes, "sketch": list(map(sketch, sets))})
 
-        return rows.select("_text").mapInPandas(run, "hash long" if count_only else "hash long, key long, size int, sketch binary")
+        return rows.select("_text").mapInPandas(lean(run), "hash long" if count_only else "hash long, key long, size int, sketch binary")
 
     for _ in range(math.ceil(math.log(step, FEWER))):
         busy = leads(late, count_only=True).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUSY)
@@ -193,8 +193,8 @@ def near_duplicates(
         """The pairs that are similar; texts travel only for pairs whose sketches may be."""
         likely = cut(both(cut(pairs.distinct(), "pairs"), sketches).mapInPandas(alike, "a long, b long"), "likely")
         needed = cut(likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct(), "needed")
-        lines = rows.select("_text").mapInPandas(whole, "key long, line binary").join(needed, "key", "left_semi").dropDuplicates(["key"])
-        return cut(both(likely, cut(lines, "lines")).mapInPandas(verify, "a long, b long"), "links")
+        lines = rows.select("_text").mapInPandas(lean(whole), "key long, line binary").join(needed, "key", "left_semi").dropDuplicates(["key"])
+        return cut(both(likely, cut(lines, "lines")).mapInPandas(lean(verify), "a long, b long"), "links")
 
     near = (F.least("n", "size") >= threshold * F.greatest("n", "size") - 1e-9) & (F.col("label") != F.col("other"))
     links, open_ = None, entries.withColumn("label", F.col("key"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm._common import cut, held, small_batches, table
+from docmill.llm._common import cut, held, lean, small_batches, table
 
 CACHED_WORDS, CACHED_CHARS, LINE_WORDS = 150_000, 40, 64
 SEPARATOR, PUNCTUATION = "~", string.punctuation.encode()
@@ -133,10 +133,12 @@ def pieces(
     text_col: str = "text",
     batch_chars: int = 4_000_000,
     cached_words: int = CACHED_WORDS,
+    spare: bool = False,
 ) -> DataFrame:
     """(id, piece, start, length, ids, part, nth): each document's ids and ``end_id``, cut at
     ``capacity``; ``ids`` are little-endian unsigned 32-bit bytes. ``part`` is the task, and
-    ``nth`` counts its pieces of a length, so the pieces must be written before they are packed."""
+    ``nth`` counts its pieces of a length, so the pieces must be written before they are packed.
+    ``spare``: workers give memory back after each batch."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
@@ -167,7 +169,7 @@ def pieces(
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     shape = f"_id {kind}, piece int, start long, length long, ids binary, part int, nth long"
-    return rows.mapInPandas(run, shape).withColumnRenamed("_id", id_col)
+    return rows.mapInPandas(lean(run) if spare else run, shape).withColumnRenamed("_id", id_col)
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -256,7 +258,7 @@ def pack(cut_pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, **names) -> DataFrame:
     """Every document's pieces, their ids' crc32 and their places in sequences of at most ``capacity`` tokens."""
-    made = pieces(docs, tokenizer, capacity, end_id, **names).withColumn("ids_crc32", F.crc32("ids"))
+    made = pieces(docs, tokenizer, capacity, end_id, **{"batch_chars": 500_000, "spare": True} | names).withColumn("ids_crc32", F.crc32("ids"))
     return pack(cut(made, "pieces"), capacity)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm._common import small_batches, table
+from docmill.llm._common import lean, let_go, small_batches, table
 
 # A private key: its header and all up to the matching footer, before which no other dashes stand.
 # Where that is missing, the base64 that follows: a run on the header's line, then header fields,
@@ -192,6 +192,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", rules=RULES, mask: str
     at_text = docs.columns.index(text_col)
 
     def run(batches):
+        let_go()
         for b in batches:
             clean = b.column(at_text).to_pylist()
             texts = [t or "" for t in clean]
@@ -206,7 +207,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", rules=RULES, mask: str
                         clean[i] = "".join([*out, texts[i][end:]])
             yield b.set_column(at_text, b.schema.field(at_text), pa.array(clean, b.schema.field(at_text).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op8_secrets(spark, sf_dir):

@@ -3,11 +3,15 @@
 import gc
 import weakref
 
+import re
+from pathlib import Path
+
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from docmill.llm import jaccard, packing, secrets, simhash, toxicity
-from docmill.llm._common import BATCH_BYTES, BATCH_MAX, WordHashes, held, small_batches
+from docmill.llm import _common, jaccard, packing, secrets, simhash, toxicity
+from docmill.llm._common import BATCH_BYTES, BATCH_MAX, WordHashes, held, lean, small_batches
 
 LONG = 700_000
 
@@ -63,3 +67,34 @@ def test_a_worker_drops_the_encoder_when_it_turns_to_other_work():
     hashes = held("words", WordHashes)
     gc.collect()
     assert made() is None and held("words", WordHashes) is hashes
+
+
+def own_mb():
+    return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+
+def test_a_worker_gives_back_what_it_has_freed():
+    pins = []
+
+    def run(batches):
+        for b in batches:
+            made = [bytearray(60_000) for _ in range(2_000)]  # below the size that is mapped by itself
+            pins.append(bytearray(60_000))  # above the others, so the heap's end does not move
+            del made
+            yield b
+
+    before = own_mb()
+    assert list(run(iter([1]))) == [1] and own_mb() - before > 60
+    assert list(lean(run)(iter([1, 2]))) == [1, 2] and own_mb() - before < 30
+
+
+def test_secrets_need_nothing_of_what_near_duplicates_remembered(spark, monkeypatch):
+    made, freed = [], []
+    docs = documents(spark)
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: made.append(run) or self)
+    monkeypatch.setattr(_common, "give_back", lambda: freed.append(1))
+    secrets.mask_secrets(docs)
+    held("words", WordHashes)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["token: abcdef1234", None]})
+    assert [b.column(1).to_pylist() for b in made[0](iter([batch]))] == [["[SECRET]", None]]
+    assert not _common.HELD and freed
