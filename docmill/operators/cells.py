@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions.words import ranked
+from docmill.operators.retrieve import best_of_block
 
 
 def _nearest(centroids: np.ndarray, n: int):
@@ -39,33 +40,27 @@ def build_cells(vectors: DataFrame, path: str, n_cells: int, sample: int = 100_0
     placed.repartition("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/lists")
 
 
-def cell_topk(spark: SparkSession, path: str, queries: DataFrame, top_k: int = 10, probes: int = 8, scope: list[str] | None = None, block_rows: int = 65_536) -> DataFrame:
+def cell_topk(spark: SparkSession, path: str, queries: DataFrame, top_k: int = 10, probes: int = 8, scope: list[str] | None = None, block_rows: int = 65_536, query_rows: int = 8192) -> DataFrame:
     """(query_id, chunk_id, rank, score): the nearest stored vectors by inner product among those of the ``probes``
     nearest cells of each query (query_id, q). With ``scope`` only vectors that equal the query in these
-    columns are compared. Cells that no query asks for are not read; a long cell is dealt into blocks."""
+    columns are compared. Cells that no query asks for are not read; a long cell is dealt into blocks, and
+    so are many queries, so a task holds a block of each."""
     centres = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()  # as many as there are cells
     centroids = np.array([r["centre"] for r in centres])
     asked = queries.where("q is not null").withColumn("cell", F.explode(_nearest(centroids, probes)("q")))
     wanted = sorted(r["cell"] for r in asked.select("cell").distinct().collect())
     lists = spark.read.parquet(f"{path}/lists").where(F.col("cell").isin(wanted))
-    keys = ["cell", *(scope or []), "_block"]
-    sizes = lists.groupBy(*keys[:-1]).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias("_n"))
-    own = lists.join(sizes, keys[:-1]).withColumn("_block", F.pmod(F.xxhash64("chunk_id"), F.col("_n")).cast("int"))
-    asked = asked.join(sizes, keys[:-1]).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    keys = ["cell", *(scope or []), "_block", "_ask"]
+    n_asks = max(1, -(-queries.count() // query_rows))
+    sizes = lists.groupBy(*keys[:-2]).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias("_n"))
+    own = lists.join(sizes, keys[:-2]).withColumn("_block", F.pmod(F.xxhash64("chunk_id"), F.col("_n")).cast("int"))
+    own = own.withColumn("_ask", F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))))
+    asked = asked.join(sizes, keys[:-2]).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    asked = asked.withColumn("_ask", F.pmod(F.xxhash64("query_id"), F.lit(n_asks)).cast("int"))
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (lists, "chunk_id"))]
 
-    def best(own, asked):
-        if not len(own) or not len(asked):
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        own = own.sort_values("chunk_id")
-        score = np.round(np.stack(asked["q"]).astype(np.float64) @ np.stack(own["v"]).astype(np.float64).T, 6)
-        top = np.argsort(-score, axis=1, kind="stable")[:, :top_k]
-        ids = own["chunk_id"].to_numpy()
-        asks = pd.Series(asked["query_id"].to_list(), dtype=object).repeat(top.shape[1]).reset_index(drop=True)
-        return pd.DataFrame({"query_id": asks, "chunk_id": ids[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()})
-
     pairs = own.select(*keys, "chunk_id", "v").groupBy(*keys).cogroup(asked.select(*keys, "query_id", "q").groupBy(*keys))
-    pairs = pairs.applyInPandas(best, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+    pairs = pairs.applyInPandas(best_of_block(top_k), f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
     return pairs.withColumn("rank", ranked(["query_id"], F.desc("score"), F.asc("chunk_id"))).where(F.col("rank") <= top_k)
 
 
