@@ -44,3 +44,33 @@ def test_counts_of_terms(spark):
 def test_hits_without_a_content_stay(spark):
     df = spark.createDataFrame([(1, 0, None), (1, 1, None), (1, 2, "x"), (1, 3, "x")], "query_id int, rank int, text string")
     assert sorted(r["rank"] for r in retrieve.dedup_content_hash(df, "text").collect()) == [0, 1, 2]
+
+
+def test_best_hits_are_found_without_a_row_for_each_query_and_chunk(spark, monkeypatch):
+    """What is shuffled were the scores of all chunks for all queries; now it is the postings and each task's best."""
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    made = [(f"t{i % 3}" if i % 7 else None, i, " ".join(words[(i * j) % 8] for j in range(1 + i % 5))) for i in range(400)]
+    chunks = spark.createDataFrame(made, "thread string, id long, text string")
+    asked = spark.createDataFrame([(q, f"{words[q % 8]} {words[q // 8 % 8]} {words[q % 8]} never") for q in range(40)], "q int, text string").selectExpr("struct(q, q % 2 AS h) AS q", "text")
+    postings = retrieve.bm25_index(chunks, "thread", "id", "text").localCheckpoint()
+    rows = lambda: sorted(map(str, retrieve.bm25_topk(postings, asked, "q", "text", 3).collect()))
+    found = rows()
+    plan = retrieve.bm25_topk(postings, asked, "q", "text", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan
+    with monkeypatch.context() as m:
+        m.setattr(retrieve, "ASKED", 10)  # by joins
+        assert rows() == found and len(found) > 100
+    with monkeypatch.context() as m:
+        m.setattr(retrieve, "AT_A_TIME", 9)
+        m.setattr(retrieve, "WAITING", 20)
+        assert rows() == found
+
+
+def test_an_index_deals_chunks_and_not_postings(spark, tmp_path):
+    df = spark.createDataFrame([(f"t{i % 2}", i, "a b c " * (1 + i % 3)) for i in range(50)], "thread string, id long, text string")
+    store = Versions(spark, f"{tmp_path}/index")
+    lexical.write_index(store, df, "thread", "id", "text", 5)
+    terms = store.read("terms").groupBy("part", "thread", "term").agg(F.sum("df").alias("n"))
+    plain = store.read("postings").groupBy("part", "thread", "term").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(str, terms.collect())) == sorted(map(str, plain.collect())) and terms.count() == 2 * 5 * 3
+    assert "Exchange" not in lexical._runs(store.read("postings"))._jdf.queryExecution().executedPlan().toString()
